@@ -10,17 +10,18 @@ from tracemill.functions.ordered import Following, Latest, Position, Preceding,
 from tracemill.functions.quantiles import describe, quantiles
 from tracemill.log import LogSpec, measure_hot
 
-FEATURES = [
-    Position("pos"),
-    Following("nxt", F.col("v"), None),
-    Following("nxt_end", F.col("label"), "[END]"),
-    Preceding("prev", F.col("v")),
-    Latest("state", F.col("m") == 1, F.struct("v", "label")),
-    Running("run", F.col("w")),
-    Whole("total", F.col("w"), "sum"),
-    Whole("first_ts", F.col("ts"), "min"),
-    Whole("n", F.col("v"), "count"),
-]
+def features():
+    return [
+        Position("pos"),
+        Following("nxt", F.col("v"), None),
+        Following("nxt_end", F.col("label"), "[END]"),
+        Preceding("prev", F.col("v")),
+        Latest("state", F.col("m") == 1, F.struct("v", "label")),
+        Running("run", F.col("w")),
+        Whole("total", F.col("w"), "sum"),
+        Whole("first_ts", F.col("ts"), "min"),
+        Whole("n", F.col("v"), "count"),
+    ]
 
 
 @pytest.fixture(scope="module")
@@ -43,8 +44,8 @@ def test_hot_cases_equal_plain_window(log, hot_rows):
     hot = measure_hot(log, spec, hot_rows)
     assert hot.hot is not None
     assert measure_hot(log, spec).hot is None
-    plain = over_trace(log, spec, FEATURES)
-    cut = over_trace(log, hot, FEATURES)
+    plain = over_trace(log, spec, features())
+    cut = over_trace(log, hot, features())
     assert plain.columns == cut.columns
     a, b = sorted(map(str, plain.collect())), sorted(map(str, cut.collect()))
     assert a == b and len(a) == 600
