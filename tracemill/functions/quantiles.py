@@ -67,4 +67,37 @@ def describe(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
     qs = quantiles(df, x, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by)
     if by:
         return base.join(qs, by, "left")
-    return base.crossJoin(F.broadcast(qs))
+    return with_scalars(base, qs)
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame as scalar subqueries (no join)."""
+    names = one_row.columns
+    packed = one_row.select(F.struct(*names)).scalar()
+    return df.withColumn("__scalars", packed).withColumns(
+        {n: F.col("__scalars")[n] for n in names}
+    ).drop("__scalars")
+
+
+def banded(
+    df: DataFrame, value: str, q: int, by: Sequence[str] = (), name: str = "band"
+) -> DataFrame:
+    """Quantile band of each row, labels 0..m-1.
+
+    Edges are exact quantiles, bands are closed on the right and the lowest
+    value is included. Equal edges merge, so ties may leave fewer bands; if all
+    values are equal there is one band 0. Null values get a null band.
+    """
+    by = list(by)
+    names = [f"__e{i}" for i in range(q + 1)]
+    edges = quantiles(df, F.col(value), {n: i / q for i, n in enumerate(names)}, by).select(
+        *by, F.array_distinct(F.array(*names)).alias("__edges")
+    )
+    if by:
+        # One row per group; the groups are configurations or banks.
+        joined = df.join(edges, by, "left")
+    else:
+        joined = with_scalars(df, edges)
+    inner = F.slice("__edges", F.lit(2), F.size("__edges"))
+    band = F.size(F.filter(inner, lambda e: e < F.col(value)))
+    return joined.withColumn(name, F.when(F.col(value).isNotNull(), band)).drop("__edges")
