@@ -170,8 +170,9 @@ def ordered(
 
     ``hot_only`` limits the second level to rows whose key has more than one
     segment. ``bounded=True`` says that keys x segments is small by
-    construction, so the summary is broadcast; otherwise the join strategy is
-    chosen at run time from its measured size.
+    construction, so the summary is broadcast; otherwise rows and summary meet
+    in a join on the partitioning the inner window already made. With a segment,
+    ``keys`` must not be null.
     """
     key = F.struct(*[F.col(c) for c in order])
     if segment is None:
@@ -204,7 +205,7 @@ def ordered(
     if bounded or hot_only is not None:
         summary = F.broadcast(summary)
     r, s = rows.alias("__r"), summary.alias("__s")
-    on = [F.col(f"__r.{c}").eqNullSafe(F.col(f"__s.{c}")) for c in [*keys, seg]]
+    on = [F.col(f"__r.{c}") == F.col(f"__s.{c}") for c in [*keys, seg]]
     joined = r.join(s, on, "left")
     return joined.select(
         *[F.col(f"__r.{c}") for c in df.columns if c not in {f.name for f in features}],
@@ -237,6 +238,21 @@ def seeded_hash(seed: int, salt: str, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[F.col(c).cast("string") for c in cols]))
 
 
+def hash_ranked(
+    df: DataFrame, by: list[str], identity: str, seed: int, salt: str,
+    rank: str = "rank", size: str = "group_size", running: dict[str, Column] | None = None,
+) -> DataFrame:
+    """0-based rank in seeded hash order inside each group, and the group size.
+
+    The order is spread over 4,096 hash segments per group, so no group is
+    sorted in one task. ``running`` adds sums over the rows up to each row.
+    """
+    hashed = df.withColumn("__hash", seeded_hash(seed, salt, identity))
+    features: list[Feature] = [Position(rank), Whole(size, F.lit(1).cast("long"), "sum")]
+    features += [Running(n, c) for n, c in (running or {}).items()]
+    return ordered(hashed, by, ["__hash", identity], features, hash_segment("__hash")).drop("__hash")
+
+
 def hash_segment(col: str) -> Column:
     """First three hex digits: 4,096 even segments that grow with the hash."""
     return F.substring(col, 1, 3)
