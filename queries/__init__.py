@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["trace_queries", "profile_queries", "partition_queries"]
+MODULES = ["trace_queries", "profile_queries", "partition_queries", "encoding_queries"]
 
 
 def load_all() -> None:
