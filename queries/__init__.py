@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ["trace_queries", "profile_queries", "partition_queries", "encoding_queries"]
+MODULES = [
+    "trace_queries", "profile_queries", "partition_queries", "encoding_queries", "metric_queries", "run_queries",
+    "source_queries",
+]
 
 
 def load_all() -> None:

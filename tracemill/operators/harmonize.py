@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from tracemill.functions.contract import (
-    CATALOG, CYCLIC_FIELDS, DERIVED, EVENT_KEYS, FORBIDDEN_INPUTS, OFFER_FIELDS, REQUIRED, SPARK_TYPES,
+    DERIVED, OFFER_FIELDS, REQUIRED, SPARK_TYPES,
 )
 from tracemill.functions.labels import (
     END_TOKEN, MISSING_TOKEN, OTHER_TOKEN, after_last, any_present, before_last, clean_token, cycle, seconds_between,
@@ -471,7 +471,7 @@ def rank_strategies(scores: DataFrame, valid: str, first: str, second: str, name
             "__b": F.coalesce(F.col(second).cast("double"), F.lit(0.0)),
         }
     )
-    segment = F.struct(F.col("__v"), value_segment(F.col("__a")), value_segment(F.col("__b")))
+    segment = F.struct(F.col("__v"), value_segment(F.col("__a")))
     placed = ordered(
         keyed, [], ["__v", "__a", "__b", name],
         [Position("__pos"), Whole("__n", F.lit(1).cast("long"), "sum")], segment,
