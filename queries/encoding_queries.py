@@ -163,7 +163,7 @@ SELECT dataset_id, client_id, split, case_id, event_index, epoch_us(ts) AS us, r
   credit_score_value, monthly_cost_value, offered_amount_value, offer_feature_mask, """
        + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _CYC) + " FROM canon")
 def to_canonical(spark, sf):
-    df = canonical(spark, sf)
+    df = _canonical(spark, sf)
     return df.withColumns({"us": micros("timestamp"), **{c: F.round(c, 6) + 0.0 for c in _CYC}}).drop(
         "timestamp", "offer_present", "requested_amount_mask", "loan_goal_mask", "application_type_mask", "number_of_terms_value"
     )

@@ -12,6 +12,7 @@ from queries.registry import query
 from tracemill.functions.quantiles import describe
 from tracemill.operators import profile as Q
 from tracemill.operators import trace as T
+from tracemill.session import settle
 
 
 def rounded(df, digits=6, **special):
@@ -216,7 +217,7 @@ SELECT band, count(*) AS total, count(*) FILTER (WHERE outcome = 2) AS approved,
   round(CAST(sum(count(*) FILTER (WHERE outcome = 2)) OVER () AS DOUBLE) / sum(count(*)) OVER (), 8) AS overall_rate
 FROM banded GROUP BY band""")
 def rate_by_band(spark, sf):
-    cases = T.drop_truncated(cases_l(spark, sf))
+    cases = settle(T.drop_truncated(cases_l(spark, sf)))
     return rounded(Q.rate_by_band(cases, "amount", F.col("outcome") == 2), 8, amount_min=2, amount_max=2)
 
 

@@ -175,19 +175,17 @@ def ordered(
     ``keys`` must not be null.
     """
     key = F.struct(*[F.col(c) for c in order])
+    full = (Window.unboundedPreceding, Window.unboundedFollowing)
     if segment is None:
+        # Whole-key aggregates take the same order, so all features share one sort and one window.
         w = Window.partitionBy(*keys).orderBy(*order)
-        whole = Window.partitionBy(*keys)
-        out = df
-        for f in features:
-            here = f.local(w, whole, key)
-            out = out.withColumn(f.name, f.combine(here, F.lit(None)))
-        return out
+        whole = w.rowsBetween(*full)
+        return df.withColumns({f.name: f.combine(f.local(w, whole, key), F.lit(None)) for f in features})
 
     seg = "__segment"
     cut = df.withColumn(seg, segment)
     inner = Window.partitionBy(*keys, seg).orderBy(*order)
-    inner_whole = Window.partitionBy(*keys, seg)
+    inner_whole = inner.rowsBetween(*full)
     rows = cut.withColumns(
         {f"__here_{i}": f.local(inner, inner_whole, key) for i, f in enumerate(features)}
     )
@@ -196,7 +194,7 @@ def ordered(
         *[f.summary(key).alias(f"__sum_{i}") for i, f in enumerate(features)]
     )
     outer = Window.partitionBy(*keys).orderBy(seg)
-    outer_whole = Window.partitionBy(*keys)
+    outer_whole = outer.rowsBetween(*full)
     summary = summary.select(
         *keys,
         seg,

@@ -272,7 +272,8 @@ def fit_target(population: DataFrame, transform: str = "raw", scaling: str = "zs
     values = population.select(x.alias("s")).filter("s > 0").withColumn("t", _transformed(F.col("s"), transform))
     base = values.agg(F.avg("t").alias("__mean"), F.stddev_pop("t").alias("__std"), F.count(F.lit(1)).alias("n_values"))
     if scaling == "zscore":
-        mean, std = F.coalesce("__mean", F.lit(0.0)), F.coalesce(F.greatest("__std", F.lit(1e-6)), F.lit(1.0))
+        mean = F.coalesce("__mean", F.lit(0.0))
+        std = F.when(F.col("__std").isNull(), F.lit(1.0)).otherwise(F.greatest("__std", F.lit(1e-6)))
         return base.select(
             F.lit(transform).alias("transform"), F.lit(scaling).alias("scaling"), mean.alias("center"),
             std.alias("scale"), F.lit(0.0).alias("median_model_units"), F.lit(0.0).alias("median_seconds"), "n_values",

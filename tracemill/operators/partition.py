@@ -14,9 +14,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracemill.functions.ordered import Position, Whole, hash_ranked, ordered
 from tracemill.functions.quantiles import banded, with_scalars
+from tracemill.session import settle
 
 APPROVED, DENIED, CANCELLED = 2, 1, 0
-BANKS = ("A", "B", "C", "D", "E")
+
+
+def bank_names(k: int) -> list[str]:
+    """A, B, C, … for ``k`` banks."""
+    if not 1 <= k <= 26:
+        raise ValueError(f"between 1 and 26 banks are supported, not {k}")
+    return [chr(ord("A") + i) for i in range(k)]
+
+
+BANKS = tuple(bank_names(5))
 
 
 def qcut(df: DataFrame, col: str, q: int, by: Sequence[str] = (), name: str = "band") -> DataFrame:
@@ -46,7 +56,7 @@ def split_even(df: DataFrame, k: int, seed: int, salt: str = "even", case: str =
     """Near-equal random groups; the first groups take the remainder."""
     ranked = hash_ranked(df, [], case, seed, salt)
     index = _even_index(F.col("rank"), F.col("group_size"), k)
-    return ranked.select(case, _bank(index, BANKS[:k]).alias("bank"))
+    return ranked.select(case, _bank(index, bank_names(k)).alias("bank"))
 
 
 def split_weighted(
@@ -120,8 +130,11 @@ def reassign_capped(
         hash_ranked(df.filter(candidate), [], case, seed, "low", running={"__upto": weight}), sizes
     )
     gap = F.col("__gap0") - (F.col("__upto") - weight)
-    ranked = ranked.select(
-        case, F.col("rank").alias("__rank"), gap.alias("__gap"), from_b.alias("__from_b"), weight.alias("__w")
+    # Read three times below, so the candidates are ranked once and written.
+    ranked = settle(
+        ranked.select(
+            case, F.col("rank").alias("__rank"), gap.alias("__gap"), from_b.alias("__from_b"), weight.alias("__w")
+        )
     )
     refused = F.col("__gap") < F.col("__w") + 1 + margin
     stop = ranked.agg(
@@ -186,7 +199,8 @@ def rate_gap_drops(
     diff = rate - F.col("__ref")
     hit = F.when(up, diff >= gap).otherwise(diff <= -gap)
     limit = F.least(F.floor(cap * F.col("__n")), F.col("__n") - 1)
-    pool = pool.withColumns({"__hit": hit, "__limit": limit})
+    # Read twice below.
+    pool = settle(pool.withColumns({"__hit": hit, "__limit": limit}).select("bank", case, "__k", "__hit", "__limit"))
     stops = pool.groupBy("bank").agg(F.min(F.when(F.col("__hit"), F.col("__k"))).alias("__stop"))
     return (
         pool.join(stops, "bank")

@@ -11,17 +11,19 @@ _ATTRS = ",".join(f"`{t}` array<struct<_key:string,_value:string>>" for t in _TY
 TRACE_SCHEMA = f"{_ATTRS}, event array<struct<{_ATTRS.replace('` array', '`:array')}>>"
 
 
-def _value(owner: str, key: str) -> Column:
-    """Last value of one key over all typed attributes; types may differ between events."""
-    found = [
-        F.filter(F.coalesce(F.col(f"{owner}.{t}" if owner else t), F.array().cast("array<struct<_key:string,_value:string>>")),
-                 lambda a: a["_key"] == key)
-        for t in _TYPED
-    ]
-    return F.try_element_at(F.concat(*found), F.lit(-1))["_value"]
+# Typed children in which a value of each kind is looked for first.
+_FIRST = {"timestamp": ("date",), "long": ("int", "float"), "int": ("int", "float"), "double": ("float", "int"),
+          "boolean": ("boolean",), "string": ("string", "id")}
 
 
-def _column(value: Column, kind: str) -> Column:
+def _value(owner: str, key: str, kind: str) -> Column:
+    """Last value of a key. The type of a key may differ between events, so the other typed children follow."""
+    first = _FIRST.get(kind, ())
+    found = []
+    for t in (*first, *[t for t in _TYPED if t not in first]):
+        hits = F.filter(F.col(f"{owner}.{t}" if owner else t), lambda a: a["_key"] == key)
+        found.append(F.try_element_at(hits, F.lit(-1))["_value"])
+    value = F.coalesce(*found)
     return value if kind == "string" else value.try_cast(kind)
 
 
@@ -33,12 +35,13 @@ def parse_traces(traces: DataFrame, event_cols: Mapping[str, str], case_cols: Ma
     """
     case = {case_key: "string", **case_cols}
     flat = traces.select(
-        *[_column(_value("", k), t).alias(f"case:{k}") for k, t in case.items()],
-        F.posexplode("event").alias("seq", "e"),
-    )
+        *[_value("", k, t).alias(f"case:{k}") for k, t in case.items()],
+        # The outer form keeps the optimizer from parsing each trace once more to test for events.
+        F.posexplode_outer("event").alias("seq", "e"),
+    ).filter("seq is not null")
     return flat.select(
         *[F.col(f"`case:{k}`") for k in case], "seq",
-        *[_column(_value("e", k), t).alias(k) for k, t in event_cols.items()],
+        *[_value("e", k, t).alias(k) for k, t in event_cols.items()],
     )
 
 
@@ -56,7 +59,7 @@ def read_xes(
         return parse_traces(traces, event_cols, case_cols)
     text = spark.read.option("lineSep", "</trace>").text(paths if isinstance(paths, str) else list(paths))
     body = F.regexp_extract("value", r"(?s)(<trace[\s>].*)$", 1)
-    one = text.select(body.alias("t")).filter("t <> ''").select(
-        F.from_xml(F.concat("t", F.lit("</trace>")), TRACE_SCHEMA, {"rowTag": "trace"}).alias("x")
+    one = text.filter(F.contains("value", F.lit("<trace"))).select(
+        F.from_xml(F.concat(body, F.lit("</trace>")), TRACE_SCHEMA, {"rowTag": "trace"}).alias("x")
     )
     return parse_traces(one.select("x.*"), event_cols, case_cols)
