@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _measured(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, spec: LogSpec) -> LogSpec:
+def measured(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, spec: LogSpec) -> LogSpec:
     """Hot cases are measured once per log and session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _HOT:
@@ -49,7 +49,7 @@ def log_l(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, LogSpec]:
         F.when(is_offer & (F.col("l_tax") > 0), F.col("l_tax")).alias("offered"),
     )
     spec = LogSpec(ties=L_TIES)
-    return df, _measured(spark, sf_dir, "L", df, spec)
+    return df, measured(spark, sf_dir, "L", df, spec)
 
 
 def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def log_e(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, LogSpec]:
         F.col("user_id").alias("resource"),
     )
     spec = LogSpec(lifecycle=None)
-    return df, _measured(spark, sf_dir, "E", df, spec)
+    return df, measured(spark, sf_dir, "E", df, spec)
 
 
 def micros(col: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.bindings import CASES, E, E_DECISIONS, L, L_DECISIONS, log_e, log_l, micros, order_cases, table, with_
+from queries.bindings import CASES, E, L, L_DECISIONS, log_e, log_l, measured, micros, table, with_
 from queries.partition_queries import DESIGN, SPLIT, decided, layout_sql
 from queries.profile_queries import rounded
 from queries.registry import query
@@ -75,10 +75,15 @@ def canonical(spark, sf):
 EVENT_SPEC = LogSpec(case="case_id", activity="raw_activity", ts="event_index", ties=())
 
 
+def event_spec(spark, sf) -> LogSpec:
+    """Canonical events are ordered by their index; hot cases are measured once."""
+    return measured(spark, sf, "canonical", canonical(spark, sf), EVENT_SPEC)
+
+
 def mapped(spark, sf):
     def build():
         out = H.apply_label_map(canonical(spark, sf), LABELS, OVERRIDES)
-        return over_trace(out, EVENT_SPEC, [Whole("n_events", F.lit(1).cast("long"), "sum")], KEYS)
+        return over_trace(out, event_spec(spark, sf), [Whole("n_events", F.lit(1).cast("long"), "sum")], KEYS)
 
     return _once(spark, sf, "mapped", build)
 
@@ -538,7 +543,6 @@ def _encoded(spark, sf):
     return V.scale(out, scaler(spark, sf), ["time_delta", "requested_amount_value"])
 
 
-_JOIN_INT = "CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)"
 _PAD = f"array_to_string(list_transform(range(1, {CAP} + 1), lambda j: CASE WHEN j <= k THEN {{a}}[j] ELSE 0 END), ',')"
 
 
@@ -583,7 +587,7 @@ pf AS (SELECT *, unnest(range(1, n + 1)) AS k FROM ar)
 SELECT case_id, CAST(k AS INTEGER) AS prefix_length, {_PAD.format(a='c')} AS credit, {_PAD.format(a='o')} AS offered, {_PAD.format(a='m')} AS state_mask FROM pf""")
 def prefix_state_arrays(spark, sf):
     state = F.struct(*[F.col(c).alias(c) for c in _STATE])
-    out = over_trace(mapped(spark, sf), EVENT_SPEC, [Latest("__state", F.col("offer_feature_mask") == 1, state)], KEYS)
+    out = over_trace(mapped(spark, sf), event_spec(spark, sf), [Latest("__state", F.col("offer_feature_mask") == 1, state)], KEYS)
     out = out.withColumns({
         "state_present": F.when(F.col("__state").isNotNull(), 1).otherwise(0), **{f"carried_{c}": F.col("__state")[c] for c in _STATE},
     })

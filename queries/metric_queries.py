@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.bindings import table, with_
-from queries.encoding_queries import CANON, CAP, KEYS, MAPPED, mapped
+from queries.encoding_queries import CANON, CAP, MAPPED, mapped
 from queries.profile_queries import rounded
 from queries.registry import query
 from tracemill.operators import encode as V

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from queries.bindings import CASES, L_DECISIONS, L_KEY, STATICS, log_l, log_lo, micros, order_cases, with_
+from queries.bindings import CASES, L_DECISIONS, L_KEY, log_l, with_
 from queries.profile_queries import cases_l, rounded
 from queries.registry import query
 from tracemill.operators import partition as P

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.bindings import (
-    CASES, CUT, E, E_DECISIONS, EP, L, L_DECISIONS, LD, LO, LP, O, OFFER, ORD, STATICS,
-    log_e, log_l, log_lo, micros, order_cases, table, with_,
+    CASES, CUT, E, E_DECISIONS, EP, L, L_DECISIONS, LP, O, OFFER, ORD, STATICS,
+    log_e, log_l, log_lo, micros, order_cases, with_,
 )
 from queries.registry import query
 from tracemill.functions.quantiles import describe

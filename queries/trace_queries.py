@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from dataclasses import replace
+
+from pyspark.sql import Window, functions as F
 
 from queries.bindings import (
-    CUT, E, E_DECISIONS, EP, L, L_CLASS, L_DECISIONS, L_KEY, LC, LD, LO, LP, CASES, O, OFFER, ORD, STATICS,
-    log_e, log_l, log_lo, micros, order_cases, table, with_,
+    CASES, CUT, E, E_DECISIONS, EP, L, L_DECISIONS, L_KEY, LD, LP, O, OFFER, STATICS,
+    log_e, log_l, log_lo, measured, micros, order_cases, with_,
 )
 from queries.registry import query
 from tracemill.operators import trace as T
@@ -149,11 +151,9 @@ def time_since_previous(spark, sf):
 SELECT count(*) FILTER (WHERE gap < 0) AS negative_gaps, coalesce(least(min(gap), 0.0), 0.0) AS smallest_gap FROM g""")
 def negative_gaps(spark, sf):
     """Order lines taken by part instead of by date: the guard counts the falls."""
-    from dataclasses import replace
-
     df, spec = log_l(spark, sf)
-    placed = T.event_position(df, spec)
-    by_part = T.event_position(placed.drop("pos", "trace_len", "rel_pos"), replace(spec, ts="l_partkey", ties=("ts", *spec.ties)))
+    part_order = replace(spec, ts="l_partkey", ties=("ts", *[c for c in spec.ties if c != "l_partkey"]))
+    by_part = T.event_position(df, measured(spark, sf, "L by part", df, part_order))
     return T.negative_gaps(T.time_since_previous(by_part, spec, index="pos"))
 
 
@@ -272,8 +272,6 @@ SELECT outcome, count(*) AS n_cases, CAST(sum(n_events) AS BIGINT) AS n_events,
   round(sum(rem) / sum(n_events), 3) AS mean_remaining_seconds FROM c GROUP BY outcome""")
 def decision_profile(spark, sf):
     """Flagship: cases, share and mean remaining time per decision class."""
-    from pyspark.sql import Window
-
     df, spec = log_l(spark, sf)
     key = spec.order_key()
     cut = T.remaining_and_elapsed(T.cut_at_decision(df, spec, L_DECISIONS, "token"), spec)

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from tracemill.session import local_session
 
-    return local_session(cores="4", shuffle_partitions=4, memory="4g")
+    return local_session(cores="8", shuffle_partitions=4, memory="6g")
 
 
 @pytest.fixture(scope="session")

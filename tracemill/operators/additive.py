@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracemill.functions.contract import CYCLIC_FIELDS
-from tracemill.operators.encode import _long_tokens, _not_negative, _transformed, _vocabulary, target_population
+from tracemill.operators.encode import _long_tokens, _not_negative, _transformed, _vocabulary
 
 MAX_KEY = "max_length"
 
