@@ -52,7 +52,9 @@ def test_hot_cases_equal_plain_window(log, hot_rows):
 
 
 def test_trace_operators_on_hot_cases(log):
+    from tracemill.operators import profile as Q
     from tracemill.operators import trace as T
+    from tracemill.plans.preparation import labelled_events
 
     spec = LogSpec(lifecycle=None, activity="label")
     hot = measure_hot(log, spec, 10)
@@ -64,6 +66,14 @@ def test_trace_operators_on_hot_cases(log):
         lambda s: T.carry_state(log.withColumn("v", F.col("v").cast("double")), s, "m", ["v"]),
         lambda s: T.time_since_previous(log, s),
         lambda s: T.remaining_and_elapsed(log, s),
+        lambda s: T.case_table(log, s, {"v": "v"}, d),
+        lambda s: T.cut_report(log, s, d),
+        lambda s: T.event_position(log, s),
+        lambda s: Q.prefix_cap(log, s, d, "label", 0.5),
+        lambda s: Q.relative_order(log, s, ["a0"], ["a1", "a2"]),
+        lambda s: Q.first_present_position(log, s, ["v"]),
+        lambda s: labelled_events(log, s, d, "label", "label"),
+        lambda s: T.check_events(log, ["case_id"], "v", "m", [], s),
     ):
         a, b = op(spec), op(hot)
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(

@@ -75,7 +75,8 @@ AMOUNT_ONLY = Design(
 
 def amount_split(cases: DataFrame, design: Design, weights: Sequence[Sequence[float]], case: str) -> DataFrame:
     """Banks of positive-amount cases from their amount quintile."""
-    cut = P.qcut(cases.filter("amount > 0").select(case, "amount"), "amount", 5)
+    # Ranking reads the bands twice.
+    cut = settle(P.qcut(cases.filter("amount > 0").select(case, "amount"), "amount", 5))
     if design.mode == "stratified_quintile":
         return P.split_weighted(cut, weights, design.seed, case=case)
     if design.mode == "linear_quintile":
