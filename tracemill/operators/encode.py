@@ -38,7 +38,7 @@ def _vocabulary(tokens: DataFrame, reserved: Mapping[str, Sequence[str]]) -> Dat
         [(f, t, i) for f, many in reserved.items() for i, t in enumerate(many)], "field string, token string, id long"
     )
     free = tokens.join(F.broadcast(fixed.select("field", "token")), ["field", "token"], "left_anti")
-    placed = ordered(free, ["field"], ["token"], [Position("pos")], F.substring("token", 1, 4))
+    placed = ordered(free, ["field"], ["token"], [Position("pos")], F.substring("token", 1, 8))
     offset = F.lit(None).cast("long")
     for f, many in reserved.items():
         offset = F.when(F.col("field") == f, F.lit(len(many))).otherwise(offset)

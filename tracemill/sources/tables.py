@@ -81,8 +81,8 @@ def missing_splits(df: DataFrame, banks: Sequence[str], splits: Sequence[str] =
 
 
 def require_splits(df: DataFrame, banks: Sequence[str], splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
-    """The frame itself if every split is there; raises otherwise."""
-    missing = missing_splits(df, banks, splits).collect()
+    """The frame itself if every split is there; raises otherwise, naming up to 20 of them."""
+    missing = missing_splits(df, banks, splits).limit(20).collect()
     if missing:
         raise ValueError(f"missing or unexpected splits: {sorted((m.bank, m.split or '') for m in missing)}")
     return df
