@@ -62,30 +62,28 @@ def local_stats(
         .select(client, F.lit("tokens").alias("family"), "field", F.col("token").alias("key"), "value")
     )
 
-    def moments(frame: DataFrame, family: str, values: Mapping[str, Column]) -> DataFrame:
-        facts = [
-            F.struct(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")).alias(f)
-            for f, v in values.items()
-        ]
-        entries = [
-            (f, k, F.col(f)[s]) for f in values for k, s in (("count", "n"), ("sum", "s"), ("sum_squared", "q"))
-        ]
-        return frame.groupBy(client).agg(*facts).select(*_rows(client, family, entries)).select(
-            client, "x.*"
-        ).filter("value is not null")
-
     masked = {
-        c: F.col(c).cast("double") if m is None else F.when(F.col(m) == 1, F.col(c).cast("double"))
+        ("moments", c): F.col(c).cast("double") if m is None else F.when(F.col(m) == 1, F.col(c).cast("double"))
         for c, m in numeric.items()
     }
     seconds = _not_negative(F.col(remaining).cast("double"))
     last = F.col(index) == F.col(n_events) - 1
     fits = (F.col(index) < cap) & ~last & (seconds > 0)
-    target = moments(train, "target", {f"remaining_time_{transform}": F.when(fits, _transformed(seconds, transform))})
-    return (
-        counts.unionByName(outcomes).unionByName(tokens)
-        .unionByName(moments(train, "moments", masked)).unionByName(target)
+    masked[("target", f"remaining_time_{transform}")] = F.when(fits, _transformed(seconds, transform))
+    # Feature and target moments come from one pass over the train events.
+    facts, entries = [], []
+    for i, ((family, name), v) in enumerate(masked.items()):
+        facts.append(F.struct(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")).alias(f"__{i}"))
+        entries += [
+            F.struct(F.lit(family).alias("family"), F.lit(name).alias("field"), F.lit(k).alias("key"),
+                     F.col(f"__{i}")[part].cast("double").alias("value"))
+            for k, part in (("count", "n"), ("sum", "s"), ("sum_squared", "q"))
+        ]
+    moments = (
+        train.groupBy(client).agg(*facts).select(client, F.explode(F.array(*entries)).alias("x"))
+        .select(client, "x.*").filter("value is not null")
     )
+    return counts.unionByName(outcomes).unionByName(tokens).unionByName(moments)
 
 
 def merge_stats(stats: DataFrame) -> DataFrame:
