@@ -8,6 +8,8 @@ from queries.registry import query
 from tracemill.llm.common import table
 from tracemill.llm.mixing import mix, mix_sql
 from tracemill.llm.rules import quality_rules
+from tracemill.llm.secrets import secret_digest, secret_sql
+from tracemill.llm.simhash import near_duplicates
 from tracemill.llm.urls import RULE_SCHEMA, filter_urls
 
 URL_RULES = [
@@ -45,3 +47,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source targets."""
     out = mix(table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secrets", secret_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secret_digest(table(spark, sf_dir, "documents"))
