@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from queries.registry import query
 from tracemill.llm.common import table
+from tracemill.llm.decontaminate import find_leaks
 from tracemill.llm.mixing import mix, mix_sql
 from tracemill.llm.rules import quality_rules
 from tracemill.llm.secrets import secret_digest, secret_sql
@@ -59,3 +60,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontaminate")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they overlap with."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
