@@ -8,6 +8,7 @@ from queries.registry import query
 from tracemill.llm.common import table
 from tracemill.llm.decontaminate import find_leaks
 from tracemill.llm.mixing import mix, mix_sql
+from tracemill.llm.repeats import remove_repeats
 from tracemill.llm.rules import quality_rules
 from tracemill.llm.secrets import secret_digest, secret_sql
 from tracemill.llm.simhash import near_duplicates
@@ -66,3 +67,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items they overlap with."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_repeats")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
