@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from queries.registry import query
-from tracemill.llm.common import table
+from tracemill.llm.common import fold, table
 from tracemill.llm.decontaminate import find_leaks
+from tracemill.llm.language import identify
 from tracemill.llm.mixing import mix, mix_sql
+from tracemill.llm.quality import classify
 from tracemill.llm.repeats import remove_repeats
 from tracemill.llm.rules import quality_rules
 from tracemill.llm.secrets import secret_digest, secret_sql
 from tracemill.llm.simhash import near_duplicates
+from tracemill.llm.toxicity import scores
 from tracemill.llm.urls import RULE_SCHEMA, filter_urls
 
 URL_RULES = [
@@ -73,3 +76,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 200-byte strings."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; one document in five is held out."""
+    return identify(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0)
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; one document in four is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return classify(docs, labels, fold(F.col("doc_id"), 4) == 2)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; one document in three is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return scores(docs, labels, fold(F.col("doc_id"), 3) == 1)
