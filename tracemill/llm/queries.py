@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from queries.registry import query
 from tracemill.llm.common import fold, table
 from tracemill.llm.decontaminate import find_leaks
@@ -96,3 +97,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; one document in three is held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return scores(docs, labels, fold(F.col("doc_id"), 3) == 1)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
