@@ -203,7 +203,7 @@ def _scorer(docs: DataFrame, labels: DataFrame, held_out: Column, **limits):
 
     def one():
         hasher = Hasher()
-        return lambda text: prior if model is None else model.score(hasher, text or "")
+        return lambda text: min(prior, 0.5) if model is None else model.score(hasher, text or "")
 
     return one
 
@@ -212,7 +212,8 @@ def scores(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: floa
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     Scores read the text only. Null and empty texts hold no feature and get the
-    probability the bias gives; without toxic labels every score is the prior.
+    probability the bias gives; where nothing could be learned every score is the share of toxic
+    labels, 0.5 at most.
     Repeated rows get equal results; other columns aren't read.
     """
     one = _scorer(docs, labels, held_out, **limits)
