@@ -119,7 +119,7 @@ def _drops(p: str, rules) -> str:
         f"CASE WHEN {sign} = 1 THEN {rate} - ref >= {gap} ELSE {rate} - ref <= -({gap}) END AS hit "
         f"FROM {p}k k JOIN {p}st s ON s.bank = k.bank, {p}rf), "
         f"{p}sp AS (SELECT bank, min(k) FILTER (WHERE hit) AS stop FROM {p}hit GROUP BY bank), "
-        f"{p}dr AS (SELECT h.bank, h.case_id, coalesce(stop > lim, true) AS capped_short FROM {p}hit h JOIN {p}sp s ON s.bank = h.bank "
+        f"{p}dr AS (SELECT h.bank, h.case_id FROM {p}hit h JOIN {p}sp s ON s.bank = h.bank "
         f"WHERE k <= least(coalesce(stop, lim), lim))"
     )
 
@@ -261,13 +261,34 @@ _RULES = [P.GapRule("A", 1, 0.05, "up", 0.20), P.GapRule("C", 2, 0.05, "down", 0
 
 @query("P09_enforce_rate_gap", with_(CASES, f"i AS ({_even('decided', 3, 'iid')})",
        "qt AS (SELECT i.case_id, bank, outcome FROM i JOIN decided d ON d.case_id = i.case_id)", _drops("q", _RULES))
-       + "SELECT bank, case_id, capped_short FROM qdr")
+       + "SELECT bank, case_id FROM qdr")
 def enforce_rate_gap(spark, sf):
     cases = decided(spark, sf)
     labelled = settle(P.split_even(cases, 3, 42, "iid").join(cases.select("case_id", "outcome"), "case_id"))
     return P.rate_gap_drops(labelled, _RULES, 42)
 
 
+def _walk_sql() -> str:
+    rules = ", ".join(f"('{r.bank}', {r.drop_class}, {r.gap}::DOUBLE, {1 if r.direction == 'up' else -1}, {r.cap}::DOUBLE)" for r in _RULES)
+    return with_(CASES, f"i AS ({_even('decided', 3, 'iid')})",
+                 "qt AS (SELECT i.case_id, bank, outcome FROM i JOIN decided d ON d.case_id = i.case_id)") + f""", r(bank, cls, gap, sgn, cap) AS (VALUES {rules}),
+  n AS (SELECT r.*, (SELECT count(*) FROM qt WHERE qt.bank = r.bank) AS size, (SELECT count(*) FROM qt WHERE qt.bank = r.bank AND outcome = 2) AS ok,
+    (SELECT avg(CASE WHEN outcome = 2 THEN 1.0 ELSE 0.0 END) FROM qt WHERE bank = 'B') AS ref,
+    (SELECT count(*) FROM qt WHERE qt.bank = r.bank AND outcome = r.cls) AS pool FROM r),
+  steps AS (SELECT n.*, k, (ok - CASE WHEN cls = 2 THEN k ELSE 0 END) / nullif(size - k, 0)::DOUBLE AS rate FROM n, unnest(range(1, pool + 1)) u(k)),
+  goal AS (SELECT bank, min(k) AS k FROM steps WHERE k <= CAST(trunc(cap * size) AS BIGINT) AND k < size AND sgn * (rate - ref) >= gap GROUP BY bank)
+SELECT n.bank, pool::BIGINT AS pool, CAST(trunc(cap * size) AS BIGINT) AS "limit",
+  CASE WHEN g.k IS NOT NULL THEN g.k WHEN pool <= trunc(cap * size) THEN least(pool, size - 1) ELSE least(CAST(trunc(cap * size) AS BIGINT), size - 1) END::BIGINT AS dropped,
+  g.k IS NOT NULL AS target_hit, g.k IS NULL AND pool > trunc(cap * size) AS cap_hit FROM n LEFT JOIN goal g USING (bank)"""
+
+
+@query("P09_gap_report", _walk_sql())
+def gap_report(spark, sf):
+    cases = decided(spark, sf)
+    labelled = settle(P.split_even(cases, 3, 42, "iid").join(cases.select("case_id", "outcome"), "case_id"))
+    return P.gap_report(labelled, _RULES, 42)
+
+
 @query("P10_carve_specialists", with_(CASES) + """
 SELECT case_id, CASE goal WHEN '2-HIGH' THEN 'D' WHEN '3-MEDIUM' THEN 'E' ELSE 'rest' END AS bank FROM decided""")
 def carve_specialists(spark, sf):
@@ -333,7 +354,9 @@ def temporal_split(spark, sf):
 
 
 @query("P15_small_splits", with_(CASES, ALL_LAYOUTS, SPLIT.format(by="config, bank", src="lay")) + """
-SELECT config, bank, split, count(*) AS n_cases FROM sp GROUP BY config, bank, split HAVING count(*) < 500""")
+SELECT b.config, b.bank, s.split, count(sp.case_id) AS n_cases
+FROM (SELECT DISTINCT config, bank FROM lay) b CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split)
+LEFT JOIN sp ON sp.config = b.config AND sp.bank = b.bank AND sp.split = s.split GROUP BY ALL HAVING count(sp.case_id) < 500""")
 def small_splits(spark, sf):
     cut = P.temporal_split(all_layouts(spark, sf), ["config", "bank"])
     return P.small_splits(cut, ["config", "bank"], 500)
@@ -423,10 +446,22 @@ def dropped_by_config(spark, sf):
 
 @query("P21_reconcile_counts", _MEDIUM + """
 , a AS (SELECT (SELECT count(*) FROM cases) AS initial, (SELECT count(*) FROM decided) AS filtered, (SELECT count(*) FROM qout) AS assigned,
-  (SELECT count(*) FROM (SELECT bank, split FROM sp GROUP BY bank, split HAVING count(*) < 200)) AS warnings)
+  (SELECT count(*) FROM (SELECT DISTINCT bank FROM qout) b, (VALUES ('train'), ('val'), ('test')) s(split)
+    WHERE (SELECT count(*) FROM sp WHERE sp.bank = b.bank AND sp.split = s.split) < 200) AS warnings)
 SELECT 'initial' AS step, initial AS n FROM a UNION ALL SELECT 'filtered', filtered FROM a UNION ALL SELECT 'assigned', assigned FROM a
 UNION ALL SELECT 'dropped', filtered - assigned FROM a UNION ALL SELECT 'warnings', warnings FROM a""")
 def reconcile_counts(spark, sf):
     cases = decided(spark, sf)
     assigned = settle(cases.join(partition(cases, "medium", 3, DESIGN), "case_id"))
     return P.reconcile_counts(cases_l(spark, sf), assigned, P.temporal_split(assigned))
+
+
+@query("P21_warnings", with_(CASES, f"i AS ({_even('decided', 3, 'iid')})", "ml AS (SELECT d.*, i.bank FROM i JOIN decided d ON d.case_id = i.case_id)",
+       SPLIT.format(by="bank", src="ml")) + f""", rep AS ({_walk_sql()})
+SELECT 'cap' AS kind, bank, NULL AS split, dropped AS n FROM rep WHERE cap_hit
+UNION ALL SELECT 'small split', b.bank, s.split, count(sp.case_id) FROM (SELECT DISTINCT bank FROM ml) b CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split)
+LEFT JOIN sp ON sp.bank = b.bank AND sp.split = s.split GROUP BY ALL HAVING count(sp.case_id) < 5000""")
+def partition_warnings(spark, sf):
+    cases = decided(spark, sf)
+    labelled = settle(cases.join(P.split_even(cases, 3, 42, "iid"), "case_id"))
+    return P.partition_warnings(P.gap_report(labelled, _RULES, 42), P.small_splits(P.temporal_split(labelled), least=5000))

@@ -109,6 +109,27 @@ def test_rate_gap_drops_equal_the_loop(spark, seed):
     got = P.rate_gap_drops(df, rules, SEED)
     want = {("A", c) for c in drop_loop(rows, rules[0], ref)} | {("C", c) for c in drop_loop(rows, rules[1], ref)}
     assert {(r.bank, r.case_id) for r in got.collect()} == want
+    report = {r.bank: r for r in P.gap_report(df, rules, SEED).collect()}
+    assert {b: r.dropped for b, r in report.items()} == {b: sum(x == b for x, _ in want) for b in "AC"}
+
+
+def test_gap_report_tells_an_ended_pool_from_a_met_cap(spark):
+    rows = [(f"a{i}", "A", 1 if i == 0 else 2) for i in range(10)] + [(f"b{i}", "B", 2) for i in range(4)] + [
+        (f"c{i}", "C", 2) for i in range(9)]
+    df = spark.createDataFrame(rows, "case_id string, bank string, outcome int")
+    rules = [P.GapRule("A", 1, 0.5, "up", 0.5), P.GapRule("C", 2, 0.5, "down", 0.01), P.GapRule("E", 1, 0.1, "up", 0.5)]
+    got = {r.bank: tuple(r)[1:] for r in P.gap_report(df, rules, SEED).collect()}
+    # A: the only candidate goes, no further one meets the cap. C: the cap allows no drop at all.
+    assert got == {"A": (1, 5, 1, False, False), "C": (9, 0, 0, False, True), "E": (0, 0, 0, False, False)}
+
+
+def test_empty_splits_are_listed(spark):
+    df = spark.createDataFrame([("c1", "A", "train")], "case_id string, bank string, split string")
+    assert {(r.bank, r.split, r.n_cases) for r in P.small_splits(df).collect()} == {("A", "train", 1), ("A", "val", 0), ("A", "test", 0)}
+
+
+def test_bank_names_go_past_z():
+    assert P.bank_names(28)[24:] == ["Y", "Z", "AA", "AB"]
 
 
 @pytest.fixture(scope="module")

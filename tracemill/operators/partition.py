@@ -20,10 +20,14 @@ APPROVED, DENIED, CANCELLED = 2, 1, 0
 
 
 def bank_names(k: int) -> list[str]:
-    """A, B, C, … for ``k`` banks."""
-    if not 1 <= k <= 26:
-        raise ValueError(f"between 1 and 26 banks are supported, not {k}")
-    return [chr(ord("A") + i) for i in range(k)]
+    """A, B, C, … for ``k`` banks; after Z come AA, AB, …."""
+    if k < 1:
+        raise ValueError(f"at least one bank is needed, not {k}")
+
+    def name(i: int) -> str:
+        return (name(i // 26 - 1) if i >= 26 else "") + chr(ord("A") + i % 26)
+
+    return [name(i) for i in range(k)]
 
 
 BANKS = tuple(bank_names(5))
@@ -166,16 +170,10 @@ class GapRule:
     cap: float
 
 
-def rate_gap_drops(
-    df: DataFrame, rules: Sequence[GapRule], seed: int, ref_bank: str = "B",
-    outcome: str = "outcome", case: str = "case_id",
-) -> DataFrame:
-    """Cases dropped by each rule, in hash order, with the count and whether the cap stopped it.
-
-    After ``k`` drops a bank's rate is a function of ``k``, so the stopping point
-    is the smallest ``k`` that reaches the gap, at most ``int(cap * n)`` and
-    ``n - 1``. The reference rate is that of ``ref_bank`` before any drop.
-    """
+def _gap_pool(
+    df: DataFrame, rules: Sequence[GapRule], seed: int, ref_bank: str, outcome: str, case: str,
+) -> tuple[DataFrame, DataFrame]:
+    """(droppable cases in hash order with ``__hit`` and ``__limit``, one row per bank with its limit)."""
     ok = F.col(outcome) == APPROVED
     stats = df.groupBy("bank").agg(F.count(F.lit(1)).alias("__n"), F.count_if(ok).alias("__a"))
     ref = stats.agg(F.max(F.when(F.col("bank") == ref_bank, F.col("__a") / F.col("__n"))).alias("__ref"))
@@ -189,6 +187,7 @@ def rate_gap_drops(
         gap = F.when(here, F.lit(r.gap)).otherwise(gap)
         cap = F.when(here, F.lit(r.cap)).otherwise(cap)
         up = F.when(here, F.lit(r.direction == "up")).otherwise(up)
+    stats = stats.withColumn("__limit", F.floor(cap * F.col("__n")))
     pool = hash_ranked(df.filter(picked), ["bank"], case, seed, "drop").select(
         "bank", case, (F.col("rank") + 1).alias("__k"), F.col(outcome).alias("__class")
     )
@@ -198,14 +197,49 @@ def rate_gap_drops(
     rate = F.try_divide(F.col("__a") - F.when(F.col("__class") == APPROVED, F.col("__k")).otherwise(0), left)
     diff = rate - F.col("__ref")
     hit = F.when(up, diff >= gap).otherwise(diff <= -gap)
-    limit = F.least(F.floor(cap * F.col("__n")), F.col("__n") - 1)
-    # Read twice below.
-    pool = settle(pool.withColumns({"__hit": hit, "__limit": limit}).select("bank", case, "__k", "__hit", "__limit"))
+    # A bank keeps its last case.
+    pool = pool.withColumns({"__hit": hit, "__most": F.least("__limit", F.col("__n") - 1)})
+    return pool.select("bank", case, "__k", "__hit", "__most"), stats.select("bank", "__limit")
+
+
+def rate_gap_drops(
+    df: DataFrame, rules: Sequence[GapRule], seed: int, ref_bank: str = "B",
+    outcome: str = "outcome", case: str = "case_id",
+) -> DataFrame:
+    """Cases dropped by each rule, in hash order; :func:`gap_report` tells how each rule ended.
+
+    After ``k`` drops a bank's rate is a function of ``k``, so the stopping point
+    is the smallest ``k`` that reaches the gap, at most ``int(cap * n)`` and
+    ``n - 1``. The reference rate is that of ``ref_bank`` before any drop.
+    """
+    pool = settle(_gap_pool(df, rules, seed, ref_bank, outcome, case)[0])
     stops = pool.groupBy("bank").agg(F.min(F.when(F.col("__hit"), F.col("__k"))).alias("__stop"))
-    return (
-        pool.join(stops, "bank")
-        .filter(F.col("__k") <= F.least("__stop", "__limit"))
-        .select("bank", case, F.coalesce(F.col("__stop") > F.col("__limit"), F.lit(True)).alias("capped_short"))
+    return pool.join(stops, "bank").filter(F.col("__k") <= F.least("__stop", "__most")).select("bank", case)
+
+
+def gap_report(
+    df: DataFrame, rules: Sequence[GapRule], seed: int, ref_bank: str = "B",
+    outcome: str = "outcome", case: str = "case_id",
+) -> DataFrame:
+    """One row per rule: pool, limit (``int(cap * n)``), dropped, target_hit and cap_hit.
+
+    The cap is hit when a further candidate meets it; a pool that ends first is no
+    cap hit. A rule for a bank without cases has zeros.
+    """
+    pool, limits = _gap_pool(df, rules, seed, ref_bank, outcome, case)
+    ends = pool.groupBy("bank").agg(
+        F.count(F.lit(1)).alias("pool"), F.max("__most").alias("__most"),
+        F.min(F.when(F.col("__hit") & (F.col("__k") <= F.col("__most")), F.col("__k"))).alias("__stop"),
+    )
+    names = df.sparkSession.createDataFrame([(r.bank,) for r in rules], "bank string")
+    out = names.join(limits, "bank", "left").join(ends, "bank", "left")
+    zero = F.lit(0).cast("long")
+    pool_, limit = F.coalesce("pool", zero), F.coalesce("__limit", zero)
+    hit = F.col("__stop").isNotNull()
+    return out.select(
+        "bank", pool_.alias("pool"), limit.alias("limit"),
+        F.coalesce("__stop", F.least(pool_, F.coalesce("__most", zero))).alias("dropped"),
+        hit.alias("target_hit"), ((pool_ > limit) & ~hit).alias("cap_hit"),
     )
 
 
@@ -313,9 +347,22 @@ def temporal_split(
     return ranked.withColumn("split", split).drop("__rank", "__n")
 
 
+SPLITS = ("train", "val", "test")
+
+
 def small_splits(df: DataFrame, by: Sequence[str] = ("bank",), least: int = 200) -> DataFrame:
-    """Splits with fewer cases than ``least`` (the warning list)."""
-    return df.groupBy(*by, "split").agg(F.count(F.lit(1)).alias("n_cases")).filter(F.col("n_cases") < least)
+    """Splits with fewer cases than ``least``, also those without any (the warning list)."""
+    by = list(by)
+    sizes = df.groupBy(*by).agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
+    return sizes.unpivot(by, list(SPLITS), "split", "n_cases").filter(F.col("n_cases") < least)
+
+
+def partition_warnings(report: DataFrame, splits: DataFrame) -> DataFrame:
+    """``(kind, bank, split, n)`` of a run: rules that met their cap, from ``gap_report``, and ``small_splits``."""
+    caps = report.filter("cap_hit").select(
+        F.lit("cap").alias("kind"), "bank", F.lit(None).cast("string").alias("split"), F.col("dropped").alias("n")
+    )
+    return caps.unionByName(splits.select(F.lit("small split").alias("kind"), "bank", "split", F.col("n_cases").alias("n")))
 
 
 def split_events(events: DataFrame, assigned: DataFrame, case: str = "case_id") -> DataFrame:
