@@ -44,6 +44,17 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def settle_and_free(df: DataFrame) -> DataFrame:
+    """``settle``, then let the shuffle files of what was just written go.
+
+    They go when the driver collects their handles, which may not happen for long
+    in a driver with little to do; so it is asked to.
+    """
+    out = settle(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected links ``(a, b)``: one row ``(node, root)`` per node.
 

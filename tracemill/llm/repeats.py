@@ -9,11 +9,14 @@ phrases can only meet in corpus order if their triggers agree. Spark therefore
 1. counts triggers, and keeps phrases whose trigger occurs twice or more;
 2. builds the dictionary of distinct phrases with their number in the parse: a
    phrase that occurs twice repeats with all its suffixes;
-3. puts the suffixes of the remaining dictionary phrases of a shared trigger into
-   one order and finds equal neighbours. Only equality counts, so the order is
-   that of a 128-bit digest of the string, which lets a grouped count, combined
-   map-side, take the place of merging the suffix arrays; no trigger, phrase or
-   string shared by many texts is gathered in one task.
+3. cuts the remaining dictionary phrases of a shared trigger into short ones, by
+   the distance of a start to the trigger, and does the same with them: what all
+   strings of a short phrase cover is its trigger now;
+4. puts the suffixes of what is still open into one order and finds equal
+   neighbours. Only equality counts, so the order is that of a 128-bit digest of
+   the string, which lets a grouped count, combined map-side, take the place of
+   merging the suffix arrays; no trigger, phrase or string shared by many texts is
+   gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracemill.llm.common import row_key
+from tracemill.llm.common import row_key, settle_and_free
 from tracemill.session import settle
 
 LENGTH = 200
 #: Bytes of a trigger. Longer ones tell more texts apart in step 1 and make more phrases.
 GRAM = 64
+#: Starts of a short phrase.
+STEP = 16
 CHUNK = 1 << 20
-PHRASE = "core long, phrase long, _k1 long, _k2 long, start int, n int"
+#: ``ahead`` is how far before its trigger a phrase starts.
+PHRASE = "core long, phrase long, _k1 long, _k2 long, start int, n short, ahead short"
 
 
 class Parser:
@@ -55,11 +61,11 @@ class Parser:
             self.power, self.inverse = powers(self.base), powers(pow(self.base, -1, 2**64))
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(trigger hash, text, first start, number of starts) of each phrase of texts ``offsets[i]:offsets[i + 1]``."""
+        """(trigger hash, text, first start, number of starts, distance to the trigger) per phrase of texts ``offsets[i]:offsets[i + 1]``."""
         n, length, gram = len(data), self.length, self.gram
         none = np.zeros(0, np.int64)
         if n < length:
-            return none.view(np.uint64), none, none, none
+            return none.view(np.uint64), none, none, none, none
         self._grow(n)
         run = np.zeros(n + 1, np.uint64)
         np.cumsum(self.byte[data] * self.power[:n], out=run[1:])
@@ -84,7 +90,7 @@ class Parser:
         start = np.flatnonzero(first)
         text = text[start]
         stop = np.minimum(np.append(start[1:], n), offsets[1:][text] - length + 1)
-        return h[trigger[start]], text, start, stop - start
+        return h[trigger[start]], text, start, stop - start, trigger[start] - start
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +127,7 @@ def _parse(length: int, gram: int, full: bool):
 
         parser, digest = Parser(length, gram), xxhash.xxh3_64_intdigest
         for batch, first, data, offsets in _chunks(batches):
-            core, text, start, n = parser.phrases(data, offsets)
+            core, text, start, n, ahead = parser.phrases(data, offsets)
             view = memoryview(data)
             phrase = np.array(
                 [digest(view[a:b]) for a, b in zip(start.tolist(), (start + n + length - 1).tolist())], np.uint64
@@ -129,12 +135,51 @@ def _parse(length: int, gram: int, full: bool):
             row = pa.array(first + text)
             yield pa.RecordBatch.from_arrays([
                 pa.array(core.view(np.int64)), pa.array(phrase.view(np.int64)), batch.column("_k1").take(row),
-                batch.column("_k2").take(row), pa.array((start - offsets[text]).astype(np.int32)), pa.array(n.astype(np.int32)),
-            ], names=["core", "phrase", "_k1", "_k2", "start", "n"])
+                batch.column("_k2").take(row), pa.array((start - offsets[text]).astype(np.int32)),
+                pa.array(n.astype(np.int16)), pa.array(ahead.astype(np.int16)),
+            ], names=["core", "phrase", "_k1", "_k2", "start", "n", "ahead"])
 
     return phrases if full else triggers
 
 
+def _short(length: int, step: int):
+    """The short phrases of the given phrases of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            data, offsets = _bytes(batch.column("text"))
+            view = memoryview(data)
+            rows = []
+            for i, (asked, k1, k2) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("probes", "_k1", "_k2")])):
+                o = int(offsets[i])
+                for s in asked or ():
+                    trigger, end = s["start"] + s["ahead"], s["start"] + s["n"]
+                    at = s["start"]
+                    while at < end:
+                        part = (trigger - at) // step
+                        stop = min(end, trigger - part * step + 1)
+                        # Covered by every string that starts at this distance to the trigger.
+                        core = o + trigger - part * step
+                        rows.append((
+                            digest(view[core:core + length + 1 - step], part), digest(view[o + at:o + stop + length - 1]),
+                            k1, k2, at, stop - at, s["lone"],
+                        ))
+                        at = stop
+            if rows:
+                core, phrase, *rest = zip(*rows)
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (core, phrase)]
+                    + [pa.array(c, t) for c, t in zip(rest, types)],
+                    names=["core", "phrase", "_k1", "_k2", "start", "n", "lone"],
+                )
+
+    return run
+
+
 def _suffixes(length: int):
     """Digest, row and place of every string that starts in the given phrases of a text."""
 
@@ -145,19 +190,20 @@ def _suffixes(length: int):
         for batch in batches:
             data, offsets = _bytes(batch.column("text"))
             view = memoryview(data)
-            for i, asked in enumerate(batch.column("probes")):
-                spans = asked.as_py() or ()
-                at = [a for s in spans for a in range(s["start"], s["start"] + s["n"])]
-                if not at:
-                    continue
+            digests, rows = [], []
+            for i, (asked, k1, k2) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("probes", "_k1", "_k2")])):
                 o = int(offsets[i])
-                d = np.frombuffer(b"".join([digest(view[o + a:o + a + length]) for a in at]), np.int64).reshape(-1, 2)
-                lone = [s["lone"] for s in spans for _ in range(s["n"])]
-                k = [pa.array(np.full(len(at), batch.column(c)[i].as_py(), np.int64)) for c in ("_k1", "_k2")]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), *k,
-                    pa.array(at, pa.int32()), pa.array(lone, pa.bool_()),
-                ], names=["d1", "d2", "_k1", "_k2", "start", "lone"])
+                for s in asked or ():
+                    for a in range(s["start"], s["start"] + s["n"]):
+                        digests.append(digest(view[o + a:o + a + length]))
+                        rows.append((k1, k2, a, s["lone"]))
+            if rows:
+                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(d[:, j])) for j in (0, 1)] + [pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                    names=["d1", "d2", "_k1", "_k2", "start", "lone"],
+                )
 
     return run
 
@@ -219,22 +265,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     counts = docs.select("text").mapInArrow(_parse(length, gram, False), "core long, n long")
     again = counts.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select("core")
     parsed = keyed.select("_k1", "_k2", "text").mapInArrow(_parse(length, gram, True), PHRASE)
-    shared = settle(parsed.join(again, "core"))
-    book = settle(
-        shared.groupBy("core", "phrase").agg(
-            F.count(F.lit(1)).alias("times"), F.min(F.struct("_k1", "_k2", "start", "n")).alias("at")
-        )
+    shared = settle_and_free(parsed.join(again, "core").withColumn("lone", F.lit(True)))
+    whole, probes = _dictionary(shared, ["start", "n", "ahead"])
+    asked = keyed.join(probes.hint("shuffle_hash"), ["_k1", "_k2"])
+    short = asked.select("_k1", "_k2", "text", "probes").mapInArrow(
+        _short(length, min(STEP, length - gram + 1)), "core long, phrase long, _k1 long, _k2 long, start int, n short, lone boolean"
     )
-    several = book.groupBy("core").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1").select("core")
-    probes = book.join(several, "core").select("at.*", (F.col("times") == 1).alias("lone"))
-    probes = settle(probes.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "n", "lone")).alias("probes")))
-    whole = shared.join(book.filter("times > 1").select("core", "phrase"), ["core", "phrase"]).select("_k1", "_k2", "start", "n")
+    whole_short, probes = _dictionary(settle_and_free(short), ["start", "n"])
     asked = keyed.join(probes.hint("shuffle_hash"), ["_k1", "_k2"])
     found = asked.select("doc_id", "_k1", "_k2", "text", "probes").mapInArrow(
         _suffixes(length), "d1 long, d2 long, _k1 long, _k2 long, start int, lone boolean"
     )
     equal = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("d1", "d2")
-    single = found.filter("lone").join(equal, ["d1", "d2"]).select("_k1", "_k2", "start", F.lit(1).alias("n"))
+    single = found.filter("lone").join(equal, ["d1", "d2"]).select("_k1", "_k2", "start", F.lit(1).cast("short").alias("n"))
+    whole = whole.unionByName(whole_short)
     marks = whole.unionByName(single).distinct().groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     out = keyed.join(marks.hint("shuffle_hash"), ["_k1", "_k2"], "left")
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -242,3 +286,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     if with_text:
         schema += ", kept_text string, spans array<struct<start:long,end:long>>"
     return out.select("doc_id", "_k1", "_k2", "text", "marks").mapInArrow(_removed(length, with_text), schema)
+
+
+def _dictionary(shared: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose phrase repeats, per text the phrases to look into) of phrases with their triggers.
+
+    Looked into is one row of every distinct phrase whose trigger has other phrases
+    too; it is ``lone`` if what is found there has yet to be marked.
+    """
+    row = F.struct("_k1", "_k2", *place, "lone")
+    book = settle(
+        shared.groupBy("core", "phrase").agg(F.count(F.lit(1)).alias("times"), F.min(row).alias("at"))
+    )
+    several = book.groupBy("core").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1").select("core")
+    open_ = book.join(several, "core").select("at.*", "times").withColumn("lone", F.col("lone") & (F.col("times") == 1))
+    probes = settle(open_.groupBy("_k1", "_k2").agg(F.collect_list(F.struct(*place, "lone")).alias("probes")))
+    whole = shared.filter("lone").join(book.filter("times > 1").select("core", "phrase"), ["core", "phrase"])
+    return whole.select("_k1", "_k2", "start", "n"), probes
