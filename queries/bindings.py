@@ -19,16 +19,29 @@ L_KEY = ["case_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 STATICS = {"amount": "amount", "goal": "goal", "type": "type"}
 OFFER = ["credit", "cost", "offered"]
 
-_HOT: dict[tuple[str, str, str], LogSpec] = {}
+_HOT: dict[tuple, LogSpec] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def data_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """What names the given tables as they are now: session, path, and length and time of each table's files."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = []
+    for name in ("lineitem", "orders", "events", "customer", "part", "supplier", "nation", "region"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            for f in fs.listStatus(path):
+                files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return (spark.sparkContext.applicationId, sf_dir, tuple(sorted(files)))
+
+
 def measured(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, spec: LogSpec) -> LogSpec:
     """Hot cases are measured once per log and session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (data_key(spark, sf_dir), name)
     if key not in _HOT:
         _HOT[key] = measure_hot(df, spec)
     return _HOT[key]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.bindings import CASES, E, L, L_DECISIONS, log_e, log_l, measured, micros, table, with_
+from queries.bindings import CASES, E, L, L_DECISIONS, data_key, log_e, log_l, measured, micros, table, with_
 from queries.partition_queries import DESIGN, SPLIT, decided, layout_sql
 from queries.profile_queries import rounded
 from queries.registry import query
@@ -14,12 +14,14 @@ from tracemill.operators import additive as A
 from tracemill.operators import encode as V
 from tracemill.operators import harmonize as H
 from tracemill.operators import partition as P
+from tracemill.operators import profile as Q
 from tracemill.log import LogSpec
 from tracemill.plans.partitioning import partition
 from tracemill.plans.preparation import canonical_events, labelled_events
 from tracemill.session import settle
 
-CAP = 8
+# The cap of prefixes is the data's own: the 98th percentile of trace length (operator Q13).
+CAP = "(SELECT cap FROM pcap)"
 MAPPING = H.SourceMapping(
     columns={
         "case_id": "case_id", "timestamp": "ts", "raw_activity": "activity", "lifecycle": "lifecycle",
@@ -47,12 +49,20 @@ NUMERIC = {
 }
 KEYS = ["dataset_id", "client_id", "split", "case_id"]
 
-_CACHE: dict[tuple[str, str, str], object] = {}
+
+def prefix_cap(spark, sf) -> int:
+    key = (data_key(spark, sf), "prefix_cap")
+    if key not in _CACHE:
+        df, spec = log_l(spark, sf)
+        _CACHE[key] = Q.prefix_cap(df, spec, L_DECISIONS, "token").first()["cap"]
+    return _CACHE[key]
+
+_CACHE: dict[tuple, object] = {}
 
 
 def _once(spark, sf, name, build):
     """Settled once per session: fits and encodings read these tables many times."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (data_key(spark, sf), name)
     if key not in _CACHE:
         _CACHE[key] = settle(build())
     return _CACHE[key]
@@ -129,7 +139,8 @@ def _tok(label: str, token: str, life: str) -> str:
 MAPPED = f"""mp AS (SELECT *, CASE raw_activity WHEN 'R' THEN 'O_returned' WHEN 'A' THEN 'A_accepted' ELSE '[OTHER_ACTIVITY]' END AS canonical_activity_label,
   {_tok('raw_activity', 'raw_activity_token', 'lifecycle')} AS canonical_activity_token,
   CASE WHEN next_activity_raw = '[END]' THEN '[END]' ELSE
-  {_tok("split_part(next_activity_raw, '+', 1)", 'next_activity_raw', "split_part(next_activity_raw, '+', 2)")} END AS next_activity_target FROM canon)"""
+  {_tok("split_part(next_activity_raw, '+', 1)", 'next_activity_raw', "split_part(next_activity_raw, '+', 2)")} END AS next_activity_target FROM canon),
+pcap AS (SELECT CAST(floor(quantile_cont(n, 0.98)) AS BIGINT) AS cap FROM (SELECT count(*) AS n FROM lp GROUP BY case_id))"""
 _OFFSETS = {f: len(r) for f, r in FIELDS.items()}
 VOCAB = (
     "tk AS (" + " UNION ALL ".join(
@@ -445,7 +456,7 @@ def context_profile(spark, sf):
     )
 
 
-_OV = "pr AS (SELECT DISTINCT l_returnflag || l_linestatus AS dataset_id, CAST(l_partkey AS VARCHAR) AS column_name FROM lineitem WHERE l_quantity > 25)"
+_OV = "pr AS (SELECT DISTINCT l_returnflag || l_linestatus AS dataset_id, CAST(l_partkey AS VARCHAR) AS column_name FROM lineitem)"
 
 
 @query("C14_context_overlap", "WITH " + _OV + """
@@ -453,7 +464,7 @@ _OV = "pr AS (SELECT DISTINCT l_returnflag || l_linestatus AS dataset_id, CAST(l
 SELECT 'shared' AS scope, NULL AS dataset_id, column_name FROM c, t WHERE n = k
 UNION ALL SELECT 'specific', pr.dataset_id, pr.column_name FROM pr JOIN c ON c.column_name = pr.column_name, t WHERE n < k""")
 def context_overlap(spark, sf):
-    lines = table(spark, sf, "lineitem").filter("l_quantity > 25")
+    lines = table(spark, sf, "lineitem")
     return H.context_overlap(lines.select(F.concat("l_returnflag", "l_linestatus").alias("dataset_id"), F.col("l_partkey").cast("string").alias("column_name")))
 
 
@@ -521,7 +532,7 @@ def scale(spark, sf):
 SELECT dataset_id, client_id, split, case_id, n_events, unnest(range(1, least(n_events, {CAP}) + 1)) AS prefix_length,
   unnest(range(0, least(n_events, {CAP}))) AS label_pos FROM n""")
 def prefix_index(spark, sf):
-    return V.prefix_index(mapped(spark, sf), KEYS, CAP)
+    return V.prefix_index(mapped(spark, sf), KEYS, prefix_cap(spark, sf))
 
 
 @query("V06_prefix_counts", M + f"""
@@ -529,7 +540,22 @@ def prefix_index(spark, sf):
 SELECT dataset_id, client_id, count(*) AS cases, CAST(sum(n) AS BIGINT) AS events, CAST(sum(least(n, {CAP})) AS BIGINT) AS prefixes, max(n) AS max_length
 FROM n GROUP BY GROUPING SETS ((dataset_id, client_id), ())""")
 def prefix_counts(spark, sf):
-    return V.prefix_counts(mapped(spark, sf), CAP)
+    return V.prefix_counts(mapped(spark, sf), prefix_cap(spark, sf))
+
+
+@query("V05_prefix_index_all", M + """
+, n AS (SELECT dataset_id, client_id, split, case_id, count(*) AS n_events FROM mp GROUP BY ALL)
+SELECT dataset_id, client_id, split, case_id, n_events, unnest(range(1, n_events + 1)) AS prefix_length, unnest(range(0, n_events)) AS label_pos FROM n""")
+def prefix_index_all(spark, sf):
+    return V.prefix_index(mapped(spark, sf), KEYS, None)
+
+
+@query("V06_prefix_counts_all", M + """
+, n AS (SELECT dataset_id, client_id, case_id, count(*) AS n FROM mp GROUP BY ALL)
+SELECT dataset_id, client_id, count(*) AS cases, CAST(sum(n) AS BIGINT) AS events, CAST(sum(n) AS BIGINT) AS prefixes, max(n) AS max_length
+FROM n GROUP BY GROUPING SETS ((dataset_id, client_id), ())""")
+def prefix_counts_all(spark, sf):
+    return V.prefix_counts(mapped(spark, sf), None)
 
 
 @query("V06_train_outcome_counts", M + """
@@ -566,7 +592,7 @@ SELECT case_id, CAST(k AS INTEGER) AS prefix_length, {_PAD.format(a='a')} AS tok
 def prefix_arrays(spark, sf):
     out = V.prefix_arrays(
         _encoded(spark, sf), KEYS, "event_index", ["canonical_activity_token_id", "loan_goal_id"],
-        ["time_delta_scaled", "requested_amount_value_scaled"], CAP,
+        ["time_delta_scaled", "requested_amount_value_scaled"], prefix_cap(spark, sf),
     )
     return out.select(
         "case_id", "prefix_length", F.array_join("canonical_activity_token_id", ",").alias("tokens"), F.array_join("loan_goal_id", ",").alias("goals"),
@@ -592,14 +618,14 @@ def prefix_state_arrays(spark, sf):
         "state_present": F.when(F.col("__state").isNotNull(), 1).otherwise(0), **{f"carried_{c}": F.col("__state")[c] for c in _STATE},
     })
     scaled = V.scale_state(out, scaler(spark, sf), _STATE)
-    arrays = V.prefix_state_arrays(scaled, KEYS, "event_index", [f"state_{c}" for c in _STATE], "state_present", CAP)
+    arrays = V.prefix_state_arrays(scaled, KEYS, "event_index", [f"state_{c}" for c in _STATE], "state_present", prefix_cap(spark, sf))
     return arrays.select(
         "case_id", "prefix_length", _thousandths("state_credit_score_value").alias("credit"),
         _thousandths("state_offered_amount_value").alias("offered"), F.array_join("state_mask", ",").alias("state_mask"),
     )
 
 
-def _pop(cap: int = CAP) -> str:
+def _pop(cap: str = CAP) -> str:
     return f"pop AS (SELECT remaining_time AS s FROM mp WHERE split = 'train' AND event_index < {cap} AND event_index < n_events - 1 AND remaining_time > 0)"
 
 
@@ -611,9 +637,9 @@ SELECT case_id, event_index + 1 AS prefix_length, CAST(outcome AS BIGINT) AS out
   round((ln(1 + remaining_time) - c) / d, 6) + 0.0 AS remaining_label, CASE WHEN event_index = n_events - 1 THEN 0 ELSE 1 END AS remaining_mask
 FROM mp, tp WHERE event_index < {CAP}""")
 def prefix_labels(spark, sf):
-    pop = V.target_population(mapped(spark, sf), "event_index", "n_events", CAP, "remaining_time")
+    pop = V.target_population(mapped(spark, sf), "event_index", "n_events", prefix_cap(spark, sf), "remaining_time")
     out = V.prefix_labels(
-        mapped(spark, sf), KEYS, "event_index", "n_events", CAP, "next_activity_target", "remaining_time", "outcome",
+        mapped(spark, sf), KEYS, "event_index", "n_events", prefix_cap(spark, sf), "next_activity_target", "remaining_time", "outcome",
         vocab(spark, sf), target=V.fit_target(pop, "log", "zscore"),
     )
     return rounded(out.drop("dataset_id", "client_id", "split")).withColumn("remaining_label", F.col("remaining_label") + 0.0)
@@ -639,7 +665,7 @@ def _fit_sql(t: str, s: str) -> str:
 
 @query("V10_fit_target", M + f", {_pop()} " + " UNION ALL ".join(_fit_sql(t, s) for t, s in _MODES))
 def fit_target(spark, sf):
-    pop = V.target_population(mapped(spark, sf), "event_index", "n_events", CAP, "remaining_time")
+    pop = V.target_population(mapped(spark, sf), "event_index", "n_events", prefix_cap(spark, sf), "remaining_time")
     out = None
     for t, s in _MODES:
         one = V.fit_target(pop, t, s)
@@ -653,7 +679,7 @@ SELECT case_id, event_index, round((ln(1 + remaining_time) - c) / d, 6) + 0.0 AS
 def transform_target(spark, sf):
     """Forward and back again: the inverse gives the seconds."""
     events = mapped(spark, sf)
-    target = V.fit_target(V.target_population(events, "event_index", "n_events", CAP, "remaining_time"), "log", "zscore")
+    target = V.fit_target(V.target_population(events, "event_index", "n_events", prefix_cap(spark, sf), "remaining_time"), "log", "zscore")
     out = V.inverse_target(V.transform_target(events, target, "remaining_time", "units"), target, "units", "seconds")
     return out.select("case_id", "event_index", (F.round("units", 6) + 0.0).alias("units"), F.abs(F.round("seconds", 3)).alias("seconds"))
 
@@ -671,7 +697,7 @@ def class_weights(spark, sf):
 SELECT client_id, next_label, count(*) AS n FROM x WHERE next_label IS NOT NULL GROUP BY client_id, next_label""")
 def label_support(spark, sf):
     labels = V.prefix_labels(
-        train(spark, sf), KEYS, "event_index", "n_events", CAP, "next_activity_target", "remaining_time", "outcome", vocab(spark, sf))
+        train(spark, sf), KEYS, "event_index", "n_events", prefix_cap(spark, sf), "next_activity_target", "remaining_time", "outcome", vocab(spark, sf))
     return V.label_support(labels, "next_label", "next_mask", "client_id")
 
 
@@ -693,7 +719,7 @@ def mask_scores(spark, sf):
 @query("V15_encoding_identity")
 def encoding_identity(spark, sf):
     return V.encoding_identity(
-        {"vocab": vocab(spark, sf), "scaler": scaler(spark, sf), "events": mapped(spark, sf)}, {"cap": CAP, "fields": sorted(FIELDS)})
+        {"vocab": vocab(spark, sf), "scaler": scaler(spark, sf), "events": mapped(spark, sf)}, {"cap": prefix_cap(spark, sf), "fields": sorted(FIELDS)})
 
 
 # --- additive statistics --------------------------------------------------------------------------
@@ -701,8 +727,9 @@ def encoding_identity(spark, sf):
 _CAT = ["canonical_activity_token", "next_activity_target", "resource", "loan_goal"]
 
 
-def _stats(spark, sf, cap=CAP):
-    return A.local_stats(mapped(spark, sf), cap, _CAT, NUMERIC)
+def _stats(spark, sf, cap=0):
+    """Local statistics with the data's cap, another one, or none."""
+    return A.local_stats(mapped(spark, sf), prefix_cap(spark, sf) if cap == 0 else cap, _CAT, NUMERIC)
 
 
 def _moment_sql(family: str, field: str, x: str, where: str) -> str:
@@ -712,7 +739,7 @@ def _moment_sql(family: str, field: str, x: str, where: str) -> str:
     )
 
 
-def _stats_sql(name: str, cap: int) -> str:
+def _stats_sql(name: str, cap: str | int) -> str:
     fits = f"event_index < {cap} AND event_index < n_events - 1 AND remaining_time > 0"
     return f"{name} AS (" + " UNION ALL ".join([
         *[f"SELECT client_id, 'counts' AS family, '{f}' AS field, '' AS key, CAST({v} AS DOUBLE) AS value FROM (SELECT client_id, case_id, count(*) AS n FROM mp GROUP BY client_id, case_id) GROUP BY client_id"
@@ -740,6 +767,11 @@ def local_stats(spark, sf):
     return _sig(_stats(spark, sf))
 
 
+@query("A01_local_stats_all", M + ", " + _stats_sql("ls", 1_000_000_000) + f" SELECT client_id, family, field, key, {_SIG} AS value FROM ls")
+def local_stats_all(spark, sf):
+    return _sig(_stats(spark, sf, None))
+
+
 @query("A02_merge_stats", M + ", " + _stats_sql("ls", CAP) + f", {_MERGED} SELECT family, field, key, {_SIG} AS value FROM mg")
 def merge_stats(spark, sf):
     return _sig(A.merge_stats(_stats(spark, sf)))

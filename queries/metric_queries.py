@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.bindings import table, with_
-from queries.encoding_queries import CANON, CAP, MAPPED, mapped
+from queries.encoding_queries import CANON, CAP, MAPPED, mapped, prefix_cap
 from queries.profile_queries import rounded
 from queries.registry import query
 from tracemill.operators import encode as V
@@ -16,7 +16,7 @@ K = 3
 
 def predictions(spark, sf):
     """One prediction per prefix; scores are plain functions of the event's features."""
-    df = mapped(spark, sf).filter(F.col("event_index") < CAP)
+    df = mapped(spark, sf).filter(F.col("event_index") < prefix_cap(spark, sf))
     scores = F.array(F.col("remaining_time") / 4e7, F.col("requested_amount_value") / 2.5e5, F.lit(0.9).cast("double"))
     return df.select(
         "dataset_id", "client_id", "split", "case_id", F.col("event_index").alias("label_pos"),
@@ -169,7 +169,7 @@ _POP = f"pop AS (SELECT remaining_time AS s FROM mp WHERE split = 'train' AND ev
 u AS (SELECT 'seconds' AS unit, s AS x FROM pop UNION ALL SELECT 'model_units', (ln(1 + s) - c) / d FROM pop, tp)
 SELECT unit, {_dist('x')}, 'log' AS transform, 'zscore' AS scaling, (SELECT round(c, 6) FROM tp) AS center, (SELECT round(d, 6) FROM tp) AS scale FROM u GROUP BY unit""")
 def target_diagnostics(spark, sf):
-    pop = V.target_population(mapped(spark, sf), "event_index", "n_events", CAP, "remaining_time").filter("seconds > 0")
+    pop = V.target_population(mapped(spark, sf), "event_index", "n_events", prefix_cap(spark, sf), "remaining_time").filter("seconds > 0")
     out = M.target_diagnostics(pop, V.fit_target(pop, "log", "zscore"))
     return rounded(out, 4, center=6, scale=6).withColumns({c: F.col(c) + 0.0 for c in ("mean", "median")})
 
@@ -186,7 +186,7 @@ def prediction_diagnostics(spark, sf):
 SELECT round(max(tr), 3) AS train_median_seconds, round(avg(abs(true_seconds - tr)), 3) AS train_median_mae_seconds, round(max(ts), 3) AS test_median_seconds,
   round(avg(abs(true_seconds - ts)), 3) AS test_median_mae_seconds FROM pr, md, te WHERE time_mask = 1""")
 def baseline_diagnostics(spark, sf):
-    pop = V.target_population(mapped(spark, sf), "event_index", "n_events", CAP, "remaining_time")
+    pop = V.target_population(mapped(spark, sf), "event_index", "n_events", prefix_cap(spark, sf), "remaining_time")
     median = V.fit_target(pop, "raw", "raw").select("median_seconds")
     return rounded(M.baseline_diagnostics(predictions(spark, sf), "true_seconds", "time_mask", median), 3)
 

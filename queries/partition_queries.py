@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from queries.bindings import CASES, L_DECISIONS, L_KEY, log_l, with_
+from queries.bindings import CASES, L_DECISIONS, L_KEY, data_key, log_l, with_
 from queries.profile_queries import cases_l, rounded
 from queries.registry import query
 from tracemill.operators import partition as P
@@ -26,12 +26,12 @@ GROUPS = {
     "Specialist D": ["2-HIGH"], "Specialist E": ["3-MEDIUM"],
 }
 
-_DECIDED: dict[tuple[str, str], object] = {}
+_DECIDED: dict[tuple, object] = {}
 
 
 def decided(spark, sf):
     """Decided cases of the order-line log, settled once per session: layouts read them many times."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = data_key(spark, sf)
     if key not in _DECIDED:
         _DECIDED[key] = settle(T.drop_truncated(cases_l(spark, sf)))
     return _DECIDED[key]
@@ -169,12 +169,12 @@ SUMMARY = """summ AS (SELECT config, bank, count(*) AS n_cases, count(*) FILTER
 topg AS (SELECT config, bank, goal AS top_goal FROM (SELECT config, bank, goal, row_number() OVER (PARTITION BY config, bank ORDER BY count(*) DESC, goal) AS rn
   FROM lay GROUP BY config, bank, goal) WHERE rn = 1)"""
 
-_LAYOUTS: dict[tuple[str, str], object] = {}
+_LAYOUTS: dict[tuple, object] = {}
 
 
 def all_layouts(spark, sf):
     """Every layout at case level, settled once per session."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = data_key(spark, sf)
     if key not in _LAYOUTS:
         _LAYOUTS[key] = settle(layouts(decided(spark, sf), CONFIGS, DESIGN))
     return _LAYOUTS[key]

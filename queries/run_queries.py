@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from queries.bindings import table
+from queries.bindings import data_key, table
 from queries.profile_queries import rounded
 from queries.registry import query
 from tracemill.operators import runs as R
@@ -110,12 +110,12 @@ def _report_frame(spark, sf):
     )
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def reports(spark, sf):
     """Reports written as JSON once per session and read back through the source."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = data_key(spark, sf)
     if key not in _WRITTEN:
         root = f"{shared_folder(spark).rstrip('/')}/tracemill/reports-{uuid.uuid4().hex}"
         _report_frame(spark, sf).write.partitionBy("subtree").json(root)
@@ -174,20 +174,19 @@ def missing_runs(spark, sf):
 
 @query("R05_quality_flags", _LN + """
 , q AS (SELECT dataset, run_name, regime, strategy, dp_target_epsilon, bank AS run_bank, CASE WHEN best_round >= 20 THEN CAST('nan' AS DOUBLE) ELSE outcome_macro_f1 END AS f FROM rn),
-b AS (SELECT * FROM bk WHERE next_activity_top1 > 0.2),
+b AS (SELECT * FROM bk),
 s AS (SELECT dataset, run_name, regime, strategy, count(*) AS k, count(DISTINCT source_dataset) FILTER (WHERE source_dataset IN ('alpha', 'gamma')) AS n FROM b GROUP BY ALL),
 j AS (SELECT q.*, s.k, s.n FROM q LEFT JOIN s USING (dataset, run_name, regime, strategy))
 SELECT dataset, run_name, regime, strategy, '' AS bank, 'not_finite' AS flag, count(*) AS n FROM j WHERE isnan(f) GROUP BY ALL
 UNION ALL SELECT dataset, run_name, regime, strategy, '', 'no_bank_rows', count(*) FROM j WHERE regime <> 'local' AND k IS NULL GROUP BY ALL
 UNION ALL SELECT dataset, run_name, regime, strategy, '', 'incomplete_sources', count(*) FROM j WHERE regime <> 'local' AND dataset = 'joint' AND k IS NOT NULL AND n < 2 GROUP BY ALL
-UNION ALL SELECT dataset, run_name, regime, strategy, bank, 'zero_prefixes', count(*) FROM b WHERE n_prefixes - 1 = 0 GROUP BY ALL
+UNION ALL SELECT dataset, run_name, regime, strategy, bank, 'zero_prefixes', count(*) FROM b WHERE n_prefixes = 0 GROUP BY ALL
 UNION ALL SELECT dataset, run_name, regime, strategy, bank, 'low_accuracy', count(*) FROM b WHERE next_activity_top1 < 0.45 GROUP BY ALL""")
 def quality_flags(spark, sf):
     r = runs(spark, sf).withColumn(
         "outcome_macro_f1", F.when(F.col("best_round") >= 20, F.lit(float("nan"))).otherwise(F.col("outcome_macro_f1"))
     )
-    b = banks(spark, sf).filter("next_activity_top1 > 0.2").withColumn("n_prefixes", F.col("n_prefixes") - 1)
-    flags = R.quality_flags(r, b, _RUN, ["alpha", "gamma"], low=0.45)
+    flags = R.quality_flags(r, banks(spark, sf), _RUN, ["alpha", "gamma"], low=0.45)
     return flags.groupBy(*_RUN, "bank", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -298,10 +297,10 @@ def group_means(spark, sf):
 
 
 @query("R17_flatten_metrics", _LN + """
-SELECT script_id, dataset, run_name, strategy, dp_target_epsilon, n_prefixes, round(outcome_macro_f1, 6) AS outcome_macro_f1,
-  round(next_activity_top1, 6) AS next_activity_top1_accuracy, CASE WHEN script_id = 'central' THEN round(rt_mae, 3) END AS remaining_time_mae FROM rn WHERE regime <> 'local'""")
+SELECT script_id, dataset, run_name, strategy, dp_target_epsilon, CASE WHEN regime <> 'local' THEN n_prefixes END AS n_prefixes, round(outcome_macro_f1, 6) AS outcome_macro_f1,
+  round(next_activity_top1, 6) AS next_activity_top1_accuracy, CASE WHEN script_id = 'central' THEN round(rt_mae, 3) END AS remaining_time_mae FROM rn""")
 def flatten_metrics(spark, sf):
-    kept = reports(spark, sf).filter("coalesce(config.regime, '') <> 'local'").select("*", "config.dataset", "config.run_name", "config.strategy", "config.dp_target_epsilon")
+    kept = reports(spark, sf).select("*", "config.dataset", "config.run_name", "config.strategy", "config.dp_target_epsilon")
     out = R.flatten_metrics(kept, ["script_id", "dataset", "run_name", "strategy", "dp_target_epsilon"], ["0"])
     return rounded(out.select(
         "script_id", "dataset", "run_name", "strategy", "dp_target_epsilon", "n_prefixes", "outcome_macro_f1", "next_activity_top1_accuracy", "remaining_time_mae"

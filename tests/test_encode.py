@@ -93,8 +93,10 @@ def test_prefix_arrays_pad_and_cap(events, train):
     assert [r.token_id for r in out] == [[4, 0, 0], [4, 5, 0], [4, 5, 4]]
     assert [r.padding_mask for r in out] == [[1, 0, 0], [1, 1, 0], [1, 1, 1]]
     assert out[0].weekday_sin_scaled == [0.5, 0.0, 0.0]
-    with pytest.raises(ValueError, match="cap"):
-        V.prefix_arrays(enc, KEYS, "event_index", ["token_id"], [], 10_000)
+    wide = V.prefix_arrays(enc, KEYS, "event_index", ["token_id"], [], 2_000).filter("case_id = 'c1'").first()
+    assert len(wide.token_id) == 2_000
+    # Without a cap, labels and counts take all prefixes.
+    assert V.prefix_counts(events, None).filter("client_id is null").first().prefixes == 12
     none = V.prefix_state_arrays(enc.withColumn("p", F.lit(1)), KEYS, "event_index", [], "p", 2).first()
     assert none.state_mask == [0, 0]
 

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions.ordered import Following, Latest, Position, Preceding, Running, Whole, over_trace
+from tracemill.functions.ordered import (
+    Following, Latest, Position, Preceding, Running, Whole, ordered, over_trace, sketched,
+)
 from tracemill.functions.quantiles import describe, quantiles
 from tracemill.log import LogSpec, measure_hot
 
@@ -104,3 +106,26 @@ def test_quantiles_by_group_and_empty(spark):
     assert quantiles(df.filter("x > 9"), F.col("x"), {"m": 0.5}).first()["m"] is None
     row = describe(df.filter("x > 9"), F.col("x")).first()
     assert row["n"] == 0 and row["p50"] is None
+
+
+@pytest.mark.parametrize("values", [
+    [f"User_{i:06d}" for i in range(3000)], [f"{i:08d}" for i in range(3000)], ["same"] * 50 + [f"same{i}" for i in range(2000)],
+])
+def test_sketched_segments_are_even_and_answers_right(spark, values):
+    df = spark.createDataFrame([("k", v, i) for i, v in enumerate(values)], "key string, v string, i int")
+    cut, segment = sketched(df, ["key"], ["v", "i"], 64)
+    rows = ordered(cut, ["key"], ["v", "i"], [Position("pos")], segment).collect()
+    want = {i: n for n, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
+    assert {r.i: r.pos for r in rows} == want
+    sizes = [r["count"] for r in cut.groupBy(segment.alias("s")).count().collect()]
+    assert len(sizes) > 32 and max(sizes) < len(values) / 5
+
+
+def test_null_case_can_be_hot(spark):
+    rows = [(None, i) for i in range(60)] + [("a", i) for i in range(30)] + [("b", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "case_id string, seq int").withColumn("ts", F.timestamp_seconds(F.col("seq").cast("long")))
+    spec = measure_hot(df, LogSpec(), 10)
+    edges = {r[0]: len(r[1]) for r in spec.hot.collect()}
+    assert edges == {None: 5, "a": 2}
+    got = {(r.case_id, r.seq): r.pos for r in over_trace(df, spec, [Position("pos")]).collect()}
+    assert got == {(c, i): i for c, i in rows}

@@ -98,3 +98,11 @@ def test_summary_order(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "s")).columns == ["b", "a"]
     with pytest.raises(ValueError, match="unknown format"):
         S.write_summary(df, ["a"], str(tmp_path / "q"), "xls")
+
+
+def test_fingerprint_sums_do_not_overflow(spark):
+    df = spark.range(64).withColumn("t", F.lit("x"))
+    a = S.table_fingerprint(df, ["id", "t"]).first()
+    assert a.n_rows == 64 and all(int(x) > 2**63 for x in a.content_sum.split(":"))
+    assert S.table_fingerprint(df.orderBy(F.desc("id")), ["id", "t"]).first() == a
+    assert S.table_fingerprint(df.filter("id < 0"), ["id"]).first().content_sum == "0:0"

@@ -164,7 +164,6 @@ def ordered(
     features: list[Feature],
     segment: Column | None = None,
     hot_only: Column | None = None,
-    bounded: bool = False,
 ) -> DataFrame:
     """Add ordered ``features`` per ``keys``.
 
@@ -200,10 +199,14 @@ def ordered(
         seg,
         *[f.across(f"__sum_{i}", outer, outer_whole).alias(f"__there_{i}") for i, f in enumerate(features)],
     )
-    if bounded or hot_only is not None:
+    if hot_only is not None:
         summary = F.broadcast(summary)
     r, s = rows.alias("__r"), summary.alias("__s")
-    on = [F.col(f"__r.{c}") == F.col(f"__s.{c}") for c in [*keys, seg]]
+    on = [
+        F.col(f"__r.{c}") == F.col(f"__s.{c}") if hot_only is None or c == seg
+        else F.col(f"__r.{c}").eqNullSafe(F.col(f"__s.{c}"))
+        for c in [*keys, seg]
+    ]
     joined = r.join(s, on, "left")
     return joined.select(
         *[F.col(f"__r.{c}") for c in df.columns if c not in {f.name for f in features}],
@@ -219,9 +222,8 @@ def over_trace(df: DataFrame, spec: LogSpec, features: list[Feature], keys: list
     keys = keys or [spec.case]
     if spec.hot is None:
         return ordered(df, keys, list(spec.order), features)
-    tagged = df.join(
-        F.broadcast(spec.hot.withColumnRenamed("edges", "__edges")), spec.case, "left"
-    )
+    hot = F.broadcast(spec.hot.select(F.col(spec.case).alias("__case"), F.col("edges").alias("__edges")))
+    tagged = df.join(hot, df[spec.case].eqNullSafe(hot["__case"]), "left").drop("__case")
     segment = F.when(F.col("__edges").isNull(), F.lit(0)).otherwise(
         F.size(F.filter("__edges", lambda e: e < F.col(spec.ts)))
     )
@@ -231,6 +233,25 @@ def over_trace(df: DataFrame, spec: LogSpec, features: list[Feature], keys: list
     return out.drop("__edges")
 
 
+def sketched(df: DataFrame, keys: list[str], order: list[str], size: int = 256) -> tuple[DataFrame, Column]:
+    """``df`` with ``__edges`` per key, and the segment of each row between them.
+
+    The edges are the order keys of smallest hash, ``size`` at most per key (a bottom-k
+    sample of the distinct ones), so segments are about even whatever the values
+    look like: shared prefixes, narrow ranges, one day. Spark limits the ranks before
+    the shuffle. Equal order keys share a segment; answers don't depend on the edges.
+    """
+    place = F.struct(*order)
+    lowest = Window.partitionBy(*keys).orderBy("__hash")
+    picked = (
+        df.select(*keys, place.alias("__place"), F.xxhash64(*order).alias("__hash"))
+        .withColumn("__nth", F.row_number().over(lowest)).filter(F.col("__nth") <= size)
+    )
+    edges = picked.groupBy(*keys).agg(F.array_sort(F.collect_set("__place")).alias("__edges"))
+    out = df.join(edges, keys, "left")
+    return out, F.size(F.filter(F.coalesce("__edges", F.array().cast(edges.schema["__edges"].dataType)), lambda e: e < place))
+
+
 def seeded_hash(seed: int, salt: str, *cols: str) -> Column:
     """Reproducible shuffle key: md5 over seed, salt and the row's identity."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[F.col(c).cast("string") for c in cols]))

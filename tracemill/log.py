@@ -55,17 +55,23 @@ def measure_hot(df: DataFrame, spec: LogSpec, hot_rows: int = DEFAULT_HOT_ROWS)
     names = spark.createDataFrame(
         [(r[0], r[1]) for r in hot], f"`{spec.case}` {type_of_case}, rows long"
     )
-    steps = max(-(-r[1] // hot_rows) for r in hot)
-    probs = [i / steps for i in range(1, steps)]
+    # Each case takes as many steps as its own rows need, from one grid of quantiles.
+    grid = max(-(-r[1] // hot_rows) for r in hot)
+    placed = df.select(F.col(spec.case).alias("__case"), spec.ts)
+    at = placed["__case"].eqNullSafe(names[spec.case])
     edges = (
-        df.select(spec.case, spec.ts)
-        .join(F.broadcast(names), spec.case)
-        .groupBy(spec.case)
-        .agg(F.percentile_approx(spec.ts, probs).alias("edges"))
+        placed.join(F.broadcast(names), at)
+        .groupBy(spec.case, "rows")
+        .agg(F.percentile_approx(spec.ts, [i / grid for i in range(1, grid)]).alias("grid"))
         .collect()
     )
+
+    def own(rows: int, values: list) -> list:
+        steps = -(-rows // hot_rows)
+        return sorted({values[-(-i * grid // steps) - 1] for i in range(1, steps)})
+
     planned = spark.createDataFrame(
-        [(r[0], sorted(set(r[1]))) for r in edges],
+        [(r[0], own(r[1], r[2])) for r in edges],
         f"`{spec.case}` {type_of_case}, edges array<{type_of_ts}>",
     )
     return replace(spec, hot=planned)

@@ -33,7 +33,7 @@ def _rows(client: str, family: str, entries: list[tuple[str, str, Column]]) -> l
 
 
 def local_stats(
-    df: DataFrame, cap: int, categorical: Sequence[str], numeric: Mapping[str, str | None],
+    df: DataFrame, cap: int | None, categorical: Sequence[str], numeric: Mapping[str, str | None],
     transform: str = "raw", client: str = "client_id", case: str = "case_id", index: str = "event_index",
     n_events: str = "n_events", outcome: str = "outcome", remaining: str = "remaining_time",
 ) -> DataFrame:
@@ -45,7 +45,7 @@ def local_stats(
     n = F.count(F.lit(1))
     sizes = df.groupBy(client, "split", case).agg(n.alias("n"))
     counts = sizes.groupBy(client).agg(
-        n.alias("c"), F.sum("n").alias("e"), F.sum(F.least("n", F.lit(cap))).alias("p"), F.max("n").alias("m")
+        n.alias("c"), F.sum("n").alias("e"), F.sum("n" if cap is None else F.least("n", F.lit(cap))).alias("p"), F.max("n").alias("m")
     ).select(*_rows(client, "counts", [
         ("cases", "", F.col("c")), ("events", "", F.col("e")), ("prefixes", "", F.col("p")), (MAX_KEY, "", F.col("m")),
     ])).select(client, "x.*")
@@ -68,7 +68,7 @@ def local_stats(
     }
     seconds = _not_negative(F.col(remaining).cast("double"))
     last = F.col(index) == F.col(n_events) - 1
-    fits = (F.col(index) < cap) & ~last & (seconds > 0)
+    fits = (F.lit(True) if cap is None else F.col(index) < cap) & ~last & (seconds > 0)
     masked[("target", f"remaining_time_{transform}")] = F.when(fits, _transformed(seconds, transform))
     # Feature and target moments come from one pass over the train events.
     facts, entries = [], []

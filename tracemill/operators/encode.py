@@ -12,13 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracemill.functions.contract import CYCLIC_FIELDS
 from tracemill.functions.labels import END_TOKEN, MISSING_TOKEN, OTHER_TOKEN, PAD_TOKEN, UNK_TOKEN, clean_token
-from tracemill.functions.ordered import Position, ordered
+from tracemill.functions.ordered import Position, ordered, sketched
 from tracemill.functions.quantiles import quantiles, with_scalars
 
 TRANSFORMS = ("raw", "log")
 SCALINGS = ("raw", "median", "zscore")
-# No window over one case may collect more than this many events.
-MAX_CAP = 1_000
 
 
 def reserved_tokens(activity: bool = False, target: bool = False) -> list[str]:
@@ -38,7 +36,8 @@ def _vocabulary(tokens: DataFrame, reserved: Mapping[str, Sequence[str]]) -> Dat
         [(f, t, i) for f, many in reserved.items() for i, t in enumerate(many)], "field string, token string, id long"
     )
     free = tokens.join(F.broadcast(fixed.select("field", "token")), ["field", "token"], "left_anti")
-    placed = ordered(free, ["field"], ["token"], [Position("pos")], F.substring("token", 1, 8))
+    cut, segment = sketched(free, ["field"], ["token"])
+    placed = ordered(cut, ["field"], ["token"], [Position("pos")], segment)
     offset = F.lit(None).cast("long")
     for f, many in reserved.items():
         offset = F.when(F.col("field") == f, F.lit(len(many))).otherwise(offset)
@@ -122,11 +121,15 @@ def prefix_index(df: DataFrame, keys: Sequence[str], cap: int | None) -> DataFra
     )
 
 
-def prefix_counts(df: DataFrame, cap: int, dataset: str = "dataset_id", client: str = "client_id",
+def _within(index: str, cap: int | None) -> Column:
+    return F.lit(True) if cap is None else F.col(index) < cap
+
+
+def prefix_counts(df: DataFrame, cap: int | None, dataset: str = "dataset_id", client: str = "client_id",
                   split: str = "split", case: str = "case_id") -> DataFrame:
     """Cases, events, prefixes and longest trace per client and in total (null client)."""
     sizes = df.groupBy(dataset, client, split, case).agg(F.count(F.lit(1)).alias("n"))
-    sized = sizes.withColumn("p", F.least("n", F.lit(cap)))
+    sized = sizes.withColumn("p", F.col("n") if cap is None else F.least("n", F.lit(cap)))
     return (
         sized.groupingSets([[dataset, client], []], dataset, client)
         .agg(
@@ -150,10 +153,10 @@ def _case_arrays(
     """Case rows with an ordered array of at most ``cap`` events and the full length.
 
     The length is counted apart from the array, so events beyond the cap are
-    dropped before they are collected.
+    dropped before they are collected. Padded arrays need a cap: it is the size of
+    every array, so the caller chooses it by the memory of a task. Without one,
+    :func:`prefix_index` beside the event table says the same without arrays.
     """
-    if cap > MAX_CAP:
-        raise ValueError(f"prefix cap {cap} is above {MAX_CAP}")
     one = F.struct(F.col(index).alias("__i"), *[c.alias(n) for n, c in row.items()])
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"),
@@ -215,7 +218,7 @@ def prefix_state_arrays(
 
 
 def prefix_labels(
-    df: DataFrame, keys: Sequence[str], index: str, n_events: str, cap: int, next_token: str, remaining: str,
+    df: DataFrame, keys: Sequence[str], index: str, n_events: str, cap: int | None, next_token: str, remaining: str,
     outcome: str, vocab: DataFrame, target_field: str = "next_activity_target", target: DataFrame | None = None,
 ) -> DataFrame:
     """Labels of each prefix, taken from its last event.
@@ -224,7 +227,7 @@ def prefix_labels(
     prefix of length ``k`` is the event at ``k - 1``. An unseen next token has
     mask 0, as has the remaining time on the last event of the case.
     """
-    at = df.filter(F.col(index) < cap)
+    at = df.filter(_within(index, cap))
     side = vocab.filter(F.col("field") == target_field).select(
         F.col("token").alias("__t"), F.col("id").alias("next_label")
     )
@@ -249,10 +252,10 @@ def _transformed(x: Column, transform: str) -> Column:
     return F.log1p(x) if transform == "log" else x
 
 
-def target_population(df: DataFrame, index: str, n_events: str, cap: int, remaining: str, split: str = "split") -> DataFrame:
+def target_population(df: DataFrame, index: str, n_events: str, cap: int | None, remaining: str, split: str = "split") -> DataFrame:
     """Train prefix targets within the cap, without the last event of a case."""
     return df.filter(
-        (F.col(split) == "train") & (F.col(index) < cap) & (F.col(index) < F.col(n_events) - 1)
+        (F.col(split) == "train") & _within(index, cap) & (F.col(index) < F.col(n_events) - 1)
     ).select(F.col(remaining).cast("double").alias("seconds"))
 
 

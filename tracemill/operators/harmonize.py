@@ -19,8 +19,6 @@ from tracemill.functions.ordered import Position, Preceding, Whole, ordered, ove
 from tracemill.functions.quantiles import with_scalars
 from tracemill.log import LogSpec
 
-MAX_LITERAL_ROWS = 5_000
-
 
 @dataclass(frozen=True)
 class SourceMapping:
@@ -79,11 +77,9 @@ def to_canonical(
 
 
 def _literal_frame(spark: SparkSession, pairs: Mapping[str, str], key: str, value: str) -> DataFrame:
-    """Reviewed lookup as a broadcast frame; its size is checked here."""
-    if len(pairs) > MAX_LITERAL_ROWS:
-        raise ValueError(f"reviewed mapping has {len(pairs)} rows, more than {MAX_LITERAL_ROWS}")
+    """Reviewed lookup as a frame of known size, so the planner chooses the join."""
     rows = [(str(k), str(v)) for k, v in pairs.items()]
-    return F.broadcast(spark.createDataFrame(rows, f"`{key}` string, `{value}` string"))
+    return spark.createDataFrame(rows, f"`{key}` string, `{value}` string")
 
 
 def flatten_labels(by_dataset: Mapping[str, Mapping[str, str]], dataset_aware: bool = False) -> dict[str, str]:
@@ -275,13 +271,11 @@ def match_columns(
     """Best source column per canonical field.
 
     ``names`` holds the column names with their position; ties keep the first.
-    The alias list is a literal of checked size exploded on each name, so pairs
+    The alias list is a literal exploded on each name, so pairs
     are scored where the names are, without a join. Fields below the threshold
     come back with a null column.
     """
     pairs = [(f, a) for f, many in aliases.items() for a in many]
-    if len(pairs) > MAX_LITERAL_ROWS:
-        raise ValueError("too many aliases")
     literal = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("alias")) for f, a in pairs])
     scored = (
         names.select(F.col(name).alias("__name"), F.col(position).alias("__pos"), F.explode(literal).alias("x"))
@@ -304,16 +298,14 @@ def match_labels(
     """Best canonical label per distinct raw label of the same prefix.
 
     ``raw`` holds ``(dataset_id, label)`` of all splits, ``canonical`` maps the
-    contract's labels to their descriptions. That list is a literal of checked
-    size, filtered by prefix on each raw label, so the work is linear in the
+    contract's labels to their descriptions. That list is a literal,
+    filtered by prefix on each raw label, so the work is linear in the
     distinct raw labels. The score is the better of label and description; ties
     keep the first label listed. Labels below the threshold come back unresolved
     (null), labels without any candidate with a null score.
     """
     if mode not in ("character", "word"):
         raise ValueError(f"unknown similarity mode: {mode!r}")
-    if len(canonical) > MAX_LITERAL_ROWS:
-        raise ValueError("too many canonical labels")
     drop = (*_IGNORED, *_ORIGINS)
     literal = F.array(*[
         F.struct(

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracemill.functions.ordered import Position, Whole, hash_ranked, ordered
+from tracemill.functions.ordered import Position, Whole, hash_ranked, ordered, sketched
 from tracemill.functions.quantiles import banded, with_scalars
 from tracemill.session import settle
 
@@ -331,14 +331,14 @@ def temporal_split(
 ) -> DataFrame:
     """Train, validation and test by case start inside each group.
 
-    Group sizes round half to even. The order is spread over segments of one
-    minute; equal starts go by case id.
+    Group sizes round half to even. The order is spread over sketched segments of
+    (start, case), so cases of one day or one instant are spread as well.
     """
-    minute = F.floor(F.unix_micros(start) / F.lit(60_000_000))
+    cut, segment = sketched(df, list(by), [start, case])
     ranked = ordered(
-        df, list(by), [start, case],
-        [Position("__rank"), Whole("__n", F.lit(1).cast("long"), "sum")], minute,
-    )
+        cut, list(by), [start, case],
+        [Position("__rank"), Whole("__n", F.lit(1).cast("long"), "sum")], segment,
+    ).drop("__edges")
     train = F.rint(F.col("__n") * F.lit(ratios[0]))
     val = F.rint(F.col("__n") * F.lit(ratios[1]))
     split = (

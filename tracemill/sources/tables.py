@@ -116,13 +116,21 @@ def row_text(cols: Sequence[str | Column]) -> Column:
 
 
 def table_fingerprint(df: DataFrame, cols: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
-    """Order-free content identity: row count and sum of a slice of each row's MD5.
+    """Order-free content identity: row count and sums of the two halves of each row's MD5.
 
-    Adds up map-side; equal content gives equal values wherever and whenever it is read.
+    Adds up map-side; equal content gives equal values wherever and whenever it is
+    read. Each half counts 60 bits and is summed as a decimal, so no number of rows overflows.
     """
-    part = F.conv(F.substring(F.md5(row_text(cols)), 1, 8), 16, 10).cast("long")
+    digest = F.md5(row_text(cols))
+
+    def half(start: int) -> Column:
+        bits = F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
+        return F.coalesce(F.sum(bits.cast("decimal(28,0)")), F.lit(0)).cast("string")
+
     grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).alias("content_sum"))
+    return grouped.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.concat_ws(":", half(1), half(17)).alias("content_sum")
+    )
 
 
 def write_summary(df: DataFrame, cols: Sequence[str], path: str, fmt: str = "csv") -> None:
