@@ -246,7 +246,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_k1", "_k2").distinct()
     )
     k = docs.select(*[f"`{c}`" for c in docs.columns], *row_key(docs))
-    kept = k.join(drop, ["_k1", "_k2"], "left_anti")
+    # Joined by shuffle at every size: the rows to drop grow with the corpus.
+    kept = k.join(drop.hint("shuffle_hash"), ["_k1", "_k2"], "left_anti")
     if several.isEmpty():
         return kept.select(*[f"`{c}`" for c in docs.columns])
     keys = settle(first.join(several, "head").select("_k1", "_k2", "head").distinct())
