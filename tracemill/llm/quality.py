@@ -12,7 +12,7 @@ from tracemill.llm.features import Hasher, drawn, score_texts, slots
 BITS = 15
 DIM = 16
 ORDERS = (3, 4)
-#: Texts per label that a model is fitted on, about; longer texts than ``FIT_CHARS`` aren't drawn.
+#: Labels of each value that a model is fitted on, about; longer texts than ``FIT_CHARS`` are left out.
 FIT_ROWS = 2_500
 FIT_CHARS = 20_000
 THRESHOLD = 0.7
@@ -89,8 +89,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, epochs: in
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = FIT_ROWS) -> Model | None:
     """A model from labelled rows outside ``held_out``; None where a label is missing altogether."""
     known = labels.filter(F.col("quality").isNotNull() & ~held_out).select("doc_id", "quality").distinct()
+    drawn_labels, count = drawn(known, F.col("quality"), F.col("doc_id"), fit_rows)
+    if not drawn_labels:
+        return None
+    # About ``fit_rows`` labels of each value, so they may go to every task.
+    picked = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in drawn_labels], known.schema)
     texts = docs.filter(F.length("text").between(1, FIT_CHARS)).select("doc_id", "text")
-    sample, count = drawn(texts.join(known, "doc_id"), F.col("quality"), F.xxhash64("doc_id", "text"), fit_rows)
+    sample = texts.join(F.broadcast(picked), "doc_id").collect()
     hasher = Hasher()
     rows = [(*counts(hasher, r["text"]), int(r["quality"] > 0)) for r in sorted(
         sample, key=lambda r: (str(r["doc_id"]), r["text"], r["quality"]))]

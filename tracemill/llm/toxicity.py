@@ -175,7 +175,9 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, positives: int =
     texts = everything.filter(F.length("text").between(1, FIT_CHARS))
     key = F.xxhash64("doc_id", "text")
     some = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30)) < int(min(1.0, positives / n_toxic) * (1 << 30))
-    toxic = settle(texts.join(known.filter("toxic > 0").filter(some).select("doc_id").distinct(), "doc_id"))
+    # About ``positives`` ids at most, so they may go to every task.
+    picked = known.filter("toxic > 0").filter(some).select("doc_id").distinct()
+    toxic = settle(texts.join(F.broadcast(picked), "doc_id"))
     n_p = toxic.count()
     if not n_p:
         return None, prior
