@@ -69,7 +69,8 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, slots: in
     plan = settle(source_targets(sized, weights, max_repeat))
     rows = ranked(sized, plan, max_repeat)
     certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
-    cuts = (
+    # Written, so that its size is known to the joins with the rows of a large source.
+    cuts = settle(
         plan.join(certain, plan["source"].eqNullSafe(certain["source"]), "left").drop(certain["source"])
         .withColumn("gap0", F.greatest(F.col("target") - F.coalesce("certain", F.lit(0)), F.lit(0.0)))
         .withColumn("cut0", F.lit(-1.0))
