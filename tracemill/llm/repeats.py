@@ -263,7 +263,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     """
     keyed = docs.select("doc_id", "text", *row_key(docs))
     counts = docs.select("text").mapInArrow(_parse(length, gram, False), "core long, n long")
-    again = counts.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select("core")
+    # Written, so that the join below can split a trigger that very many texts share.
+    again = settle_and_free(counts.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select("core"))
     parsed = keyed.select("_k1", "_k2", "text").mapInArrow(_parse(length, gram, True), PHRASE)
     shared = settle_and_free(parsed.join(again, "core").withColumn("lone", F.lit(True)))
     whole, probes = _dictionary(shared, ["start", "n", "ahead"])
@@ -295,11 +296,11 @@ def _dictionary(shared: DataFrame, place: list[str]) -> tuple[DataFrame, DataFra
     too; it is ``lone`` if what is found there has yet to be marked.
     """
     row = F.struct("_k1", "_k2", *place, "lone")
-    book = settle(
+    book = settle_and_free(
         shared.groupBy("core", "phrase").agg(F.count(F.lit(1)).alias("times"), F.min(row).alias("at"))
     )
-    several = book.groupBy("core").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1").select("core")
+    several = settle(book.groupBy("core").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1").select("core"))
     open_ = book.join(several, "core").select("at.*", "times").withColumn("lone", F.col("lone") & (F.col("times") == 1))
-    probes = settle(open_.groupBy("_k1", "_k2").agg(F.collect_list(F.struct(*place, "lone")).alias("probes")))
+    probes = settle_and_free(open_.groupBy("_k1", "_k2").agg(F.collect_list(F.struct(*place, "lone")).alias("probes")))
     whole = shared.filter("lone").join(book.filter("times > 1").select("core", "phrase"), ["core", "phrase"])
     return whole.select("_k1", "_k2", "start", "n"), probes
