@@ -110,7 +110,7 @@ def choose(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int, prior: float, limit
     return best, np.log(s / (1 - s)) - np.log(prior / (1 - prior))
 
 
-def fit(xp: np.ndarray, xu: np.ndarray, prior: float, start: np.ndarray, steps: int = 300, rate: float = 0.05,
+def fit(xp: np.ndarray, xu: np.ndarray, prior: float, start: np.ndarray, steps: int = 150, rate: float = 0.03,
         decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative PU risk, with the sigmoid loss, by Adam on all rows from ``start``.
 
