@@ -107,14 +107,15 @@ class Rule:
 
 
 def labelled_sample(measured: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[int, list[float]]]:
-    """At most ``rows`` labelled rows that pass the base rules: (is bad, features)."""
+    """About ``rows`` labelled rows that pass the base rules, all where there are fewer: (is bad, features)."""
     known = labels.filter(F.col("quality").isNotNull()).select("doc_id", "quality").distinct()
-    picked = (
-        measured.filter(~F.col("base_failed")).join(known, "doc_id")
-        .select(F.xxhash64("doc_id").alias("o"), (F.col("quality") == 0).cast("int").alias("bad"), *FEATURES)
-        .orderBy("o", "bad", *FEATURES).limit(rows).collect()
+    passed = measured.filter(~F.col("base_failed")).join(known, "doc_id")
+    share = min(1.0, rows / max(1, passed.count()))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30))
+    picked = passed.filter(place < int(share * (1 << 30))).select(
+        F.xxhash64("doc_id").alias("o"), (F.col("quality") == 0).cast("int").alias("bad"), *FEATURES
     )
-    return [(r["bad"], [float(r[f]) for f in FEATURES]) for r in picked]
+    return [(r["bad"], [float(r[f]) for f in FEATURES]) for r in sorted(picked.collect())]
 
 
 def learn(sample: list[tuple[int, list[float]]], bins: int = 24, max_rules: int = 12, max_tests: int = 4,
