@@ -6,11 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from queries.bindings import L, LP, O, log_l, micros, order_cases, table, with_
+from queries.bindings import CASES, L, LP, O, log_l, micros, order_cases, table, with_
 from queries.encoding_queries import CANON, canonical
+from queries.partition_queries import DESIGN, decided, layout_sql
 from queries.registry import query
 from tracemill.functions.quantiles import with_scalars
 from tracemill.log import LogSpec
+from tracemill.operators import partition as P
+from tracemill.plans.partitioning import partition
 from tracemill.session import shared_folder
 from tracemill.sources import tables as S
 from tracemill.sources.xes import read_xes
@@ -113,6 +116,18 @@ def write_splits(spark, sf):
     return _counts(S.read_splits(spark, path))
 
 
+@query("S04_partition_stats", with_(CASES, layout_sql("q", "iid", 3)) + """
+SELECT o.bank, count(*) AS n_cases, CAST(sum(n_events) AS BIGINT) AS n_events, count(*) FILTER (WHERE outcome = 2) AS n_approved
+FROM decided d JOIN qout o ON o.case_id = d.case_id GROUP BY o.bank""")
+def partition_stats(spark, sf):
+    cases = decided(spark, sf)
+    cut = P.temporal_split(cases.join(partition(cases, "iid", 3, DESIGN), "case_id"))
+    stats = P.partition_summary(cut).select("bank", "n_cases", "n_events", "n_approved")
+    path = _fresh(spark, "layout")
+    S.write_layout(cut.select("case_id", "bank", "split"), stats, {"config": "iid_3banks", "seed": 42}, path)
+    return spark.read.option("header", "true").schema("bank string, n_approved long, n_cases long, n_events long").csv(f"{path}/stats")
+
+
 @query("S05_file_fingerprint")
 def file_fingerprint(spark, sf):
     return S.file_fingerprint(spark, sf, "*.parquet")

@@ -106,3 +106,14 @@ def test_fingerprint_sums_do_not_overflow(spark):
     assert a.n_rows == 64 and all(int(x) > 2**63 for x in a.content_sum.split(":"))
     assert S.table_fingerprint(df.orderBy(F.desc("id")), ["id", "t"]).first() == a
     assert S.table_fingerprint(df.filter("id < 0"), ["id"]).first().content_sum == "0:0"
+
+
+def test_layout_sink_writes_record_and_few_files(spark, tmp_path):
+    df = spark.range(1000).repartition(8).select(
+        "id", F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("bank"), F.lit("train").alias("split"))
+    stats = df.groupBy("bank").agg(F.count(F.lit(1)).alias("n_cases"))
+    S.write_layout(df, stats, {"seed": 42, "config": "iid"}, str(tmp_path / "l"))
+    assert S.read_splits(spark, str(tmp_path / "l/events"), ["A"]).count() == 500
+    assert {(r.bank, r.n_cases) for r in spark.read.csv(str(tmp_path / "l/stats"), header=True, inferSchema=True).collect()} == {("A", 500), ("B", 500)}
+    assert spark.read.text(str(tmp_path / "l/metadata")).first().value == '{"config": "iid", "seed": 42}'
+    assert len(list((tmp_path / "l/events").rglob("*.parquet"))) <= 4

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -45,9 +46,22 @@ def case_rows(df: DataFrame, spec: LogSpec, cols: Sequence[str]) -> DataFrame:
 def write_splits(df: DataFrame, root: str, bank: str = "bank", split: str = "split", max_records: int = 5_000_000) -> None:
     """One table partitioned by bank and split; the pooled copy is the same table without a bank filter.
 
-    Rows keep their partitioning, so a large bank is written by many tasks.
+    Rows of a folder come together before the write, so small folders get one file;
+    Spark splits what is large, so a large bank is still written by many tasks.
     """
-    df.write.mode("errorifexists").option("maxRecordsPerFile", max_records).partitionBy(bank, split).parquet(root)
+    df.hint("rebalance", F.col(bank), F.col(split)).write.mode("errorifexists").option("maxRecordsPerFile", max_records).partitionBy(bank, split).parquet(root)
+
+
+def write_layout(df: DataFrame, stats: DataFrame, settings: Mapping[str, object], root: str) -> None:
+    """A layout with its record: ``events`` by bank and split, ``stats`` as CSV, ``metadata`` as one JSON line.
+
+    ``stats`` holds a row per bank; its columns are written in name order. ``settings`` are the
+    caller's configuration, provenance and warnings, with sorted keys.
+    """
+    write_splits(df, f"{root}/events")
+    write_summary(stats, sorted(stats.columns), f"{root}/stats")
+    line = json.dumps(settings, sort_keys=True, default=str)
+    df.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{root}/metadata")
 
 
 def read_splits(spark: SparkSession, root: str, banks: Sequence[str] | None = None, splits: Sequence[str] | None = None) -> DataFrame:
