@@ -208,4 +208,4 @@ def mix_sql(seed: str = "mix") -> str:
   budget AS (SELECT *, greatest(target - sum(whole * size) OVER (PARTITION BY source), 0.0) AS gap0, -1.0 AS cut0 FROM f),
   {','.join(rounds).strip()},
   c AS (SELECT *, whole + (CASE WHEN size > 0 AND ({more}) THEN 1 ELSE 0 END) AS copies FROM {prior})
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target::DOUBLE AS target, (copies * size)::BIGINT AS taken FROM c"""
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target::DOUBLE, 6) AS target, (copies * size)::BIGINT AS taken FROM c"""

@@ -52,7 +52,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source targets."""
     out = mix(table(spark, sf_dir, "documents"), keep_text=False)
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 @query("op8_simhash")
