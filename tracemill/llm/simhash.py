@@ -239,7 +239,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that share that id (or have none where all ids are null) one stays.
     """
     fps = settle(fingerprints(docs))
-    marked = fps.join(clusters(fps), "fp")
+    return drop_copies(docs, fps.join(clusters(fps), "fp"))
+
+
+def drop_copies(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``marked`` (row key, doc_id, head and component_id of every row) shows to be copies."""
     first = settle(marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
     several = settle(first.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head"))
     drop = settle(
