@@ -33,6 +33,16 @@ def test_blocks_spread_over_links_but_not_over_allows(spark):
     assert got == {i: "block" if i in blocked else "allow" for i in range(len(rows))}
 
 
+def test_canonical_in_any_case_and_place_of_rel(spark):
+    tags = ['<LINK REL="CANONICAL" HREF="{}">', "<link rel='Canonical' href='{}'>", '<link rel="alternate canonical" href="{}">',
+            '<link href="{}" rel=\'nofollow\n CANONICAL alternate\' />', "<link rel=Canonical href={}>", "<link href={} rel=CANONICAL/>"]
+    others = ['<link rel="canonical-like" href="{}">', '<link rel="alternate" title="canonical" href="{}">',
+              '<link rel="not-canonical" href="{}">', '<link data-rel="canonical" href="{}">']
+    rows = [(f"http://s{i}.io/", t.format("http://bad.org/x")) for i, t in enumerate(tags + others)]
+    got = verdicts(filter_urls(pages_of(spark, rows), spark.createDataFrame(RULES, RULE_SCHEMA)))
+    assert got == {i: "block" if i < len(tags) else "allow" for i in range(len(rows))}
+
+
 def test_given_links_and_long_chains(spark):
     rows = [(f"http://h{i}.io/", None) for i in range(40)] + [("http://bad.org/", None)]
     links = spark.createDataFrame([(f"h{i}.io/", f"h{i + 1}.io/") for i in range(29)] + [("h29.io/", "bad.org/")], "a string, b string")

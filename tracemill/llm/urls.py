@@ -8,6 +8,10 @@ from tracemill.llm.common import components
 from tracemill.session import settle
 
 RULE_SCHEMA = "host string, path string, verdict string"
+#: ``canonical`` as any of the tokens of rel, in any case.
+CANONICAL = (
+    r"""(?is)(?<![\w-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -37,9 +41,9 @@ def page_links(pages: DataFrame) -> DataFrame:
     from the page's url, others are relative to its folder. Pages without url or html give none.
     """
     tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)))
-    some = F.col("html").contains("canonical") | F.lower("html").contains("http-equiv")
+    some = F.lower("html").contains("canonical") | F.lower("html").contains("http-equiv")
     tags = settle(pages.filter(some & F.col("url").isNotNull()).select("url", tag.alias("tag")))
-    canonical = F.col("tag").rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b")
+    canonical = F.col("tag").rlike(CANONICAL)
     refresh = F.col("tag").rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b")
     target = F.when(canonical, F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).when(
         refresh, F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
