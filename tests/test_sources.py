@@ -1,7 +1,9 @@
 """Sources and sinks."""
 
 import datetime as dt
+import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +89,29 @@ def test_fingerprints(spark, tmp_path):
     assert one != S.table_fingerprint(a.fillna(""), ["a", "b"]).first()
 
 
+def test_file_fingerprint_in_many_chunks(spark, tmp_path):
+    rng = random.Random(3)
+    bom, noise = b"\xef\xbb\xbf", rng.randbytes(3_000_000)
+    files = {
+        "noise.bin": noise, "ends.bin": noise + b"\n", "two.bin": noise[:70_000] + b"\n\n", "marked.bin": bom + noise[:90_000],
+        "marked_ends.bin": bom + b"a\r\nb\rc\n", "mark.bin": bom, "marks.bin": bom + bom, "newline.bin": b"\n", "newlines.bin": b"\n" * 5000, "empty.bin": b"",
+        "long line.bin": b"x" * 400_000, "zeros%20.bin": bytes(300_000), "utf.bin": b"\xff\xfe\x00" * 999, "packed.bin.gz": gzip.compress(noise[:5000]),
+    }
+    for i, (name, data) in enumerate(files.items()):
+        (tmp_path / f"d{i % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 2}" / name).write_bytes(data)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        # A file read into one cell would fail at this length.
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "10000")
+        got = {r.file_name: (r.length, r.md5, r.sha256) for r in S.file_fingerprint(spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {n: (len(d), hashlib.md5(d).hexdigest(), hashlib.sha256(d).hexdigest()) for n, d in files.items() if d}
+
+
 def test_case_rows_keep_nulls(spark):
     df = spark.createDataFrame([("a", 2, 1, "x"), ("a", 1, 2, None), ("b", 1, 1, "y")], "case_id string, ts int, seq int, v string")
     assert {(r.case_id, r.v) for r in S.case_rows(df, LogSpec(), ["v"]).collect()} == {("a", None), ("b", "y")}

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window, functions as F
 
+import tracemill
 from tracemill.log import LogSpec
 
+# Workers need not have this package on their path: functions travel by value.
+cloudpickle.register_pickle_by_value(tracemill)
+
+#: Names that Spark's line reader unpacks.
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
+
 
 def log_totals(df: DataFrame, case: str) -> DataFrame:
     """Events and cases of a log."""
@@ -102,15 +112,76 @@ def require_splits(df: DataFrame, banks: Sequence[str], splits: Sequence[str] =
     return df
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MD5 and SHA-256 of each file of a stream of lines in file order, updated line by line."""
+    bom = b"\xef\xbb\xbf"
+
+    def closed(path: str, size: int, read: int, sums: list) -> pa.RecordBatch:
+        # The line reader drops a byte order mark and doesn't tell whether the last line ends with a newline.
+        if size - read not in (0, 1, 3, 4):
+            raise ValueError(f"{path}: read {read} of {size} bytes")
+        md5, sha256 = sums[size - read >= 3]
+        if (size - read) % 3:
+            md5.update(b"\n")
+            sha256.update(b"\n")
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path]), pa.array([md5.hexdigest()]), pa.array([sha256.hexdigest()])], names=["path", "md5", "sha256"])
+
+    last, size, read, sums = None, 0, 0, []
+    for batch in batches:
+        paths, sizes, lines = (batch.column(c).to_pylist() for c in ("path", "length", "line"))
+        i = 0
+        while i < len(paths):
+            e = i + 1
+            while e < len(paths) and paths[e] == paths[i]:
+                e += 1
+            part = b"\n".join(lines[i:e])
+            if paths[i] == last:
+                part = b"\n" + part
+            else:
+                if last is not None:
+                    yield closed(last, size, read, sums)
+                last, size, read = paths[i], sizes[i], 0
+                sums = [(hashlib.md5(start), hashlib.sha256(start)) for start in (b"", bom)]
+            read += len(part)
+            for md5, sha256 in sums:
+                md5.update(part)
+                sha256.update(part)
+            i = e
+    if last is not None:
+        yield closed(last, size, read, sums)
+
+
 def file_fingerprint(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """MD5 and SHA-256 of raw file bytes, one row per file."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load([paths] if isinstance(paths, str) else list(paths))
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length",
-        F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"),
+    """MD5 and SHA-256 of raw file bytes, one row per file.
+
+    Files are read in splits, as lines that end with the newline byte, and each file's lines go in order through
+    updating digests, so no task holds a file; it holds the longest stretch without a newline byte (2 GB at most).
+    Files named like compressed text, which Spark would unpack, are read whole.
+    """
+
+    def reader(kind: str) -> DataFrameReader:
+        r = spark.read.format(kind).option("recursiveFileLookup", "true")
+        return r.option("pathGlobFilter", glob) if glob else r
+
+    given = [paths] if isinstance(paths, str) else list(paths)
+    name, place = F.col("_metadata.file_name"), F.col("_metadata.file_path").alias("path")
+    packed = F.lower(name).rlike(PACKED)
+    files = reader("binaryFile").load(given).select(place, F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    lines = reader("text").option("lineSep", "\n").load(given).filter(~packed).select(
+        place, F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("line"),
+    )
+    # Within a split the ids follow the order of the lines.
+    ordered = lines.repartition("path").sortWithinPartitions("path", "start", "seq")
+    sums = ordered.mapInArrow(_digests, "path string, md5 string, sha256 string")
+    whole = reader("binaryFile").load(given).filter(packed).select(
+        place, F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    # A file of a mark alone has no line. Spark's listing leaves empty files out.
+    mark = F.when(F.col("length") == 3, F.unhex(F.lit("EFBBBF")))
+    return files.join(sums.unionByName(whole), "path", "left").select(
+        "file_name", "length",
+        F.coalesce("md5", F.md5(mark)).alias("md5"), F.coalesce("sha256", F.sha2(mark, 256)).alias("sha256"),
     )
 
 
