@@ -10,6 +10,8 @@ from tracemill.llm.common import fold, table
 from tracemill.llm.decontaminate import find_leaks
 from tracemill.llm.language import identify
 from tracemill.llm.mixing import mix, mix_sql
+from tracemill.llm.periods import periodic_runs, run_digest, with_tail_period
+from tracemill.llm.pieces import encode_pieces, piece_digest
 from tracemill.llm.quality import classify
 from tracemill.llm.repeats import remove_repeats
 from tracemill.llm.rules import quality_rules
@@ -99,6 +101,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, labels, fold(F.col("doc_id"), 3) == 1)
 
 
+@query("op11_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one document in ten with a tail made periodic."""
+    return run_digest(periodic_runs(with_tail_period(table(spark, sf_dir, "documents"))))
+
+
+@query("op13_pieces")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the text they decode to."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_digest(encode_pieces(table(spark, sf_dir, "documents"), model))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline."""
