@@ -11,6 +11,7 @@ from tracemill.llm.decontaminate import find_leaks
 from tracemill.llm.language import identify
 from tracemill.llm.mixing import mix, mix_sql
 from tracemill.llm.periods import periodic_runs, run_digest, with_tail_period
+from tracemill.llm.phrases import collocation_sql, collocations
 from tracemill.llm.pieces import encode_pieces, piece_digest
 from tracemill.llm.quality import classify
 from tracemill.llm.repeats import remove_repeats
@@ -107,6 +108,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(with_tail_period(table(spark, sf_dir, "documents"))))
 
 
+@query("op12_phrases", collocation_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of every language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_pieces")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the text they decode to."""
