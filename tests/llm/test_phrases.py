@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tracemill.llm import phrases
+from tracemill.llm.blocks import pack
 from tracemill.llm.phrases import collocation_sql, collocations, phrase_counts
 
 
@@ -61,15 +62,23 @@ def test_blocks_and_clashing_fingerprints(docs_of, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK_WORDS", 300)
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts(5))]
     want = brute([(r[2], r[1]) for r in rows])
-    # Three bits of fingerprint: nearly all n-grams clash.
-    block = phrases._Block({"words": [b"\n", b"a", b"b"], "codes": np.array([0, 1, 2, 1, 2, 0], np.int32).tobytes(), "lang": "en"})
-    same = lambda self, at, n: np.zeros(len(at), np.int64)
-    assert dict(block.phrases(2, block.prints(block.starts(2, None), 2))) == {b"a b": 2, b"b a": 1}
-    monkeypatch.setattr(phrases._Block, "prints", same)
-    assert dict(block.phrases(2, np.zeros(1, np.int64))) == {b"a b": 2, b"b a": 1}
+    block = phrases._Block({
+        "words": [b"\n", b"a", b"b"], "codes": pack(np.array([0, 1, 2, 1, 2, 0])), "places": 6, "lang": "en"})
+    at = block.longer(block.frequent_words(np.sort(block.word_prints())))
+    assert at.tolist() == [1, 2, 3] and dict(block.texts(at, 2)) == {b"a b": 2, b"b a": 1}
+    # All fingerprints of a length clash, in every block and over blocks.
+    monkeypatch.setattr(phrases._Block, "prints", lambda self, at, n: np.zeros(len(at), np.int64))
+    monkeypatch.setattr(phrases._Block, "word_prints", lambda self: np.ones(len(self.words), np.int64))
+    assert dict(block.texts(at, 2)) == {b"a b": 2, b"b a": 1}
     assert sorted(map(tuple, collocations(docs_of(rows)).collect())) == want
 
 
+def test_many_languages_share_a_task(docs_of, monkeypatch):
+    monkeypatch.setattr(phrases, "HELD_WORDS", 100)
+    rows = [(i, "one two three, one two " * (1 + i % 3), f"l{i % 9}", "s", 0) for i in range(200)]
+    assert sorted(map(tuple, collocations(docs_of(rows)).collect())) == brute([(r[2], r[1]) for r in rows])
+
+
 def test_one_phrase_everywhere_and_long_text(docs_of):
     rows = ["Same old words. " * 3, "same old words " * 5000] * 20
     got = [tuple(r) for r in collocations(docs_of(rows)).collect()]

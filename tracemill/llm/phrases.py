@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tracemill.llm.blocks import pack, unpack
 from tracemill.llm.common import settle_and_free
 from tracemill.session import settle
 
@@ -18,8 +19,9 @@ from tracemill.session import settle
 LEAST, MOST_WORDS, REPORTED, INSIDE = 30, 4, 2_000, 80
 SCALE = 2_000_000
 UNKNOWN = "und"
-#: Words of one block; fingerprints are counted inside a block before they are shuffled.
-BLOCK_WORDS = 1_500_000
+#: Words of one block of one language, and of all languages a task holds at once; fingerprints are counted inside a
+#: block before they are shuffled.
+BLOCK_WORDS, HELD_WORDS = 1_500_000, 6_000_000
 _BASE = 0x9E3779B97F4A7C15
 _ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 
@@ -32,20 +34,21 @@ def _words(text: str | None) -> list[bytes]:
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     r"""Blocks of one language: distinct words, and the texts as numbers into them (0 ends a piece)."""
-    task, blocks = TaskContext.get().partitionId(), 0
+    task, blocks, size = TaskContext.get().partitionId(), 0, 0
     held: dict[str, tuple[dict, list[np.ndarray]]] = {}
-    size = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        nonlocal blocks
-        for lang, (known, parts) in held.items():
-            codes = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | blocks], pa.int64()), pa.array([lang], pa.string()),
-                 pa.array([int(np.count_nonzero(codes))], pa.int64()), pa.array([list(known)], pa.list_(pa.binary())),
-                 pa.array([codes.tobytes()], pa.binary())],
-                names=["block", "lang", "n", "words", "codes"])
-            blocks += 1
+    sizes: Counter = Counter()
+
+    def row(lang: str) -> pa.RecordBatch:
+        nonlocal blocks, size
+        known, parts = held.pop(lang)
+        size -= sizes.pop(lang)
+        codes = np.concatenate(parts)
+        blocks += 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array([task << 32 | blocks], pa.int64()), pa.array([lang], pa.string()),
+             pa.array([int(np.count_nonzero(codes))], pa.int64()), pa.array([len(codes)], pa.int64()),
+             pa.array([list(known)], pa.list_(pa.binary())), pa.array([pack(codes)], pa.binary())],
+            names=["block", "lang", "n", "places", "words", "codes"])
 
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
@@ -60,10 +63,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, arrays = held[lang]
             arrays += [np.fromiter(map(known.__getitem__, parts), np.int32, len(parts)), np.zeros(1, np.int32)]
             size += len(parts)
-            if size >= BLOCK_WORDS:
-                yield from rows()
-                held, size = {}, 0
-    yield from rows()
+            sizes[lang] += len(parts)
+            if sizes[lang] >= BLOCK_WORDS:
+                yield row(lang)
+            elif size >= HELD_WORDS:
+                yield row(max(sizes, key=sizes.get))
+    for lang in list(held):
+        yield row(lang)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,6 +78,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 class _Block:
     """One block: fingerprints of its n-grams from prefix polynomials, modulo 2^64."""
 
@@ -79,9 +92,9 @@ class _Block:
         import xxhash
 
         self.words, self.lang = row["words"], row["lang"]
-        self.codes = np.frombuffer(row["codes"], np.int32)
+        self.codes = unpack(row["codes"], row["places"])
         seed = xxhash.xxh64_intdigest(self.lang.encode("utf-8", "surrogatepass"))
-        known = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        self.known = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
         size = len(self.codes)
         power = np.full(size, _BASE, np.uint64)
         power[0] = 1
@@ -89,75 +102,105 @@ class _Block:
         self.inverse = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         self.inverse[0] = 1
         self.inverse = np.cumprod(self.inverse)
-        self.prefix = np.r_[np.uint64(0), np.cumsum(known[self.codes] * power)]
-        self.last_end = np.maximum.accumulate(np.where(self.codes == 0, np.arange(size), -1))
+        self.prefix = np.r_[np.uint64(0), np.cumsum(self.known[self.codes] * power)]
 
-    def starts(self, n: int, shorter: np.ndarray | None) -> np.ndarray:
-        """Places of ``n`` words of one piece whose two parts of ``n - 1`` words are both among ``shorter``."""
-        size = len(self.codes)
-        at = np.flatnonzero(self.last_end[n - 1:] < np.arange(size - n + 1))
-        if shorter is None:
-            return at
-        known = np.zeros(size + 1, bool)
-        before = self.starts(n - 1, None)
-        known[before] = np.isin(self.prints(before, n - 1), shorter)
-        return at[known[at] & known[at + 1]]
+    def word_prints(self) -> np.ndarray:
+        """Fingerprints of the distinct words; the first is the end of a piece."""
+        return _mixed(self.known + np.uint64(1)).view(np.int64)
 
     def prints(self, at: np.ndarray, n: int) -> np.ndarray:
         return _mixed((self.prefix[at + n] - self.prefix[at]) * self.inverse[at] + np.uint64(n)).view(np.int64)
 
-    def phrases(self, n: int, prints: np.ndarray) -> Iterator[tuple[bytes, int]]:
-        """Text and count of the n-grams with one of the ``prints``; n-grams that only share a print are told apart by their words."""
-        at = self.starts(n, None)
+    def frequent_words(self, prints: np.ndarray) -> np.ndarray:
+        """Places whose word is frequent; ends of pieces never are."""
+        good = _among(self.word_prints(), prints)
+        good[0] = False
+        return np.r_[good[self.codes], False]
+
+    def longer(self, frequent: np.ndarray) -> np.ndarray:
+        """Places where both parts of an n-gram, all but its last and all but its first word, are frequent: both lie in one piece."""
+        return np.flatnonzero(frequent[:-1] & frequent[1:])
+
+    def keep(self, at: np.ndarray, n: int, prints: np.ndarray) -> np.ndarray:
+        """The places among ``at`` whose n-gram is frequent, as flags."""
+        flags = np.zeros(len(self.codes) + 1, bool)
+        flags[at[_among(self.prints(at, n), prints)]] = True
+        return flags
+
+    def texts(self, at: np.ndarray, n: int) -> Iterator[tuple[bytes, int]]:
+        """Text and count of the n-grams at the places ``at``; those that only share a fingerprint are told apart by their words."""
+        if not len(at):
+            return
         found = self.prints(at, n)
-        keep = np.isin(found, prints)
-        at, found = at[keep], found[keep]
         order = np.argsort(found, kind="stable")
         at, found = at[order], found[order]
-        new = np.r_[True, found[1:] != found[:-1]] if len(at) else np.zeros(0, bool)
-        first = at[new][np.cumsum(new) - 1] if len(at) else at
+        new = np.r_[True, found[1:] != found[:-1]]
+        begin = np.flatnonzero(new)
+        first = at[begin][np.cumsum(new) - 1]
         equal = np.ones(len(at), bool)
         for i in range(n):
             equal &= self.codes[at + i] == self.codes[first + i]
-        begin = np.flatnonzero(new)
-        counts = np.add.reduceat(equal.astype(np.int64), begin) if len(begin) else begin
         words, codes = self.words, self.codes
-        table = codes[at[begin][:, None] + np.arange(n)].tolist() if len(begin) else []
-        for row, count in zip(table, counts.tolist()):
+        table = codes[at[begin][:, None] + np.arange(n)].tolist()
+        for row, count in zip(table, np.add.reduceat(equal.astype(np.int64), begin).tolist()):
             yield b" ".join([words[c] for c in row]), count
         clashing = Counter(map(tuple, codes[at[~equal][:, None] + np.arange(n)].tolist()))
         for row, count in clashing.items():
             yield b" ".join([words[c] for c in row]), count
 
+    def word_texts(self, prints: np.ndarray) -> Iterator[tuple[bytes, int]]:
+        good = _among(self.word_prints(), prints)
+        good[0] = False
+        counts = np.bincount(self.codes, minlength=len(self.words))
+        for i in np.flatnonzero(good).tolist():
+            yield self.words[i], int(counts[i])
+
 
 def _prints(table: pa.Table, n: int) -> np.ndarray:
-    """The fingerprints of ``n`` words among rows ``(block, words_in, print)``."""
-    return table.column("print").to_numpy()[table.column("words_in").to_numpy() == n]
+    """The sorted fingerprints of ``n`` words among rows ``(block, words_in, print)``."""
+    return np.unique(table.column("print").to_numpy()[table.column("words_in").to_numpy() == n])
 
 
 def _count(n: int):
     """Fingerprints of ``n`` words in a block with their counts; the block is the pointer to where they occur."""
 
     def run(blocks: pa.Table, shorter: pa.Table) -> pa.Table:
-        out = []
+        out = [pa.schema([("print", pa.int64()), ("block", pa.int64()), ("c", pa.int64())]).empty_table()]
         for row in blocks.to_pylist():
             block = _Block(row)
-            known = None if n == 1 else np.unique(_prints(shorter, n - 1))
-            found, count = np.unique(block.prints(block.starts(n, known), n), return_counts=True)
-            out.append(pa.table({"print": found, "block": np.full(len(found), row["block"], np.int64), "c": count.astype(np.int64)}))
-        return pa.concat_tables(out) if out else pa.schema(
-            [("print", pa.int64()), ("block", pa.int64()), ("c", pa.int64())]).empty_table()
+            if n == 1:
+                found = block.word_prints()[1:]
+                count = np.bincount(block.codes, minlength=len(block.words))[1:]
+            else:
+                known = _prints(shorter, n - 1)
+                if n == 2:
+                    frequent = block.frequent_words(known)
+                else:
+                    # Without the sets of still shorter parts a place is judged by its own fingerprint; ends of pieces stop it.
+                    ends = np.concatenate([np.flatnonzero(block.codes == 0), [len(block.codes)]])
+                    at = np.arange(len(block.codes))
+                    frequent = block.keep(at[ends[np.searchsorted(ends, at)] - at >= n - 1], n - 1, known)
+                found, count = np.unique(block.prints(block.longer(frequent), n), return_counts=True)
+            out.append(pa.table({
+                "print": found, "block": np.full(len(found), row["block"], np.int64), "c": count.astype(np.int64)}))
+        return pa.concat_tables(out)
 
     return run
 
 
 def _materialise(most: int):
+    """Texts and counts of the frequent n-grams of a block."""
+
     def run(blocks: pa.Table, prints: pa.Table) -> pa.Table:
         lang, size, phrase, count = [], [], [], []
         for row in blocks.to_pylist():
             block = _Block(row)
+            frequent = block.frequent_words(_prints(prints, 1))
             for n in range(1, most + 1):
-                for text, c in block.phrases(n, np.unique(_prints(prints, n))):
+                if n > 1:
+                    frequent = block.keep(block.longer(frequent), n, _prints(prints, n))
+                found = block.word_texts(_prints(prints, 1)) if n == 1 else block.texts(np.flatnonzero(frequent), n)
+                for text, c in found:
                     lang.append(row["lang"]), size.append(n), phrase.append(text), count.append(c)
         return pa.table({
             "lang": pa.array(lang, pa.string()), "words_in": pa.array(size, pa.int32()),
@@ -177,7 +220,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS) -
     counted: fingerprints that clash, in a block or over blocks, change nothing.
     """
     blocks = settle(docs.select("text", "lang").mapInArrow(
-        _split, "block long, lang string, n long, words array<binary>, codes binary"))
+        _split, "block long, lang string, n long, places long, words array<binary>, codes binary"))
     kept = frequent = docs.sparkSession.createDataFrame([], "block long, words_in int, print long")
     over = Window.partitionBy("print")
     for n in range(1, most + 1):
