@@ -33,6 +33,7 @@ def test_every_kind_of_text(docs_of, sp):
 
 def test_blocks_share_words(docs_of, sp, monkeypatch):
     monkeypatch.setattr(pieces, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(pieces, "BUCKET_WORDS", 3)
     texts = [f"the same word {i % 7} again and again, the" for i in range(200)] + ["w" * 500] + [None] * 40
     rows = encode_pieces(docs_of(texts), MODEL).collect()
     assert {r["doc_id"]: r["ids"] for r in rows} == {i: sp.encode(t or "") for i, t in enumerate(texts)}

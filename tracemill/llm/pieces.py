@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -13,13 +14,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tracemill.llm.blocks import pack, unpack
 from tracemill.llm.common import settle_and_free
 
 MARK = "▁"
 #: A marked word: white space markers, then what follows up to the next marker.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Characters of the documents that share one list of distinct words.
+#: Characters of documents that share one list of distinct words.
 BLOCK_CHARS = 24_000_000
+#: Words of the lists of all blocks that meet in one bucket, on average.
+BUCKET_WORDS = 200_000
 
 
 def _library(model: bytes):
@@ -45,26 +49,22 @@ def read_model(path: str | Path) -> bytes:
 
 
 def _split(batches: Iterator[pa.RecordBatch], model: bytes, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Documents as numbers into their block's list of distinct words, and a row with that list."""
+    """Blocks of documents as numbers into the block's list of distinct words."""
     sp = _library(model)
     task, blocks = TaskContext.get().partitionId(), 0
-    names = ["block", "doc_id", "n", "places", "words"]
-
-    def rows(ids: list, places: list[np.ndarray], known: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        block = task << 32 | blocks
-        # Frequent words get small numbers, which pack better.
-        every = np.concatenate(places)
-        order = np.argsort(-np.bincount(every, minlength=len(known)), kind="stable")
-        number = np.empty(len(known), np.int32)
-        number[order] = np.arange(len(known), dtype=np.int32)
-        packed = [pa.compress(number[p].tobytes(), codec="zstd", asbytes=True) for p in places]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(ids), pa.int64()), pa.array(ids, id_type), pa.array([len(p) for p in places], pa.int32()),
-             pa.array(packed, pa.binary()), pa.nulls(len(ids), pa.list_(pa.string()))], names=names)
-        words = list(known)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
-             pa.array([[words[i] for i in order.tolist()]], pa.list_(pa.string()))], names=names)
+
+    def row(ids: list, places: list[np.ndarray], known: dict[str, int]) -> pa.RecordBatch:
+        # Frequent words get small numbers, and words of one frequency are in order: both pack better.
+        words, every = list(known), np.concatenate(places)
+        count = np.bincount(every, minlength=len(words)).tolist()
+        order = sorted(range(len(words)), key=lambda i: (-count[i], words[i]))
+        number = np.empty(len(words), np.int32)
+        number[order] = np.arange(len(words), dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([task << 32 | blocks], pa.int64()), pa.array([ids], pa.list_(id_type)),
+             pa.array([[len(p) for p in places]], pa.list_(pa.int32())), pa.array([pack(number[every])], pa.binary()),
+             pa.array([len(words)], pa.int64()), pa.array([_zip([words[i] for i in order])], pa.binary())],
+            names=["block", "ids", "sizes", "places", "n_words", "words"])
 
     ids, places, size, known = [], [], 0, defaultdict()
     known.default_factory = known.__len__
@@ -75,50 +75,87 @@ def _split(batches: Iterator[pa.RecordBatch], model: bytes, id_type: pa.DataType
             places.append(np.fromiter(map(known.__getitem__, chunks), np.int32, len(chunks)))
             size += sum(map(len, chunks))
             if size >= BLOCK_CHARS:
-                yield from rows(ids, places, known)
+                yield row(ids, places, known)
                 ids, places, size, blocks = [], [], 0, blocks + 1
                 known.clear()
     if ids:
-        yield from rows(ids, places, known)
+        yield row(ids, places, known)
+
+
+def _zip(words: list[str]) -> bytes:
+    """A list of marked words, without their first markers, as compressed bytes behind their length."""
+    data = json.dumps([w[1:] for w in words], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+
+
+def _unzip(data: bytes) -> list[str]:
+    """The words behind ``_zip``, without their first markers."""
+    return json.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+
+
+def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A block's distinct words by bucket, the same word always in the same one; ``at`` are their numbers in the block, as differences."""
+    import xxhash
+
+    for batch in batches:
+        for block, packed in zip(batch.column("block").to_pylist(), batch.column("words")):
+            words = _unzip(packed.as_py())
+            bucket = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+            bucket = (bucket % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            for at in np.split(order, cuts) if len(order) else []:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket[at[0]]], pa.int64()), pa.array([block], pa.int64()), pa.array([len(at)], pa.int64()),
+                     pa.array([pack(np.diff(at, prepend=0))], pa.binary()),
+                     pa.array([_zip([MARK + words[i] for i in at.tolist()])], pa.binary())],
+                    names=["bucket", "block", "n", "at", "words"])
 
 
 def _segment(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
-    """Ids of marked words, in a stream sorted by word: each distinct word is segmented once."""
+    """Ids of the words of each row, in a stream sorted by bucket: a distinct word is segmented once."""
     sp = _library(model)
-    alone, last, ids = [sp.piece_to_id(MARK)], None, None
+    # The library puts one marker in front itself, but not in front of nothing.
+    alone, last, table = [sp.piece_to_id(MARK)], None, {}
     for batch in batches:
-        words = batch.column("word").to_pylist()
-        # The library puts one marker in front itself, but not in front of nothing.
-        fresh = [w for before, w in zip([last, *words], words) if w != before]
-        found = iter([ids or alone for ids in sp.encode([w[1:] for w in fresh], num_threads=1)])
-        out = []
-        for w in words:
-            if w != last:
-                last, ids = w, next(found)
-            out.append(ids)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("place"), pa.array(out, pa.list_(pa.int32()))], names=["block", "place", "ids"])
+        for bucket, block, n, at, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "n", "at", "words"))):
+            if bucket != last:
+                last, table = bucket, {}
+            words = _unzip(packed)
+            fresh = [w for w in words if w not in table]
+            table.update(zip(fresh, (np.array(ids or alone, np.int32) for ids in sp.encode(fresh, num_threads=1))))
+            ids = [table[w] for w in words]
+            flat = np.concatenate(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([at], pa.binary()),
+                 pa.array([pack(np.fromiter(map(len, ids), np.int32, n))], pa.binary()), pa.array([len(flat)], pa.int64()),
+                 pa.array([pack(flat)], pa.binary())],
+                names=["block", "n", "at", "lengths", "n_ids", "ids"])
 
 
 def _join_back(model: bytes, id_type: pa.DataType):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    """Ids of the documents of a block: its words' ids, taken by the documents' numbers."""
+
+    def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
         sp = _library(model)
-        ids = words.column("ids").combine_chunks()
-        place = words.column("place").to_numpy()
-        sizes = np.zeros(len(place), np.int64)
-        sizes[place] = ids.value_lengths().to_numpy()
-        starts = np.zeros(len(place), np.int64)
-        starts[place] = ids.offsets.to_numpy()[:-1]
-        flat = ids.values.to_numpy()
-        every, texts = [], []
-        for n, packed in zip(docs.column("n").to_pylist(), docs.column("places").to_pylist()):
-            at = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.int32)
-            size = sizes[at]
-            out = flat[np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())] if n else flat[:0]
-            every.append(out)
-            texts.append(sp.decode(out.tolist()))
+        doc_ids, every, texts = [], [], []
+        for block in blocks.to_pylist():
+            length, start, flat, total = np.zeros(block["n_words"], np.int64), np.zeros(block["n_words"], np.int64), [], 0
+            for part in words.to_pylist():
+                at, size = np.cumsum(unpack(part["at"], part["n"])), unpack(part["lengths"], part["n"])
+                length[at], start[at] = size, total + np.cumsum(size) - size
+                flat.append(unpack(part["ids"], part["n_ids"]).astype(np.int32))
+                total += part["n_ids"]
+            flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+            places = unpack(block["places"], sum(block["sizes"]))
+            for at in np.split(places, np.cumsum(block["sizes"])[:-1]):
+                size = length[at]
+                out = flat[np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                every.append(out)
+                texts.append(sp.decode(out.tolist()))
+            doc_ids += block["ids"]
         return pa.table({
-            "doc_id": docs.column("doc_id").combine_chunks(), "ids": pa.array(every, pa.list_(pa.int32())),
+            "doc_id": pa.array(doc_ids, id_type), "ids": pa.array(every, pa.list_(pa.int32())),
             "decoded": pa.array(texts, pa.string()),
         })
 
@@ -129,24 +166,26 @@ def encode_pieces(docs: DataFrame, model_path: str | Path) -> DataFrame:
     """Piece ids of every text and the text they decode to: ``doc_id, ids, decoded``.
 
     Texts become numbers into a list of the distinct marked words of their block (some millions of characters, so a
-    word is met once a block at most, however frequent). The lists of all blocks are sorted by word; each
-    distinct word is segmented once, its ids go back to the blocks that hold it, by position. Null and empty texts
-    have no ids and decode to an empty text; repeated rows give repeated results, a null id stays null, other
-    columns are ignored, an empty table gives an empty one. A very long word is one row, as it is one cell of the input.
+    word is met once a block at most, however frequent). The lists of all blocks are dealt to buckets by word, whose number
+    follows their size; there each distinct word is segmented once, and its ids go back to the blocks that hold it,
+    by position. What is shuffled is packed. Null and empty texts have no ids and decode to an empty
+    text; repeated rows give repeated results, a null id stays null, other columns are ignored, an empty table gives an
+    empty one. A very long text is a block of its own.
     """
     model = read_model(model_path)
     schema = docs.schema["doc_id"].dataType
     id_type, sql_type = to_arrow_type(schema), schema.simpleString()
     parts = settle_and_free(docs.select("doc_id", "text").mapInArrow(
         lambda batches: _split(batches, model, id_type),
-        f"block long, doc_id {sql_type}, n int, places binary, words array<string>"))
+        f"block long, ids array<{sql_type}>, sizes array<int>, places binary, n_words long, words binary"))
+    buckets = -(-(parts.agg(F.sum("n_words")).first()[0] or 1) // BUCKET_WORDS)
     words = (
-        parts.filter(F.col("words").isNotNull()).select("block", F.posexplode("words").alias("place", "word"))
-        .repartition("word").sortWithinPartitions("word")
-        .mapInArrow(lambda batches: _segment(batches, model), "block long, place int, ids array<int>")
+        parts.select("block", "words")
+        .mapInArrow(lambda batches: _deal(batches, buckets), "bucket long, block long, n long, at binary, words binary")
+        .repartition("bucket").sortWithinPartitions("bucket")
+        .mapInArrow(lambda batches: _segment(batches, model), "block long, n long, at binary, lengths binary, n_ids long, ids binary")
     )
-    texts = parts.filter(F.col("words").isNull()).select("block", "doc_id", "n", "places")
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
+    return parts.drop("words").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
         _join_back(model, id_type), f"doc_id {sql_type}, ids array<int>, decoded string")
 
 
