@@ -60,6 +60,7 @@ def test_random_texts(docs_of, seed, reported):
 
 def test_blocks_and_clashing_fingerprints(docs_of, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(phrases, "BUCKET_PHRASES", 50)
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts(5))]
     want = brute([(r[2], r[1]) for r in rows])
     block = phrases._Block({

@@ -1,13 +1,15 @@
-"""Numbers of a block of texts as compact bytes."""
+"""Numbers and words of a block of texts as compact bytes."""
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers under 2^32, byte by byte of equal weight, compressed."""
+    """Whole numbers under 2^31, byte by byte of equal weight, compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     return pa.Codec("zstd", compression_level=9).compress(planes.tobytes(), asbytes=True)
 
@@ -15,4 +17,15 @@ def pack(numbers: np.ndarray) -> bytes:
 def unpack(data: bytes, size: int) -> np.ndarray:
     """The ``size`` numbers behind ``pack``."""
     planes = np.frombuffer(pa.decompress(data, 4 * size, codec="zstd", asbytes=True), np.uint8).reshape(4, size)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(size).astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(size)
+
+
+def pack_texts(texts: list[str]) -> bytes:
+    """A list of texts as compressed bytes behind their length."""
+    data = json.dumps(texts, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+
+
+def unpack_texts(data: bytes) -> list[str]:
+    """The texts behind ``pack_texts``."""
+    return json.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))

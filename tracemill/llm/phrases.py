@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracemill.llm.blocks import pack, unpack
+from tracemill.llm.blocks import pack, pack_texts, unpack, unpack_texts
 from tracemill.llm.common import settle_and_free
 from tracemill.session import settle
 
@@ -21,7 +21,9 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 #: Words of one block of one language, and of all languages a task holds at once; fingerprints are counted inside a
 #: block before they are shuffled.
-BLOCK_WORDS, HELD_WORDS = 1_500_000, 6_000_000
+BLOCK_WORDS, HELD_WORDS = 1_000_000, 4_000_000
+#: Phrases of all blocks that meet in one bucket, on average.
+BUCKET_PHRASES = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 
@@ -188,23 +190,60 @@ def _count(n: int):
     return run
 
 
-def _materialise(most: int):
-    """Texts and counts of the frequent n-grams of a block."""
+def _materialise(most: int, buckets: int):
+    """Texts and counts of the frequent n-grams of a block by bucket, the same phrase always in the same one."""
 
     def run(blocks: pa.Table, prints: pa.Table) -> pa.Table:
-        lang, size, phrase, count = [], [], [], []
+        import xxhash
+
+        out = []
         for row in blocks.to_pylist():
             block = _Block(row)
+            held: dict[int, tuple[list, list, list]] = {}
             frequent = block.frequent_words(_prints(prints, 1))
             for n in range(1, most + 1):
                 if n > 1:
                     frequent = block.keep(block.longer(frequent), n, _prints(prints, n))
                 found = block.word_texts(_prints(prints, 1)) if n == 1 else block.texts(np.flatnonzero(frequent), n)
-                for text, c in found:
-                    lang.append(row["lang"]), size.append(n), phrase.append(text), count.append(c)
+                for text, count in found:
+                    texts, sizes, counts = held.setdefault(xxhash.xxh64_intdigest(text) % buckets, ([], [], []))
+                    texts.append(text.decode("utf-8", "surrogatepass")), sizes.append(n), counts.append(count)
+            out += [(b, row["lang"], len(t), pack_texts(t), pack(np.array(n)), pack(np.array(c))) for b, (t, n, c) in held.items()]
+        columns = list(zip(*out)) or [[]] * 6
         return pa.table({
-            "lang": pa.array(lang, pa.string()), "words_in": pa.array(size, pa.int32()),
-            "phrase": pa.array(phrase, pa.binary()).cast(pa.string()), "f": pa.array(count, pa.int64())})
+            "bucket": pa.array(columns[0], pa.int64()), "lang": pa.array(columns[1], pa.string()),
+            "rows": pa.array(columns[2], pa.int64()), "phrases": pa.array(columns[3], pa.binary()),
+            "sizes": pa.array(columns[4], pa.binary()), "counts": pa.array(columns[5], pa.binary())})
+
+    return run
+
+
+def _add_up(least: int):
+    """Counts of phrases over blocks, in a stream sorted by bucket and language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, words_in = None, Counter(), {}
+
+        def rows() -> pa.RecordBatch:
+            found = [(p, c) for p, c in total.items() if c >= least]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([last[1]] * len(found), pa.string()), pa.array([words_in[p] for p, _ in found], pa.int32()),
+                 pa.array([p for p, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())],
+                names=["lang", "words_in", "phrase", "f"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if last != (row["bucket"], row["lang"]):
+                    if total:
+                        yield rows()
+                    last, total, words_in = (row["bucket"], row["lang"]), Counter(), {}
+                phrases = unpack_texts(row["phrases"])
+                words_in.update(zip(phrases, unpack(row["sizes"], row["rows"]).tolist()))
+                for phrase, count in zip(phrases, unpack(row["counts"], row["rows"]).tolist()):
+                    total[phrase] += count
+        if total:
+            yield rows()
 
     return run
 
@@ -217,7 +256,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS) -
     a shuffle adds the counts of a fingerprint over blocks (one row per block, however hot the phrase) and
     keeps, with the blocks that hold them, those that occur often enough. A fingerprint's count is at least its phrases',
     so none is lost. Last, blocks write out the texts behind the kept fingerprints, told apart by their words, and texts are
-    counted: fingerprints that clash, in a block or over blocks, change nothing.
+    counted in buckets whose number follows theirs: fingerprints that clash, in a block or over blocks, change nothing.
     """
     blocks = settle(docs.select("text", "lang").mapInArrow(
         _split, "block long, lang string, n long, places long, words array<binary>, codes binary"))
@@ -229,9 +268,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS) -
             counted.withColumn("total", F.sum("c").over(over)).filter(F.col("total") >= least)
             .select("block", F.lit(n).alias("words_in"), "print"))
         kept = frequent if n == 1 else kept.unionByName(frequent)
+    buckets = -(-kept.count() // BUCKET_PHRASES) or 1
     found = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(
-        _materialise(most), "lang string, words_in int, phrase string, f long")
-    counts = found.groupBy("lang", "words_in", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+        _materialise(most, buckets), "bucket long, lang string, rows long, phrases binary, sizes binary, counts binary")
+    counts = found.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(
+        _add_up(least), "lang string, words_in int, phrase string, f long")
     return settle_and_free(counts), blocks.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
