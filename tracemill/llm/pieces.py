@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -14,14 +13,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tracemill.llm.blocks import pack, unpack
+from tracemill.llm.blocks import pack, pack_texts, unpack, unpack_texts
 from tracemill.llm.common import settle_and_free
 
 MARK = "▁"
 #: A marked word: white space markers, then what follows up to the next marker.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters of documents that share one list of distinct words.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
+#: Documents of one batch of the result.
+BATCH_DOCS = 500
 #: Words of the lists of all blocks that meet in one bucket, on average.
 BUCKET_WORDS = 200_000
 
@@ -63,7 +64,7 @@ def _split(batches: Iterator[pa.RecordBatch], model: bytes, id_type: pa.DataType
         return pa.RecordBatch.from_arrays(
             [pa.array([task << 32 | blocks], pa.int64()), pa.array([ids], pa.list_(id_type)),
              pa.array([[len(p) for p in places]], pa.list_(pa.int32())), pa.array([pack(number[every])], pa.binary()),
-             pa.array([len(words)], pa.int64()), pa.array([_zip([words[i] for i in order])], pa.binary())],
+             pa.array([len(words)], pa.int64()), pa.array([pack_texts([words[i][1:] for i in order])], pa.binary())],
             names=["block", "ids", "sizes", "places", "n_words", "words"])
 
     ids, places, size, known = [], [], 0, defaultdict()
@@ -82,24 +83,13 @@ def _split(batches: Iterator[pa.RecordBatch], model: bytes, id_type: pa.DataType
         yield row(ids, places, known)
 
 
-def _zip(words: list[str]) -> bytes:
-    """A list of marked words, without their first markers, as compressed bytes behind their length."""
-    data = json.dumps([w[1:] for w in words], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
-
-
-def _unzip(data: bytes) -> list[str]:
-    """The words behind ``_zip``, without their first markers."""
-    return json.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
-
-
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A block's distinct words by bucket, the same word always in the same one; ``at`` are their numbers in the block, as differences."""
+    """A block's distinct words (without their first marker) by bucket, the same word always in the same one; ``at`` are their numbers in the block, as differences."""
     import xxhash
 
     for batch in batches:
         for block, packed in zip(batch.column("block").to_pylist(), batch.column("words")):
-            words = _unzip(packed.as_py())
+            words = unpack_texts(packed.as_py())
             bucket = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
             bucket = (bucket % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -108,7 +98,7 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([bucket[at[0]]], pa.int64()), pa.array([block], pa.int64()), pa.array([len(at)], pa.int64()),
                      pa.array([pack(np.diff(at, prepend=0))], pa.binary()),
-                     pa.array([_zip([MARK + words[i] for i in at.tolist()])], pa.binary())],
+                     pa.array([pack_texts([words[i] for i in at.tolist()])], pa.binary())],
                     names=["bucket", "block", "n", "at", "words"])
 
 
@@ -121,7 +111,7 @@ def _segment(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
         for bucket, block, n, at, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "n", "at", "words"))):
             if bucket != last:
                 last, table = bucket, {}
-            words = _unzip(packed)
+            words = unpack_texts(packed)
             fresh = [w for w in words if w not in table]
             table.update(zip(fresh, (np.array(ids or alone, np.int32) for ids in sp.encode(fresh, num_threads=1))))
             ids = [table[w] for w in words]
@@ -130,36 +120,39 @@ def _segment(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
                 [pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([at], pa.binary()),
                  pa.array([pack(np.fromiter(map(len, ids), np.int32, n))], pa.binary()), pa.array([len(flat)], pa.int64()),
                  pa.array([pack(flat)], pa.binary())],
-                names=["block", "n", "at", "lengths", "n_ids", "ids"])
-
+                names=["block", "n", "at", "lengths", "n_ids", "flat"])
 
-def _join_back(model: bytes, id_type: pa.DataType):
-    """Ids of the documents of a block: its words' ids, taken by the documents' numbers."""
 
-    def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
-        sp = _library(model)
-        doc_ids, every, texts = [], [], []
-        for block in blocks.to_pylist():
-            length, start, flat, total = np.zeros(block["n_words"], np.int64), np.zeros(block["n_words"], np.int64), [], 0
-            for part in words.to_pylist():
+def _join_back(batches: Iterator[pa.RecordBatch], model: bytes, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Ids of the documents, in a stream that holds the ids of a block's words before the block: taken by the documents' numbers."""
+    sp = _library(model)
+    parts: list[dict] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = batch.slice(i, 1).to_pylist()[0]
+            if block["places"] is None:
+                parts.append(block)
+                continue
+            length, start = np.zeros(block["n_words"], np.int32), np.zeros(block["n_words"], np.int64)
+            flat, total = [np.zeros(0, np.int32)], 0
+            for part in parts:
                 at, size = np.cumsum(unpack(part["at"], part["n"])), unpack(part["lengths"], part["n"])
                 length[at], start[at] = size, total + np.cumsum(size) - size
-                flat.append(unpack(part["ids"], part["n_ids"]).astype(np.int32))
+                flat.append(unpack(part["flat"], part["n_ids"]))
                 total += part["n_ids"]
-            flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+            parts, flat = [], np.concatenate(flat)
             places = unpack(block["places"], sum(block["sizes"]))
-            for at in np.split(places, np.cumsum(block["sizes"])[:-1]):
-                size = length[at]
-                out = flat[np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                every.append(out)
-                texts.append(sp.decode(out.tolist()))
-            doc_ids += block["ids"]
-        return pa.table({
-            "doc_id": pa.array(doc_ids, id_type), "ids": pa.array(every, pa.list_(pa.int32())),
-            "decoded": pa.array(texts, pa.string()),
-        })
-
-    return run
+            ends = np.cumsum([0, *block["sizes"]])
+            for first in range(0, len(ends) - 1, BATCH_DOCS):
+                cuts = ends[first:first + BATCH_DOCS + 1]
+                every = []
+                for s, e in zip(cuts, cuts[1:]):
+                    at = places[s:e]
+                    size = length[at].astype(np.int64)
+                    every.append(flat[np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block["ids"][first:first + BATCH_DOCS], id_type), pa.array(every, pa.list_(pa.int32())),
+                     pa.array([sp.decode(ids.tolist()) for ids in every], pa.string())], names=["doc_id", "ids", "decoded"])
 
 
 def encode_pieces(docs: DataFrame, model_path: str | Path) -> DataFrame:
@@ -183,10 +176,11 @@ def encode_pieces(docs: DataFrame, model_path: str | Path) -> DataFrame:
         parts.select("block", "words")
         .mapInArrow(lambda batches: _deal(batches, buckets), "bucket long, block long, n long, at binary, words binary")
         .repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(lambda batches: _segment(batches, model), "block long, n long, at binary, lengths binary, n_ids long, ids binary")
+        .mapInArrow(lambda batches: _segment(batches, model), "block long, n long, at binary, lengths binary, n_ids long, flat binary")
     )
-    return parts.drop("words").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
-        _join_back(model, id_type), f"doc_id {sql_type}, ids array<int>, decoded string")
+    both = parts.drop("words").unionByName(words, allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", F.col("places").isNotNull()).mapInArrow(
+        lambda batches: _join_back(batches, model, id_type), f"doc_id {sql_type}, ids array<int>, decoded string")
 
 
 def piece_digest(encoded: DataFrame) -> DataFrame:
