@@ -8,10 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 
+def squeeze(data: bytes, level: int = 9) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """Whole numbers under 2^31, byte by byte of equal weight, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.Codec("zstd", compression_level=9).compress(planes.tobytes(), asbytes=True)
+    return squeeze(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpack(data: bytes, size: int) -> np.ndarray:
@@ -20,10 +23,10 @@ def unpack(data: bytes, size: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").reshape(size)
 
 
-def pack_texts(texts: list[str]) -> bytes:
+def pack_texts(texts: list[str], level: int = 9) -> bytes:
     """A list of texts as compressed bytes behind their length."""
     data = json.dumps(texts, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + squeeze(data, level)
 
 
 def unpack_texts(data: bytes) -> list[str]:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tracemill.llm.blocks import pack, pack_texts, unpack, unpack_texts
+from tracemill.llm.blocks import pack, pack_texts, squeeze, unpack, unpack_texts
 from tracemill.llm.common import settle_and_free
 
 MARK = "▁"
@@ -33,6 +33,11 @@ def _library(model: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
+def _narrow(sp) -> np.dtype:
+    """The type that ids travel as."""
+    return np.dtype("<u2" if sp.get_piece_size() <= 1 << 16 else "<u4")
+
+
 def read_model(path: str | Path) -> bytes:
     """The bytes of a model, which must be one that segments each marked word on its own.
 
@@ -98,7 +103,7 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([bucket[at[0]]], pa.int64()), pa.array([block], pa.int64()), pa.array([len(at)], pa.int64()),
                      pa.array([pack(np.diff(at, prepend=0))], pa.binary()),
-                     pa.array([pack_texts([words[i] for i in at.tolist()])], pa.binary())],
+                     pa.array([pack_texts([words[i] for i in at.tolist()], 15)], pa.binary())],
                     names=["bucket", "block", "n", "at", "words"])
 
 
@@ -119,14 +124,14 @@ def _segment(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([at], pa.binary()),
                  pa.array([pack(np.fromiter(map(len, ids), np.int32, n))], pa.binary()), pa.array([len(flat)], pa.int64()),
-                 pa.array([pack(flat)], pa.binary())],
+                 pa.array([squeeze(flat.astype(_narrow(sp)).tobytes(), 15)], pa.binary())],
                 names=["block", "n", "at", "lengths", "n_ids", "flat"])
 
 
 def _join_back(batches: Iterator[pa.RecordBatch], model: bytes, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Ids of the documents, in a stream that holds the ids of a block's words before the block: taken by the documents' numbers."""
     sp = _library(model)
-    parts: list[dict] = []
+    narrow, parts = _narrow(sp), []
     for batch in batches:
         for i in range(batch.num_rows):
             block = batch.slice(i, 1).to_pylist()[0]
@@ -138,7 +143,8 @@ def _join_back(batches: Iterator[pa.RecordBatch], model: bytes, id_type: pa.Data
             for part in parts:
                 at, size = np.cumsum(unpack(part["at"], part["n"])), unpack(part["lengths"], part["n"])
                 length[at], start[at] = size, total + np.cumsum(size) - size
-                flat.append(unpack(part["flat"], part["n_ids"]))
+                ids = pa.decompress(part["flat"], part["n_ids"] * narrow.itemsize, codec="zstd", asbytes=True)
+                flat.append(np.frombuffer(ids, narrow).astype(np.int32))
                 total += part["n_ids"]
             parts, flat = [], np.concatenate(flat)
             places = unpack(block["places"], sum(block["sizes"]))
