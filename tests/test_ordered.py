@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.ordered import (
-    Following, Latest, Position, Preceding, Running, Whole, ordered, over_trace, sketched,
+    Following, Latest, Position, Preceding, Running, Whole, over_trace, ranged, ranked,
 )
-from tracemill.functions.quantiles import describe, quantiles
+from tracemill.functions.quantiles import describe, order_image, quantiles
 from tracemill.log import LogSpec, measure_hot
 
 def features():
@@ -108,17 +108,63 @@ def test_quantiles_by_group_and_empty(spark):
     assert row["n"] == 0 and row["p50"] is None
 
 
+def sizes_of(placed):
+    return sorted(r["count"] for r in placed.groupBy("__part").count().collect())
+
+
 @pytest.mark.parametrize("values", [
-    [f"User_{i:06d}" for i in range(3000)], [f"{i:08d}" for i in range(3000)], ["same"] * 50 + [f"same{i}" for i in range(2000)],
+    [f"User_{i:06d}" for i in range(20_000)], [f"{i:08d}" for i in range(20_000)], ["same"] * 50 + [f"same{i}" for i in range(20_000)],
 ])
-def test_sketched_segments_are_even_and_answers_right(spark, values):
-    df = spark.createDataFrame([("k", v, i) for i, v in enumerate(values)], "key string, v string, i int")
-    cut, segment = sketched(df, ["key"], ["v", "i"], 64)
-    rows = ordered(cut, ["key"], ["v", "i"], [Position("pos")], segment).collect()
-    want = {i: n for n, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
-    assert {r.i: r.pos for r in rows} == want
-    sizes = [r["count"] for r in cut.groupBy(segment.alias("s")).count().collect()]
-    assert len(sizes) > 32 and max(sizes) < len(values) / 5
+@pytest.mark.parametrize("key", ["k", None])
+def test_ranges_are_even_and_ranks_right(spark, values, key):
+    # A small second key beside a hot or null one.
+    rows = [(key, v, i) for i, v in enumerate(values)] + [("z", "a", -1), ("z", "b", -2)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, v string, i int")
+    got = {r.i: (r.pos, r.n) for r in ranked(df, ["key"], ["v", "i"], "pos", "n", 20).collect()}
+    want = {i: (n, len(values)) for n, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
+    assert got == {**want, -1: (0, 2), -2: (1, 2)}
+    # Ranges follow the number asked for, not the keys; no row is compared with an edge.
+    sizes = sizes_of(ranged(df, ["key"], ["v", "i"], 20))
+    assert len(sizes) > 15 and max(sizes) < 2 * sizes[len(sizes) // 2]
+    assert len(sizes_of(ranged(df, ["key"], ["v", "i"], 60))) > 45
+
+
+def test_ranges_of_one_start_day_and_nulls(spark):
+    df = spark.range(5000).select(
+        F.lit("bank").alias("bank"), F.timestamp_micros(F.lit(10**15) + F.col("id") % 100).alias("start_time"), F.col("id").alias("case_id"))
+    assert max(sizes_of(ranged(df, ["bank"], ["start_time", "case_id"], 20))) < 2 * 250
+    holes = df.withColumn("start_time", F.when(F.col("case_id") % 2 == 0, F.col("start_time")))
+    got = [r["case_id"] for r in ranked(holes, ["bank"], ["start_time", "case_id"], "pos", None, 7).orderBy("pos").collect()]
+    assert got == [*range(1, 5000, 2), *sorted(range(0, 5000, 2), key=lambda i: (i % 100, i))]
+    assert ranked(df.limit(0), ["bank"], ["case_id"], "pos", "n").count() == 0
+
+
+def test_order_image_equals_the_bits_of_a_double(spark):
+    rng = np.random.default_rng(11)
+    bits = rng.integers(0, 2047 << 52, 4000)
+    xs = np.concatenate([bits.view(np.float64), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1021, 1024), 0),
+                         [0.0, 1.0, np.inf, 5e-324, np.pi, 0.0025]])
+    df = spark.createDataFrame([(float(x),) for x in np.concatenate([xs, -xs])] + [(None,), (float("nan"),)], "x double")
+    for r in df.select("x", order_image(F.col("x")).alias("v")).collect():
+        if r["x"] is None or r["x"] != r["x"]:
+            assert r["v"] is None
+        else:
+            want = int(np.abs(np.float64(r["x"])).view(np.int64))
+            assert r["v"] == (-want if r["x"] < 0 else want), r["x"]
+
+
+@pytest.mark.parametrize("low, high", [(0.0, 0.0025), (1.7e9, 1.7e9 + 365 * 86400), (-1e-300, 1e-300)])
+def test_quantiles_of_narrow_ranges(spark, low, high):
+    xs = np.random.default_rng(4).uniform(low, high, 50_000)
+    df = spark.createDataFrame([(float(x), "a" if i % 3 else None) for i, x in enumerate(xs)], "x double, g string")
+    ps = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.98, "e": 1.0}
+    got = quantiles(df, F.col("x"), ps).first()
+    assert all(got[k] == pytest.approx(np.quantile(xs, p), rel=1e-12) for k, p in ps.items())
+    parts = {r["g"]: r for r in quantiles(df, F.col("x"), ps, ["g"]).collect()}
+    for g, rest in (("a", [1, 2]), (None, [0])):
+        part = xs[np.isin(np.arange(len(xs)) % 3, rest)]
+        assert all(parts[g][k] == pytest.approx(np.quantile(part, p), rel=1e-12) for k, p in ps.items())
 
 
 def test_null_case_can_be_hot(spark):

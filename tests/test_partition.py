@@ -182,5 +182,5 @@ def test_temporal_split_is_by_start_and_rounds_to_even(spark):
 
 def test_missing_outcome_raises(spark):
     df = spark.createDataFrame([("A", 2), ("A", None)], "bank string, outcome int")
-    with pytest.raises(Exception, match="missing outcomes"):
+    with pytest.raises(Exception, match="has no outcome"):
         P.approval_rates(df).collect()

@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracemill.log import LogSpec
+from tracemill.session import settle
 
 
 @dataclass(frozen=True)
@@ -233,23 +234,40 @@ def over_trace(df: DataFrame, spec: LogSpec, features: list[Feature], keys: list
     return out.drop("__edges")
 
 
-def sketched(df: DataFrame, keys: list[str], order: list[str], size: int = 256) -> tuple[DataFrame, Column]:
-    """``df`` with ``__edges`` per key, and the segment of each row between them.
+def ranged(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` in the order of ``keys`` and ``order``, with ``__part`` and ``__row``.
 
-    The edges are the order keys of smallest hash, ``size`` at most per key (a bottom-k
-    sample of the distinct ones), so segments are about even whatever the values
-    look like: shared prefixes, narrow ranges, one day. Spark limits the ranks before
-    the shuffle. Equal order keys share a segment; answers don't depend on the edges.
+    Spark samples the order and cuts it into ranges of even size, as for a global sort; ``__part`` grows with the
+    order and ``__row`` counts the rows of a range. The ranges are as many as the session's shuffle partitions, or
+    ``partitions``, whatever the keys look like: one hot or null key spreads over many. The table is written,
+    because a second sample could cut elsewhere. Rows equal in keys and order share a range.
     """
-    place = F.struct(*order)
-    lowest = Window.partitionBy(*keys).orderBy("__hash")
-    picked = (
-        df.select(*keys, place.alias("__place"), F.xxhash64(*order).alias("__hash"))
-        .withColumn("__nth", F.row_number().over(lowest)).filter(F.col("__nth") <= size)
-    )
-    edges = picked.groupBy(*keys).agg(F.array_sort(F.collect_set("__place")).alias("__edges"))
-    out = df.join(edges, keys, "left")
-    return out, F.size(F.filter(F.coalesce("__edges", F.array().cast(edges.schema["__edges"].dataType)), lambda e: e < place))
+    at = [*[F.col(c) for c in keys], *[F.col(c) for c in order]]
+    cut = df.repartitionByRange(partitions, *at) if partitions else df.repartitionByRange(*at)
+    numbered = cut.sortWithinPartitions(*at).withColumn("__id", F.monotonically_increasing_id())
+    return settle(numbered).withColumns(
+        {"__part": F.shiftright("__id", 33).cast("int"), "__row": F.col("__id").bitwiseAND(2**33 - 1)}
+    ).drop("__id")
+
+
+def ranked(
+    df: DataFrame, keys: list[str], order: list[str], rank: str, size: str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """0-based ``rank`` of each row in its key, and the key's ``size``, through one range partitioning.
+
+    Rows are numbered where they lie; all that is added up is one count per range and key (at most
+    ranges + keys rows), so nothing is sorted again.
+    """
+    placed = ranged(df, keys, order, partitions)
+    counts = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    outer = Window.partitionBy(*keys).orderBy("__part")
+    before = F.coalesce(F.sum("__n").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = F.sum("__n").over(outer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    counts = counts.select(*keys, "__part", (before - F.col("__first")).alias("__shift"), totals.alias("__size"))
+    p, c = placed.alias("__p"), counts.alias("__c")
+    on = [F.col(f"__p.{k}").eqNullSafe(F.col(f"__c.{k}")) for k in keys] + [F.col("__p.__part") == F.col("__c.__part")]
+    added = [(F.col("__row") + F.col("__shift")).alias(rank)] + ([F.col("__size").alias(size)] if size else [])
+    return p.join(c, on).select(*[F.col(f"__p.{n}") for n in df.columns], *added)
 
 
 def seeded_hash(seed: int, salt: str, *cols: str) -> Column:
@@ -275,15 +293,3 @@ def hash_ranked(
 def hash_segment(col: str) -> Column:
     """First three hex digits: 4,096 even segments that grow with the hash."""
     return F.substring(col, 1, 3)
-
-
-def value_segment(value: Column) -> Column:
-    """Monotone bucket of a number, about 0.1% wide relative to its size."""
-    x = value.cast("double")
-    near = F.floor(F.ln(F.abs(x)) * 1024) + 1_000_000
-    return (
-        F.when(x.isNull(), F.lit(None).cast("long"))
-        .when(x == 0, F.lit(0).cast("long"))
-        .when(x > 0, near)
-        .otherwise(-near)
-    )

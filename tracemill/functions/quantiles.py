@@ -1,12 +1,39 @@
-"""Exact quantiles as a distributed rank selection."""
+"""Exact quantiles as a selection of ranks by the digits of the numbers."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracemill.functions.ordered import Running, Whole, ordered, value_segment
+
+#: A number is selected by four digits of 16 bits, so a group never has more than 65,536 counts at a time.
+DIGITS, DIGIT_BITS = 4, 16
+
+
+def order_image(value: Column) -> Column:
+    """Whole number of 64 bits that grows with a double: its exponent and fraction as one number, negative if it is.
+
+    Powers of two are exact, so equal images mean equal numbers (0.0 and -0.0 are equal); null and NaN give null.
+    """
+    x = F.abs(value)
+    two = lambda e: F.pow(F.lit(2.0), e)
+    guess = F.floor(F.log2(x))
+    # The logarithm may be off by one next to a power of two.
+    e = F.when(two(guess) > x, guess - 1).when(two(guess + 1) <= x, guess + 1).otherwise(guess)
+    fraction = ((x / two(e) - 1) * 2.0**52).cast("long")
+    size = (
+        F.when(x == 0, F.lit(0).cast("long"))
+        .when(x == float("inf"), F.lit(2047 << 52))
+        .when(x < 2.0**-1022, (x * 2.0**1022 * 2.0**52).cast("long"))
+        .otherwise(F.shiftleft((e + 1023).cast("long"), 52) + fraction)
+    )
+    return F.when(value.isNull() | F.isnan(value), None).when(value < 0, -size).otherwise(size)
+
+
+def _digit(image: str, i: int) -> Column:
+    """The first ``i + 1`` digits of an image as one number."""
+    return F.shiftright(image, DIGIT_BITS * (DIGITS - 1 - i))
 
 
 def quantiles(
@@ -18,38 +45,60 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles per group, linear interpolation between neighbours.
 
-    Equal values are counted before the shuffle and the counted values are ranked
-    in value segments, so no group is ever sorted or held in one task. ``lower``
-    takes the lower neighbour instead of interpolating. Nulls and NaN are
-    ignored; an ungrouped empty input gives one row of nulls.
+    Equal values are counted before the shuffle. Ranks are then selected digit by digit: counts per digit (at
+    most 65,536 a group) tell which digits hold a wanted rank, and only their values are looked at in the next round.
+    So no group is ever sorted or held in one task, however narrow its range, and the answer needs four rounds at
+    any size. ``lower`` takes the lower neighbour instead of interpolating. Nulls and NaN are ignored; an
+    ungrouped empty input gives one row of nulls.
     """
     by = list(by)
+    x = value.cast("double")
     counted = (
-        df.select(*by, value.cast("double").alias("__x"))
-        .filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
-        .groupBy(*by, "__x")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    ranked = ordered(
-        counted, by, ["__x"],
-        [Running("__upto", F.col("__c")), Whole("__n", F.col("__c"))],
-        value_segment(F.col("__x")),
+        df.select(*by, (x + F.lit(0.0)).alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+        .groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
+        .withColumn("__image", order_image(F.col("__x")))
     )
-    first, last = F.col("__upto") - F.col("__c"), F.col("__upto")
+    full = (Window.unboundedPreceding, Window.unboundedFollowing)
+    wanted = None
+    for i in range(DIGITS):
+        last = i == DIGITS - 1
+        rows, group = counted, list(by)
+        if wanted is not None:
+            r, w = counted.alias("__r"), wanted.alias("__w")
+            on = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__w.{k}")) for k in by]
+            rows = r.join(w, [*on, _digit("__r.__image", i - 1) == F.col("__w.__prefix")]).select(
+                *[F.col(f"__r.{c}") for c in counted.columns], "__prefix", "__ranks")
+            group.append("__prefix")
+        digits = rows.groupBy(*group, _digit("__image", i).alias("__digit")).agg(
+            F.sum("__c").alias("__c"), F.min("__x").alias("__x"), *([] if wanted is None else [F.first("__ranks").alias("__ranks")]))
+        ordered = Window.partitionBy(*group).orderBy("__digit")
+        digits = digits.withColumn("__upto", F.sum("__c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        if wanted is None:
+            digits = digits.withColumn("__n", F.sum("__c").over(ordered.rowsBetween(*full)))
+            places = []
+            for k, p in enumerate(probs.values()):
+                at = F.lit(float(p)) * (F.col("__n") - 1)
+                high = F.floor(at) if lower else F.ceil(at)
+                places += [F.struct(F.lit(2 * k + side).alias("i"), rank.cast("long").alias("rank"), (at - F.floor(at)).alias("part"))
+                           for side, rank in enumerate((F.floor(at), high))]
+            digits = digits.withColumn("__ranks", F.array(*places))
+        before = F.col("__upto") - F.col("__c")
+        # A rank becomes the rank among the values of its digit.
+        inside = F.transform(
+            F.filter("__ranks", lambda t: (t["rank"] >= before) & (t["rank"] < F.col("__upto"))),
+            lambda t: F.struct(t["i"].alias("i"), (t["rank"] - before).alias("rank"), t["part"].alias("part")))
+        wanted = digits.select(
+            *by, F.col("__digit").alias("__prefix"), inside.alias("__ranks"), *(["__x"] if last else [])
+        ).filter(F.size("__ranks") > 0)
+    found = wanted.select(*by, "__x", F.explode("__ranks").alias("t"))
     cols, done = [], []
-    for i, (name, p) in enumerate(probs.items()):
-        at = F.lit(float(p)) * (F.col("__n") - 1)
-        low = F.floor(at)
-        high = low if lower else F.ceil(at)
-        cols += [
-            F.max(F.when((first <= low) & (low < last), F.col("__x"))).alias(f"__lo{i}"),
-            F.max(F.when((first <= high) & (high < last), F.col("__x"))).alias(f"__hi{i}"),
-            F.max(at - low).alias(f"__at{i}"),
-        ]
-        done.append(
-            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__at{i}")).alias(name)
-        )
-    grouped = ranked.groupBy(*by) if by else ranked.groupBy()
+    for k, name in enumerate(probs):
+        for side in (0, 1):
+            cols.append(F.max(F.when(F.col("t.i") == 2 * k + side, F.col("__x"))).alias(f"__at{2 * k + side}"))
+        cols.append(F.max(F.when(F.col("t.i") == 2 * k, F.col("t.part"))).alias(f"__part{k}"))
+        low, high = F.col(f"__at{2 * k}"), F.col(f"__at{2 * k + 1}")
+        done.append((low + (high - low) * F.col(f"__part{k}")).alias(name))
+    grouped = found.groupBy(*by) if by else found.groupBy()
     return grouped.agg(*cols).select(*by, *done)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracemill.functions.contract import CYCLIC_FIELDS
 from tracemill.functions.labels import END_TOKEN, MISSING_TOKEN, OTHER_TOKEN, PAD_TOKEN, UNK_TOKEN, clean_token
-from tracemill.functions.ordered import Position, ordered, sketched
+from tracemill.functions.ordered import ranked
 from tracemill.functions.quantiles import quantiles, with_scalars
 
 TRANSFORMS = ("raw", "log")
@@ -36,8 +36,7 @@ def _vocabulary(tokens: DataFrame, reserved: Mapping[str, Sequence[str]]) -> Dat
         [(f, t, i) for f, many in reserved.items() for i, t in enumerate(many)], "field string, token string, id long"
     )
     free = tokens.join(F.broadcast(fixed.select("field", "token")), ["field", "token"], "left_anti")
-    cut, segment = sketched(free, ["field"], ["token"])
-    placed = ordered(cut, ["field"], ["token"], [Position("pos")], segment)
+    placed = ranked(free, ["field"], ["token"], "pos")
     offset = F.lit(None).cast("long")
     for f, many in reserved.items():
         offset = F.when(F.col("field") == f, F.lit(len(many))).otherwise(offset)

@@ -15,7 +15,7 @@ from tracemill.functions.contract import (
 from tracemill.functions.labels import (
     END_TOKEN, MISSING_TOKEN, OTHER_TOKEN, after_last, any_present, before_last, clean_token, cycle, seconds_between,
 )
-from tracemill.functions.ordered import Position, Preceding, Whole, ordered, over_trace, value_segment
+from tracemill.functions.ordered import Position, Preceding, over_trace, ranked
 from tracemill.functions.quantiles import with_scalars
 from tracemill.log import LogSpec
 
@@ -454,7 +454,7 @@ def rank_strategies(scores: DataFrame, valid: str, first: str, second: str, name
     """Rank by validity, two qualities and name, all descending, from 1.
 
     The order is total, so the descending rank is the size minus the ascending
-    position; positions run over value segments.
+    position. The scores are read once, in ranges of the order.
     """
     keyed = scores.withColumns(
         {
@@ -463,11 +463,7 @@ def rank_strategies(scores: DataFrame, valid: str, first: str, second: str, name
             "__b": F.coalesce(F.col(second).cast("double"), F.lit(0.0)),
         }
     )
-    segment = F.struct(F.col("__v"), value_segment(F.col("__a")))
-    placed = ordered(
-        keyed, [], ["__v", "__a", "__b", name],
-        [Position("__pos"), Whole("__n", F.lit(1).cast("long"), "sum")], segment,
-    )
+    placed = ranked(keyed, [], ["__v", "__a", "__b", name], "__pos", "__n")
     return placed.withColumn("rank", F.col("__n") - F.col("__pos")).drop("__v", "__a", "__b", "__pos", "__n")
 
 

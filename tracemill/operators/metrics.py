@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracemill.functions.ordered import Running, Whole, ordered
+from tracemill.functions.ordered import Running, Whole, ordered, ranged
 from tracemill.functions.quantiles import quantiles, with_scalars
 
 
@@ -93,7 +93,7 @@ def class_auc(df: DataFrame, y: str, probs: str, classes: int, by: Sequence[str]
     """One-vs-rest ROC AUC per class with ties counted half; null without both sides.
 
     Rows are counted per distinct score first, and the running count of
-    negatives goes through score segments.
+    negatives goes through even ranges of the order, however close the scores are.
     """
     by = list(by)
     one = df.select(
@@ -103,10 +103,11 @@ def class_auc(df: DataFrame, y: str, probs: str, classes: int, by: Sequence[str]
     per_score = one.groupBy(*by, "class_id", F.col("score").cast("double").alias("score")).agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
     )
+    keys = [*by, "class_id"]
     ranked = ordered(
-        per_score, [*by, "class_id"], ["score"],
+        ranged(per_score, keys, ["score"]), keys, ["score"],
         [Running("below", F.col("neg")), Whole("p", F.col("pos")), Whole("q", F.col("neg"))],
-        F.floor(F.col("score") * 4096),
+        F.col("__part"),
     )
     wins = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2))
     return ranked.groupBy(*by, "class_id").agg(

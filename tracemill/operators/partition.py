@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracemill.functions.ordered import Position, Whole, hash_ranked, ordered, sketched
+from tracemill.functions.ordered import hash_ranked, ranked as range_ranked
 from tracemill.functions.quantiles import banded, with_scalars
 from tracemill.session import settle
 
@@ -320,7 +320,7 @@ def approval_rates(df: DataFrame, by: Sequence[str] = ("bank",), outcome: str =
     missing = F.count_if(F.col(outcome).isNull())
     rate = F.avg((F.col(outcome) == APPROVED).cast("int"))
     checked = F.when(
-        missing > 0, F.raise_error(F.lit("assigned cases contain missing outcomes")).cast("double")
+        missing > 0, F.raise_error(F.lit("a case of a bank has no outcome")).cast("double")
     ).otherwise(rate)
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cases"), checked.alias("approval_rate"))
 
@@ -331,20 +331,16 @@ def temporal_split(
 ) -> DataFrame:
     """Train, validation and test by case start inside each group.
 
-    Group sizes round half to even. The order is spread over sketched segments of
-    (start, case), so cases of one day or one instant are spread as well.
+    Group sizes round half to even. The order of (start, case) is cut into even ranges, so cases of one day or
+    one instant, and a group without a name, are spread as well.
     """
-    cut, segment = sketched(df, list(by), [start, case])
-    ranked = ordered(
-        cut, list(by), [start, case],
-        [Position("__rank"), Whole("__n", F.lit(1).cast("long"), "sum")], segment,
-    ).drop("__edges")
+    placed = range_ranked(df, list(by), [start, case], "__rank", "__n")
     train = F.rint(F.col("__n") * F.lit(ratios[0]))
     val = F.rint(F.col("__n") * F.lit(ratios[1]))
     split = (
         F.when(F.col("__rank") < train, "train").when(F.col("__rank") < train + val, "val").otherwise("test")
     )
-    return ranked.withColumn("split", split).drop("__rank", "__n")
+    return placed.withColumn("split", split).drop("__rank", "__n")
 
 
 SPLITS = ("train", "val", "test")
