@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from tracemill.llm.decontaminate import find_leaks
-from tracemill.llm.simhash import near_duplicates
+from tests.llm.test_copies import plain_kept, rows_of
 from tracemill.session import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,7 +29,7 @@ def test_every_stage_does_its_part(spark, steps):
     d, (docs, clean, single, free, masked, mixed) = steps
     toxic = {r["doc_id"] for r in entry.queries()["op4_toxicity"](spark, d).filter("predicted = 1").collect()}
     assert ids(docs) - ids(clean) == toxic and toxic
-    assert ids(single) == {r["component_id"] for r in near_duplicates(clean).collect()}
+    assert ids(single) == plain_kept(rows_of(clean))
     leaks = ids(find_leaks(single, spark.read.parquet(f"{d}/benchmark.parquet")))
     assert ids(single) - ids(free) == leaks and leaks
     assert ids(masked) == ids(free)
