@@ -225,24 +225,24 @@ pp AS (SELECT l.run_name, l.run AS left_run, r.run AS right_run, l.raw - r.raw A
   FROM rr l JOIN rr r ON l.run_name = r.run_name AND l.run < r.run) """
 
 
-def _run_pairs(spark, sf):
+def _run_scores(spark, sf):
     ok = (F.col("y") == F.col("p")).cast("int")
-    rows = _marked(spark, sf).groupBy(F.col("client_id").alias("run_name"), F.col("loan_goal").alias("run")).agg(
+    return _marked(spark, sf).groupBy(F.col("client_id").alias("run_name"), F.col("loan_goal").alias("run")).agg(
         F.avg(ok).alias("raw"), F.avg(F.when(~F.col("is_final"), ok)).alias("cor"))
-    return M.run_pairs(rows, ["run_name"], "run", "raw", "cor")
 
 
 @query("M16_run_pairs", P + _RUNSQL + """
 SELECT run_name, left_run, right_run, round(raw_delta, 6) + 0.0 AS raw_delta, round(corrected_delta, 6) + 0.0 AS corrected_delta, (raw_delta > 0) = (corrected_delta > 0) AS sign_kept FROM pp""")
 def run_pairs(spark, sf):
-    return rounded(_run_pairs(spark, sf)).withColumns({c: F.col(c) + 0.0 for c in ("raw_delta", "corrected_delta")})
+    pairs = M.run_pairs(_run_scores(spark, sf), ["run_name"], "run", "raw", "cor")
+    return rounded(pairs).withColumns({c: F.col(c) + 0.0 for c in ("raw_delta", "corrected_delta")})
 
 
 @query("M16_sign_agreement", P + _RUNSQL + """
 SELECT count(*) AS comparisons, count(*) FILTER (WHERE (raw_delta > 0) = (corrected_delta > 0)) AS kept,
   count(*) FILTER (WHERE (raw_delta > 0) <> (corrected_delta > 0)) AS flipped FROM pp""")
 def sign_agreement(spark, sf):
-    return M.sign_agreement(_run_pairs(spark, sf))
+    return M.sign_agreement(_run_scores(spark, sf), ["run_name"], "run", "raw", "cor")
 
 
 @query("M17_owner_lookup", P + "SELECT case_id, prefix_length, client_id FROM pr")

@@ -177,7 +177,8 @@ def case_duration(spark, sf):
 
 @query("Q12_duration_histogram", with_(L) + _DUR.format("l") + """
 , b AS (SELECT min(days) AS lo, quantile_cont(days, 0.99) AS hi FROM c)
-SELECT CAST(least(floor((least(days, hi) - lo) / (hi - lo) * 60), 59) AS INTEGER) AS bin, count(*) AS n FROM c, b GROUP BY 1""")
+, h AS (SELECT CAST(least(floor((least(days, hi) - lo) / (hi - lo) * 60), 59) AS INTEGER) AS bin, count(*) AS n FROM c, b GROUP BY 1)
+SELECT CAST(x.bin AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(60) x(bin) LEFT JOIN h ON h.bin = x.bin""")
 def duration_histogram(spark, sf):
     df, spec = log_l(spark, sf)
     return Q.duration_histogram(Q.case_duration(df, spec))

@@ -116,10 +116,57 @@ def test_final_prefixes(spark):
 
 def test_sign_agreement(spark):
     rows = [("s", "a", 0.60347934, 0.59265940), ("s", "b", 0.59, 0.5930), ("s", "c", 0.5, 0.4), ("s", "d", 0.7, None)]
-    pairs = M.run_pairs(spark.createDataFrame(rows, "split string, run string, raw double, cor double"), ["split"], "run", "raw", "cor")
-    assert tuple(M.sign_agreement(pairs).first()) == (3, 2, 1)
+    df = spark.createDataFrame(rows, "split string, run string, raw double, cor double")
+    pairs = M.run_pairs(df, ["split"], "run", "raw", "cor")
+    assert pairs.count() == 3
     flip = pairs.filter("not sign_kept").first()
     assert (flip.left_run, flip.right_run) == ("a", "b")
+    assert tuple(M.sign_agreement(df, ["split"], "run", "raw", "cor").first()) == (3, 2, 1)
+
+
+@pytest.mark.parametrize("levels", [2, 5, 40])
+def test_sign_agreement_equals_all_pairs_with_ties(spark, levels):
+    rng = np.random.default_rng(levels)
+    rows = [(s, f"r{i:03d}", float(rng.integers(levels)) if rng.random() > 0.05 else None,
+             float(rng.integers(levels)) if rng.random() > 0.1 else None) for s in ("a", "b|", "|b") for i in range(90)]
+    df = spark.createDataFrame(rows, "split string, run string, raw double, cor double")
+    pairs = M.run_pairs(df, ["split"], "run", "raw", "cor")
+    want = pairs.agg(F.count(F.lit(1)), F.count_if("sign_kept"), F.count_if(~F.col("sign_kept"))).first()
+    assert tuple(M.sign_agreement(df, ["split"], "run", "raw", "cor").first()) == tuple(want)
+    assert tuple(M.sign_agreement(df.limit(0), ["split"], "run", "raw", "cor").first()) == (0, 0, 0)
+
+
+def test_sign_agreement_of_one_large_split(spark):
+    rng = np.random.default_rng(2)
+    n = 100_000
+    raw, cor = rng.permutation(n), rng.permutation(n) // 3
+    df = spark.createDataFrame([("s", f"{i:06d}", float(raw[i]), float(cor[i])) for i in range(n)],
+                               "split string, run string, raw double, cor double")
+    # By merging: flips are inversions of (cor, label) in the order of (raw, label).
+    order = np.lexsort((np.arange(n), cor))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    seq, flips = place[np.argsort(raw)], 0
+    width = 1
+    while width < n:
+        for s in range(0, n, 2 * width):
+            left, right = np.sort(seq[s:s + width]), seq[s + width:s + 2 * width]
+            flips += len(left) * len(right) - int(np.searchsorted(left, right).sum())
+        width *= 2
+    total = n * (n - 1) // 2
+    assert tuple(M.sign_agreement(df, ["split"], "run", "raw", "cor").first()) == (total, total - flips, flips)
+
+
+def test_auc_of_a_million_close_scores_spreads_evenly(spark):
+    df = spark.range(1_000_000).select((F.rand(3) * 0.0025).alias("s"), (F.col("id") % 2).cast("int").alias("y")).select(
+        "y", F.array(F.lit(1.0) - F.col("s"), F.col("s")).alias("p"))
+    from tracemill.functions.ordered import ranged
+
+    scores = df.select(F.lit(1).alias("class_id"), F.col("p")[1].alias("score"))
+    sizes = sorted(r["count"] for r in ranged(scores, ["class_id"], ["score"]).groupBy("__part").count().collect())
+    assert len(sizes) > 2 and max(sizes) < 2 * sizes[len(sizes) // 2]
+    assert M.macro_auc(df, "y", "p", 2).first()[0] == pytest.approx(0.5, abs=0.002)
+
 
 
 def test_owner_lookup_fails_on_unknown(spark):

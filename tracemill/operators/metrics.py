@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracemill.functions.ordered import Running, Whole, ordered, ranged
+from tracemill.functions.ordered import Running, Whole, ordered, ranged, ranked
 from tracemill.functions.quantiles import quantiles, with_scalars
 
 
@@ -104,13 +104,13 @@ def class_auc(df: DataFrame, y: str, probs: str, classes: int, by: Sequence[str]
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
     )
     keys = [*by, "class_id"]
-    ranked = ordered(
+    placed = ordered(
         ranged(per_score, keys, ["score"]), keys, ["score"],
         [Running("below", F.col("neg")), Whole("p", F.col("pos")), Whole("q", F.col("neg"))],
         F.col("__part"),
     )
     wins = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2))
-    return ranked.groupBy(*by, "class_id").agg(
+    return placed.groupBy(*by, "class_id").agg(
         F.try_divide(wins, F.max("p").cast("double") * F.max("q")).alias("auc")
     )
 
@@ -375,8 +375,8 @@ def final_prefix_inflation(
 def run_pairs(rows: DataFrame, split: Sequence[str], label: str, raw: str, corrected: str) -> DataFrame:
     """Every unordered pair of runs of a split with both gaps and whether the sign is kept.
 
-    Pairs are the result here: one split holds the runs of one experiment, a few
-    dozen rows, and rows without a corrected value drop out first.
+    The list itself is asked for here, so pass the splits wanted; :func:`sign_agreement` counts without pairs. Rows
+    without a corrected value drop out first.
     """
     known = rows.filter(F.col(corrected).isNotNull()).select(*split, label, raw, corrected)
     left, right = known.alias("l"), known.alias("r")
@@ -390,13 +390,64 @@ def run_pairs(rows: DataFrame, split: Sequence[str], label: str, raw: str, corre
     )
 
 
-def sign_agreement(pairs: DataFrame) -> DataFrame:
-    """Comparisons, kept signs and flips."""
-    return pairs.agg(
-        F.count(F.lit(1)).alias("comparisons"),
-        F.count_if("sign_kept").alias("kept"),
-        F.count_if(~F.col("sign_kept")).alias("flipped"),
-    )
+#: Inversions are counted by digits of this many bits of a run's place; ranks under 2^40.
+INVERSION_BITS, INVERSION_LEVELS = 4, 10
+
+
+def inversions(df: DataFrame, by: Sequence[str], first: str, second: str) -> DataFrame:
+    """Pairs per group that two orders put the other way round: ``(by…, inversions)``.
+
+    ``first`` and ``second`` hold each row's 0-based place in the two orders. Places of the second order are compared
+    digit by digit: rows whose higher digits agree meet in one group, and a row is behind as many
+    rows as came before it in the first order with a larger digit. So each row is looked at once per digit, and running
+    counts go through segments of the first order, however large a group is.
+    """
+    by, mask = list(by), (1 << INVERSION_BITS) - 1
+    sized = df.select(*by, F.col(first).alias("__a"), F.col(second).alias("__b"))
+    levels = sized.select(*by, "__a", "__b", F.explode(F.sequence(F.lit(0), F.lit(INVERSION_LEVELS - 1))).alias("__level"))
+    shift = F.expr(f"shiftright(__b, __level * {INVERSION_BITS})")
+    rows = levels.select(
+        *by, "__a", "__level", shift.bitwiseAND(mask).alias("__digit"),
+        F.shiftright(shift, INVERSION_BITS).alias("__higher"))
+    # Above the highest place all digits are 0 and nothing can be inverted: such levels go, by the group's size.
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    if by:
+        r, z = rows.alias("__r"), sizes.alias("__z")
+        rows = r.join(z, [F.col(f"__r.{k}").eqNullSafe(F.col(f"__z.{k}")) for k in by]).select("__r.*", "__n")
+    else:
+        rows = with_scalars(rows, sizes)
+    rows = rows.filter(F.expr(f"shiftright(__n - 1, __level * {INVERSION_BITS}) > 0"))
+    rows = rows.withColumn("__key", F.struct(*by) if by else F.lit(0))
+    counts = [Running(f"__c{d}", (F.col("__digit") == d).cast("long")) for d in range(1, mask + 1)]
+    placed = ordered(rows, ["__key", "__level", "__higher"], ["__a"], counts, F.floor(F.col("__a") / 4096))
+    larger = sum((F.when(F.col("__digit") < d, F.col(f"__c{d}")).otherwise(0) for d in range(1, mask + 1)), F.lit(0).cast("long"))
+    grouped = placed.groupBy(*by) if by else placed.groupBy()
+    return grouped.agg(F.sum(larger).alias("inversions"))
+
+
+def sign_agreement(rows: DataFrame, split: Sequence[str], label: str, raw: str, corrected: str) -> DataFrame:
+    """Comparisons, kept signs and flips over all pairs of runs of each split, counted without forming a pair.
+
+    A sign is kept if "the run of smaller label is better" says the same of both scores; equal scores count as not better. That
+    is so exactly if the orders by (raw, label) and (corrected, label) agree on the pair, so flips are the inversions
+    between the two. A label names one run of a split. Rows without a corrected value drop out; without a raw value
+    they are compared but neither kept nor flipped.
+    """
+    split = list(split)
+    known = rows.filter(F.col(corrected).isNotNull() & F.col(label).isNotNull())
+    for c in split:
+        known = known.filter(F.col(c).isNotNull())
+    known = known.select(*split, label, raw, corrected)
+    pairs = lambda n: n * (n - 1) / 2
+    n = known.groupBy(*split).agg(F.count(F.lit(1)).alias("n"), F.count(raw).alias("m"))
+    n = n.agg(
+        F.coalesce(F.sum(pairs(F.col("n"))).cast("long"), F.lit(0).cast("long")).alias("comparisons"),
+        F.coalesce(F.sum(pairs(F.col("m"))).cast("long"), F.lit(0).cast("long")).alias("__both"))
+    placed = ranked(known.filter(F.col(raw).isNotNull()), split, [raw, label], "__first")
+    placed = ranked(placed, split, [corrected, label], "__second")
+    flips = inversions(placed, split, "__first", "__second").agg(
+        F.coalesce(F.sum("inversions"), F.lit(0).cast("long")).alias("flipped"))
+    return with_scalars(n, flips).select("comparisons", (F.col("__both") - F.col("flipped")).alias("kept"), "flipped")
 
 
 def owner_lookup(pred: DataFrame, owners: DataFrame, keys: Sequence[str] = ("dataset_id", "case_id"), owner: str = "client_id") -> DataFrame:

@@ -23,16 +23,17 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def log_overview(df: DataFrame, spec: LogSpec, resource: str) -> DataFrame:
-    """Cases, events, time range, number of columns, distinct activities and resources."""
-    return df.agg(
-        F.count_distinct(spec.case).alias("cases"),
-        F.count(F.lit(1)).alias("events"),
-        F.min(spec.ts).alias("first_ts"),
-        F.max(spec.ts).alias("last_ts"),
+    """Cases, events, time range, number of columns, distinct activities and resources.
+
+    Each distinct count reads its own column only and is a grouping of its own, so no row is multiplied.
+    """
+    base = df.agg(
+        F.count(F.lit(1)).alias("events"), F.min(spec.ts).alias("first_ts"), F.max(spec.ts).alias("last_ts"),
         F.lit(len(df.columns)).alias("n_columns"),
-        F.count_distinct(spec.activity).alias("activities"),
-        F.count_distinct(resource).alias("resources"),
     )
+    for name, col in (("cases", spec.case), ("activities", spec.activity), ("resources", resource)):
+        base = with_scalars(base, df.select(col).distinct().agg(F.count(col).alias(name)))
+    return base.select("cases", "events", "first_ts", "last_ts", "n_columns", "activities", "resources")
 
 
 def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -182,16 +183,21 @@ def duration_summary(durations: DataFrame) -> DataFrame:
 
 
 def duration_histogram(durations: DataFrame, bins: int = 60, clip: float = 0.99) -> DataFrame:
-    """Equal-width histogram of durations clipped at a quantile; empty bins are absent."""
+    """Equal-width histogram of durations clipped at a quantile: one row per bin, 0 for an empty one.
+
+    If all durations are equal they are in the first bin.
+    """
     bounds = quantiles(durations, F.col("days"), {"__low": 0.0, "__high": clip})
     x = F.least("days", "__high")
     width = F.col("__high") - F.col("__low")
     at = F.coalesce(F.floor(F.try_divide(x - F.col("__low"), width) * bins), F.lit(0))
-    return (
-        with_scalars(durations, bounds)
+    counted = (
+        with_scalars(durations.filter(F.col("days").isNotNull()), bounds)
         .groupBy(F.least(at, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    axis = durations.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return axis.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def prefix_cap(df: DataFrame, spec: LogSpec, mapping: Mapping[str, int], label: str, q: float = 0.98) -> DataFrame:
