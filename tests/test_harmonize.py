@@ -1,7 +1,8 @@
 """Canonical mapping, label maps and draft scoring."""
 
 import datetime as dt
-from difflib import SequenceMatcher
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,13 +94,48 @@ def test_map_checks(spark):
                    ("W_q", "[OTHER_ACTIVITY]", "crossed_prefix"), ("O_t+s", "W_z+s", "crossed_prefix")}
 
 
-def test_block_ratio_equals_difflib(spark):
-    names = spark.createDataFrame([("case:RequestedAmount", 0), ("time:timestamp", 1), ("org:resource", 2), ("Amount requested", 3)], "name string, position int")
-    aliases = {"requested_amount_value": ["requested amount", "amount req"], "timestamp": ["timestamp", "time timestamp"], "none": ["zzzz"]}
-    got = {r.field: r for r in H.match_columns(names, aliases).collect()}
-    assert got["timestamp"].column_name == "time:timestamp" and got["none"].column_name is None
-    want = max(SequenceMatcher(None, n, a).ratio() for n in ("requestedamount", "amount requested") for a in aliases["requested_amount_value"])
-    assert got["requested_amount_value"].score == pytest.approx(want)
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for k, y in enumerate(b, 1):
+            last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("mode, threshold", [("character", 0.5), ("character", 0.72), ("word", 0.4), ("word", 0.72)])
+def test_index_finds_what_scoring_all_pairs_finds(spark, mode, threshold):
+    rng = random.Random(threshold)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    names = sorted({" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(150)})
+    aliases = {f"f{i}": [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(2)] for i in range(40)}
+
+    def score(a, b):
+        if mode == "character":
+            return 1 - distance(a, b) / max(len(a), len(b))
+        x, y = Counter(a.split()), Counter(b.split())
+        return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()))
+
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, position int")
+    got = {r.field: (r.column_name, r.score) for r in H.match_columns(df, aliases, threshold, mode).collect()}
+    hits = 0
+    for f, many in aliases.items():
+        best, n = max(((max(score(n, a) for a in many), n) for n in names), key=lambda x: (x[0], -names.index(x[1])))
+        assert got[f][0] == (n if best >= threshold else None)
+        assert got[f][1] == (pytest.approx(best) if best >= threshold else None)
+        hits += best >= threshold
+    assert 5 < hits
+
+
+def test_names_meet_only_on_what_they_share(spark):
+    names = spark.createDataFrame([(f"{'xyz'[i % 3]}{i:04d}", i) for i in range(900)], "name string, position int")
+    listed = spark.createDataFrame([(0, ["x0000"])], "__r int, words array<string>")
+    left = names.select(F.col("name").alias("__l"), H.name_words(F.col("name")).alias("words"))
+    assert H._similar_names(left, listed, "character", 0.9).collect() == [("x0000", 0, 1.0)]
+    plan = H._similar_names(left, listed, "character", 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (__entry" in plan and "Join Cross" not in plan and "Python" not in plan and "PythonUDF" not in plan
+    with pytest.raises(ValueError, match="0.5"):
+        H.match_columns(names, {"a": ["b"]}, 0.3)
 
 
 @pytest.mark.parametrize("mode", ["character", "word"])

@@ -9,8 +9,6 @@ import __spark_entry__ as entry
 from tests.oracle import collected, compare_rows, duck
 
 ROWS_ONLY = {
-    "C07_match_columns_blocks",  # matching blocks have no SQL form
-    "C08_match_labels_words",
     "V15_encoding_identity",
     "S05_file_fingerprint",
 }

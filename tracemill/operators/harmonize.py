@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
 
 from tracemill.functions.contract import (
     DERIVED, OFFER_FIELDS, REQUIRED, SPARK_TYPES,
@@ -235,102 +233,99 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def block_ratio(a: Column, b: Column) -> Column:
-    """Matching-block ratio of two word or character arrays (needs Python; use on distinct pairs)."""
-
-    # Defined here so that executors get it by value and need no package on their path.
-    @F.pandas_udf(DoubleType())
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(left, right)])
-
-    return ratio(a, b)
+def _entries(words: Column, mode: str) -> Column:
+    """Index entries of a name with their counts: words, or pairs of characters with a mark at both ends."""
+    if mode == "word":
+        entries = words
+    else:
+        text = F.concat(F.lit("\u0001"), F.array_join(words, " "), F.lit("\u0001"))
+        entries = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, 2))
+    distinct = F.transform(F.array(entries), lambda all_: F.transform(
+        F.array_distinct(all_), lambda e: F.struct(e.alias("entry"), F.size(F.filter(all_, lambda x: x == e)).alias("c"))))
+    return distinct[0]
+
+
+def _similar_names(left: DataFrame, right: DataFrame, mode: str, threshold: float, scope: Sequence[str] = ()) -> DataFrame:
+    """``(__l, __r, score)`` of the pairs that reach the threshold, through an index of what their names share.
+
+    Both sides hold an id (``__l``, ``__r``), the ``words`` of a name and the ``scope`` columns, which must agree. Names meet on
+    shared entries only, whose counts are summed per pair; pairs that share too few to reach the threshold are never scored.
+    ``word`` scores twice the shared words over all words. ``character`` scores 1 - edit distance / longer length: one
+    edit changes two pairs of characters, so a pair within reach shares at least longer + 1 - 2 edits.
+    """
+    if mode not in ("character", "word"):
+        raise ValueError(f"unknown similarity mode: {mode!r}")
+    if mode == "character" and threshold < 0.5:
+        raise ValueError("character similarity needs a threshold of 0.5 or more")
 
+    def posted(df: DataFrame, id_: str, side: str) -> DataFrame:
+        size = F.size("words") if mode == "word" else F.length(F.array_join("words", " "))
+        return df.select(id_, *scope, size.alias(f"__n{side}"), F.explode(_entries(F.col("words"), mode)).alias("e")).select(
+            id_, *scope, f"__n{side}", F.col("e.entry").alias("__entry"), F.col("e.c").alias(f"__c{side}"))
 
-def _score(a_words: Column, b_words: Column, mode: str, scorer: str) -> Column:
-    joined = F.array_join(a_words, " "), F.array_join(b_words, " ")
-    if scorer == "edit":
-        if mode != "character":
-            raise ValueError("the edit scorer compares characters")
-        return edit_similarity(*joined)
-    if scorer != "blocks":
-        raise ValueError(f"unknown scorer: {scorer!r}")
+    met = posted(left, "__l", "a").join(posted(right, "__r", "b"), [*scope, "__entry"])
+    shared = met.groupBy("__l", "__r").agg(
+        F.sum(F.least("__ca", "__cb")).alias("__shared"), F.first("__na").alias("__na"), F.first("__nb").alias("__nb"))
     if mode == "word":
-        return block_ratio(a_words, b_words)
-    if mode == "character":
-        chars = [F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")) for t in joined]
-        return block_ratio(*chars)
-    raise ValueError(f"unknown similarity mode: {mode!r}")
+        score = 2 * F.col("__shared") / (F.col("__na") + F.col("__nb"))
+        return shared.withColumn("score", score).filter(F.col("score") >= threshold).select("__l", "__r", "score")
+    longest = F.greatest("__na", "__nb")
+    edits = F.floor((1 - F.lit(threshold)) * longest + 1e-9)
+    near = shared.filter(F.col("__shared") >= longest + 1 - 2 * edits).select("__l", "__r")
+    text = lambda df, id_, name: df.select(id_, F.array_join("words", " ").alias(name))
+    scored = near.join(text(left, "__l", "__ta"), "__l").join(text(right, "__r", "__tb"), "__r")
+    score = edit_similarity(F.col("__ta"), F.col("__tb"))
+    return scored.withColumn("score", score).filter(F.col("score") >= threshold).select("__l", "__r", "score")
 
 
 def match_columns(
-    names: DataFrame, aliases: Mapping[str, Sequence[str]], threshold: float = 0.72, scorer: str = "blocks",
+    names: DataFrame, aliases: Mapping[str, Sequence[str]], threshold: float = 0.72, mode: str = "character",
     name: str = "name", position: str = "position",
 ) -> DataFrame:
     """Best source column per canonical field.
 
-    ``names`` holds the column names with their position; ties keep the first.
-    The alias list is a literal exploded on each name, so pairs
-    are scored where the names are, without a join. Fields below the threshold
-    come back with a null column.
+    ``names`` holds the distinct column names with their position; ties keep the first. Names and aliases meet through
+    :func:`_similar_names`, so the pairs scored grow with what they share. Fields without a name at the threshold come back
+    with a null column and score.
     """
-    pairs = [(f, a) for f, many in aliases.items() for a in many]
-    literal = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("alias")) for f, a in pairs])
-    scored = (
-        names.select(F.col(name).alias("__name"), F.col(position).alias("__pos"), F.explode(literal).alias("x"))
-        .withColumn("score", _score(name_words(F.col("__name")), F.split("x.alias", " "), "character", scorer))
-    )
-    best = scored.groupBy(F.col("x.field").alias("field")).agg(
-        F.max(F.struct("score", (-F.col("__pos")).alias("p"), F.col("__name").alias("n"))).alias("b")
-    )
-    return best.select(
-        "field",
-        F.when(F.col("b.score") >= threshold, F.col("b.n")).alias("column_name"),
-        F.col("b.score").alias("score"),
-    )
+    spark = names.sparkSession
+    pairs = [(i, f, a.split()) for i, (f, a) in enumerate((f, a) for f, many in aliases.items() for a in many)]
+    listed = spark.createDataFrame(pairs, "__r int, field string, words array<string>")
+    cleaned = names.select(F.struct(F.col(position).alias("p"), F.col(name).alias("n")).alias("__l"), name_words(F.col(name)).alias("words"))
+    found = _similar_names(cleaned, listed.drop("field"), mode, threshold)
+    best = found.join(listed.select("__r", "field"), "__r").groupBy("field").agg(
+        F.max(F.struct("score", (-F.col("__l.p")).alias("p"), F.col("__l.n").alias("n"))).alias("b"))
+    fields = spark.createDataFrame([(f,) for f in aliases], "field string")
+    return fields.join(best, "field", "left").select(
+        "field", F.col("b.n").alias("column_name"), F.col("b.score").alias("score"))
 
 
 def match_labels(
     raw: DataFrame, canonical: Mapping[str, str], mode: str = "character", threshold: float = 0.55,
-    scorer: str = "blocks",
 ) -> DataFrame:
     """Best canonical label per distinct raw label of the same prefix.
 
     ``raw`` holds ``(dataset_id, label)`` of all splits, ``canonical`` maps the
-    contract's labels to their descriptions. That list is a literal,
-    filtered by prefix on each raw label, so the work is linear in the
-    distinct raw labels. The score is the better of label and description; ties
-    keep the first label listed. Labels below the threshold come back unresolved
-    (null), labels without any candidate with a null score.
+    contract's labels to their descriptions. Labels meet those of their prefix through :func:`_similar_names`. The
+    score is the better of label and description; ties keep the first label listed. Labels that reach the threshold
+    with none come back with a null label and score.
     """
-    if mode not in ("character", "word"):
-        raise ValueError(f"unknown similarity mode: {mode!r}")
     drop = (*_IGNORED, *_ORIGINS)
-    literal = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(c).alias("label"), F.lit(d).alias("text"),
-            F.lit(c.split("_", 1)[0] if "_" in c else "").alias("prefix"),
-        )
-        for i, (c, d) in enumerate(canonical.items())
-    ])
+    spark = raw.sparkSession
+    listed = spark.createDataFrame(
+        [(2 * i + side, i, c, text, c.split("_", 1)[0] if "_" in c else "")
+         for i, (c, d) in enumerate(canonical.items()) for side, text in enumerate((c, d))],
+        "__r int, i int, canonical string, text string, prefix string")
+    words = F.when(F.col("__r") % 2 == 0, name_words(F.col("text"), drop)).otherwise(name_words(F.col("text")))
+    right = listed.select("__r", "prefix", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
     distinct = raw.select("dataset_id", "label").distinct()
-    near = F.filter(literal, lambda x: x["prefix"] == origin(F.col("label")))
-    pairs = distinct.select("dataset_id", "label", F.explode_outer(near).alias("x"))
-    words = name_words(F.col("label"), drop)
-    by_label = _score(words, F.coalesce(name_words(F.col("x.label"), drop), F.array().cast("array<string>")), mode, scorer)
-    by_text = _score(words, F.coalesce(name_words(F.col("x.text")), F.array().cast("array<string>")), mode, scorer)
-    scored = pairs.withColumn("__score", F.when(F.col("x").isNotNull(), F.greatest(by_label, by_text)))
-    best = scored.groupBy("dataset_id", "label").agg(
-        F.max(
-            F.when(F.col("x").isNotNull(), F.struct("__score", (-F.col("x.i")).alias("i"), F.col("x.label").alias("c")))
-        ).alias("b")
-    )
-    return best.select(
-        "dataset_id", "label",
-        F.when(F.col("b.__score") >= threshold, F.col("b.c")).alias("canonical"),
-        F.col("b.__score").alias("score"),
-    )
+    left = distinct.select("label").distinct().select(
+        F.col("label").alias("__l"), origin(F.col("label")).alias("prefix"), name_words(F.col("label"), drop).alias("words"))
+    found = _similar_names(left, right, mode, threshold, ["prefix"])
+    best = found.join(listed.select("__r", "i", "canonical"), "__r").groupBy(F.col("__l").alias("label")).agg(
+        F.max(F.struct("score", (-F.col("i")).alias("i"), F.col("canonical").alias("c"))).alias("b"))
+    return distinct.join(best, "label", "left").select(
+        "dataset_id", "label", F.col("b.c").alias("canonical"), F.col("b.score").alias("score"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
