@@ -734,6 +734,14 @@ def encoding_identity(spark, sf):
         {"vocab": vocab(spark, sf), "scaler": scaler(spark, sf), "events": mapped(spark, sf)}, {"cap": prefix_cap(spark, sf), "fields": sorted(FIELDS)})
 
 
+@query("V15_vocab_identity", MV + """
+, h AS (SELECT sha256(CAST(json_object('field', field, 'id', id, 'token', token) AS VARCHAR)) AS h FROM vc)
+SELECT sha256('version=1|[{"part":"vocab","n":' || count(*) || ',"h":"' || CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) || '"}]') AS identity FROM h""")
+def vocab_identity(spark, sf):
+    """The identity of the vocabulary alone, which has a plain SQL form."""
+    return V.encoding_identity({"vocab": vocab(spark, sf)}, {"version": 1})
+
+
 # --- additive statistics --------------------------------------------------------------------------
 
 _CAT = ["canonical_activity_token", "next_activity_target", "resource", "loan_goal"]

@@ -156,3 +156,16 @@ def write_summary(spark, sf):
     summary = order_cases(spark, sf).groupBy("goal", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount") == 0).alias("n_zero"))
     S.write_summary(summary, ["goal", "type", "n", "n_zero"], path)
     return spark.read.option("header", "true").schema("goal string, type string, n long, n_zero long").csv(path)
+
+
+@query("S09_write_json", with_(O) + """
+, s AS (SELECT goal, type, count(*) AS n, CAST(sum(CASE WHEN amount = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero FROM o GROUP BY goal, type)
+SELECT CAST(row_number() OVER (ORDER BY goal NULLS FIRST, type NULLS FIRST) AS INTEGER) AS line,
+  CAST(json_object('goal', goal, 'n', n, 'n_zero', n_zero, 'type', type) AS VARCHAR) AS value FROM s""")
+def write_json(spark, sf):
+    """The lines of the written file, in their order."""
+    path = _fresh(spark, "summary")
+    summary = order_cases(spark, sf).groupBy("goal", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount") == 0).alias("n_zero"))
+    S.write_summary(summary, ["goal", "type", "n", "n_zero"], path, "json")
+    lines = spark.read.text(path, wholetext=True)
+    return lines.select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "value")).select((F.col("i") + 1).alias("line"), "value")

@@ -121,6 +121,12 @@ def test_summary_order(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     S.write_summary(df, ["b", "a"], str(tmp_path / "s"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "s")).columns == ["b", "a"]
+    many = spark.createDataFrame([(3, "x"), (1, None), (2, "y"), (2, "a")], "a int, b string").repartition(4)
+    for name in ("j", "k"):
+        S.write_summary(many, ["a", "b"], str(tmp_path / name), "json")
+    files = [sorted((tmp_path / name).glob("part-*")) for name in ("j", "k")]
+    assert [len(f) for f in files] == [1, 1] and files[0][0].read_text() == files[1][0].read_text()
+    assert files[0][0].read_text() == '{"a":1,"b":null}\n{"a":2,"b":"a"}\n{"a":2,"b":"y"}\n{"a":3,"b":"x"}\n'
     with pytest.raises(ValueError, match="unknown format"):
         S.write_summary(df, ["a"], str(tmp_path / "q"), "xls")
 

@@ -219,8 +219,17 @@ def table_fingerprint(df: DataFrame, cols: Sequence[str | Column], by: Sequence[
 
 
 def write_summary(df: DataFrame, cols: Sequence[str], path: str, fmt: str = "csv") -> None:
-    """Write a summary in a fixed column order (CSV with header, or JSON lines)."""
+    """Write a summary in a fixed column order (CSV with header), or as JSON with sorted keys and rows.
+
+    A summary is small: JSON is one file with one object a line, keys in name order, nulls kept, rows in the order of ``cols``,
+    so equal summaries give equal files.
+    """
     if fmt not in ("csv", "json"):
         raise ValueError(f"unknown format: {fmt!r}")
-    writer = df.select(*cols).write.mode("overwrite")
-    writer.option("header", "true").csv(path) if fmt == "csv" else writer.json(path)
+    rows = df.select(*cols)
+    if fmt == "csv":
+        rows.write.mode("overwrite").option("header", "true").csv(path)
+        return
+    line = F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})
+    # A range of one partition, which orders the rows without a sampling job for more.
+    rows.repartitionByRange(1, *cols).sortWithinPartitions(*cols).select(line.alias("value")).write.mode("overwrite").text(path)
