@@ -22,8 +22,8 @@ DESIGN = replace(
 CONFIGS = [("iid", 3), ("weak", 3), ("medium", 3), ("strong", 3), ("medium", 5), ("strong", 5)]
 NAMES = [f"{s}_{k}banks" for s, k in CONFIGS]
 GROUPS = {
-    "High-approval": ["1-URGENT"], "Low-approval": ["5-LOW", "4-NOT SPECIFIED"],
-    "Specialist D": ["2-HIGH"], "Specialist E": ["3-MEDIUM"],
+    "High rate": ["1-URGENT"], "Low rate": ["5-LOW", "4-NOT SPECIFIED"],
+    "Bank D only": ["2-HIGH"], "Bank E only": ["3-MEDIUM"],
 }
 
 _DECIDED: dict[tuple, object] = {}
@@ -397,8 +397,8 @@ def compare_configs(spark, sf):
 
 
 CASE_TABLE = """be AS (SELECT config, quantile_cont(amount, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) FILTER (WHERE amount > 0) AS edges FROM lay GROUP BY config),
-ct AS (SELECT sp.config, bank, split, case_id, amount, CASE goal WHEN '1-URGENT' THEN 'High-approval' WHEN '5-LOW' THEN 'Low-approval'
-  WHEN '4-NOT SPECIFIED' THEN 'Low-approval' WHEN '2-HIGH' THEN 'Specialist D' WHEN '3-MEDIUM' THEN 'Specialist E' ELSE 'Other' END AS goal_group,
+ct AS (SELECT sp.config, bank, split, case_id, amount, CASE goal WHEN '1-URGENT' THEN 'High rate' WHEN '5-LOW' THEN 'Low rate'
+  WHEN '4-NOT SPECIFIED' THEN 'Low rate' WHEN '2-HIGH' THEN 'Bank D only' WHEN '3-MEDIUM' THEN 'Bank E only' ELSE 'Other' END AS goal_group,
   CASE WHEN amount > 0 THEN (['Q1 low', 'Q2', 'Q3', 'Q4', 'Q5 high'])[1 + len(list_filter(list_distinct(edges), lambda x: x < amount AND x > edges[1]))]
   ELSE 'Zero' END AS amount_band FROM sp JOIN be ON be.config = sp.config)"""
 

@@ -168,4 +168,4 @@ def write_json(spark, sf):
     summary = order_cases(spark, sf).groupBy("goal", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount") == 0).alias("n_zero"))
     S.write_summary(summary, ["goal", "type", "n", "n_zero"], path, "json")
     lines = spark.read.text(path, wholetext=True)
-    return lines.select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "value")).select((F.col("i") + 1).alias("line"), "value")
+    return lines.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("i", "value")).select((F.col("i") + 1).alias("line"), "value")
