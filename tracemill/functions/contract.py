@@ -14,12 +14,6 @@ REQUIRED = {
     "offer_feature_mask": "integer", "credit_score_value": "float", "monthly_cost_value": "float",
     "offered_amount_value": "float", "number_of_terms_value": "float",
 }
-# Fields added by the label mapping.
-MAPPED = {
-    "canonical_activity_label": "string", "canonical_activity_token": "string",
-    "next_activity_target": "string", "next_activity_mask": "integer", "remaining_time_mask": "integer",
-}
-CATALOG = {**REQUIRED, **MAPPED}
 # Offer state fields, and fields derived rather than mapped.
 OFFER_FIELDS = ("credit_score_value", "monthly_cost_value", "offered_amount_value", "number_of_terms_value")
 CYCLIC_FIELDS = ("weekday_sin", "weekday_cos", "hour_sin", "hour_cos")
@@ -27,12 +21,4 @@ DERIVED = (
     "dataset_id", "client_id", "split", "event_index", "time_since_previous", *CYCLIC_FIELDS,
     "offer_present", "offer_feature_mask",
 )
-# Fields that must never be model inputs (identity, targets, masks).
-FORBIDDEN_INPUTS = (
-    "case_id", "event_index", "timestamp", "raw_activity", "lifecycle", "raw_activity_token",
-    "next_activity_raw", "remaining_time", "outcome", "dataset_id", "client_id", "split",
-    "canonical_activity_label", "next_activity_target", "next_activity_mask", "remaining_time_mask",
-    "requested_amount_mask", "loan_goal_mask", "application_type_mask", "offer_present", "offer_feature_mask",
-)
 SPARK_TYPES = {"string": "string", "integer": "long", "float": "double", "datetime": "timestamp"}
-EVENT_KEYS = ("dataset_id", "client_id", "split", "case_id")
