@@ -800,6 +800,14 @@ def merge_stats(spark, sf):
 _CATV = {c: FIELDS[c] for c in _CAT}
 
 
+@query("A02_merge_stats_per_client", M + ", " + _stats_sql("ls", CAP) + f""", {_MERGED}
+SELECT NULL AS client_id, family, field, key, {_SIG} AS value FROM mg
+UNION ALL SELECT client_id, family, field, key, {_SIG} FROM ls WHERE family = 'counts'""")
+def merge_stats_per_client(spark, sf):
+    """Totals (no client) and the counts of each client."""
+    return _sig(A.merge_stats(_stats(spark, sf), "client_id"))
+
+
 @query("A03_vocab_from_counts", MV + "SELECT field, token, id FROM vc WHERE field <> 'application_type'")
 def vocab_from_counts(spark, sf):
     """Must equal the vocabulary fitted on the pooled train events."""
@@ -828,6 +836,63 @@ def compare_stats(spark, sf):
     return A.compare_stats(_stats(spark, sf), _stats(spark, sf, 5), by=["client_id"])
 
 
+def _record_sql(n: str, cap: str | int) -> str:
+    """The central record of one prefix cap, without any sums per client."""
+    def entries(family: str, bank: str, pairs: dict[str, str], src: str, where: str = "true") -> str:
+        made = ", ".join(f"{{'f': '{f}', 'v': CAST({v} AS DOUBLE)}}" for f, v in pairs.items())
+        return f"SELECT {family} AS family, {bank} AS bank, u.f AS field, '' AS key, u.v AS value, NULL AS text FROM (SELECT *, unnest([{made}]) AS u FROM {src} WHERE {where})"
+
+    fits = f"split = 'train' AND event_index < {cap} AND event_index < n_events - 1 AND remaining_time > 0"
+    return f"""{n}c AS (SELECT client_id, case_id, count(*) AS n FROM mp GROUP BY ALL),
+{n}g AS (SELECT client_id, count(*) AS cases, sum(n) AS events, sum(least(n, {cap})) AS prefixes, max(n) AS longest FROM {n}c GROUP BY GROUPING SETS ((client_id), ())),
+{n}t AS (SELECT avg(remaining_time) AS center, stddev_pop(remaining_time) AS scale, count(*) AS n FROM mp WHERE {fits}),
+{n} AS ({entries("CASE WHEN client_id IS NULL THEN 'counts' ELSE 'per_bank_counts' END", "client_id", {"cases": "cases", "events": "events", "prefixes": "prefixes"}, f"{n}g")}
+UNION ALL {entries("'prefix'", "NULL", {"cap": str(cap), "padding": str(cap), "max_length": "longest"}, f"{n}g", "client_id IS NULL")}
+UNION ALL SELECT 'outcomes', NULL, 'outcome', CAST(outcome AS VARCHAR), count(DISTINCT case_id), NULL FROM mp WHERE split = 'train' GROUP BY outcome
+UNION ALL SELECT 'vocabularies', NULL, field, token, id, NULL FROM vc WHERE field <> 'application_type'
+UNION ALL SELECT 'scalers', NULL, field, 'mean', mean, NULL FROM sc UNION ALL SELECT 'scalers', NULL, field, 'std', std, NULL FROM sc
+UNION ALL SELECT 'target', NULL, 'remaining_time', 'center', center, NULL FROM {n}t UNION ALL SELECT 'target', NULL, 'remaining_time', 'scale', scale, NULL FROM {n}t
+UNION ALL SELECT 'target', NULL, 'remaining_time', 'n_values', n, NULL FROM {n}t
+UNION ALL SELECT 'target', NULL, 'remaining_time', 'transform', NULL, 'raw' UNION ALL SELECT 'target', NULL, 'remaining_time', 'scaling', NULL, 'zscore')"""
+
+
+# Merged sums must give the central record of the same cap; against that of another cap four families differ.
+_RECORDS = MVS + ", " + _record_sql("ra", CAP) + ", " + _record_sql("rb", 5) + """
+, j AS (SELECT 'same cap' AS central, a.family, true AS ok FROM ra a
+  UNION ALL SELECT 'cap of five', coalesce(a.family, b.family), a.family IS NOT NULL AND b.family IS NOT NULL AND a.text IS NOT DISTINCT FROM b.text
+    AND (a.value IS NOT DISTINCT FROM b.value OR (a.family IN ('scalers', 'target') AND coalesce(abs(a.value - b.value) <= greatest(1e-9 * greatest(abs(a.value), abs(b.value)), 1e-9), false)))
+  FROM ra a FULL JOIN rb b ON a.family = b.family AND a.bank IS NOT DISTINCT FROM b.bank AND a.field = b.field AND a.key IS NOT DISTINCT FROM b.key),
+ck AS (SELECT central, family, bool_and(ok) AS matches, count(*) FILTER (WHERE NOT ok) AS n_different, count(*) AS n_entries FROM j GROUP BY central, family) """
+
+
+def _metadata_checks(spark, sf):
+    cap = prefix_cap(spark, sf)
+    sums = _once(spark, sf, "merged_sums", lambda: A.merge_stats(_stats(spark, sf), "client_id"))
+    merged = _once(spark, sf, "merged_record", lambda: A.merged_metadata(sums, _CATV, cap, "raw", "zscore"))
+    out = None
+    for name, c in (("same cap", cap), ("cap of five", 5)):
+        events = mapped(spark, sf)
+        target = V.fit_target(V.target_population(events, "event_index", "n_events", c, "remaining_time"), "raw", "zscore")
+        words = vocab(spark, sf).filter(F.col("field").isin(*_CAT))
+        central = _once(spark, sf, f"central_record_{name}", lambda: A.metadata_record(
+            V.prefix_counts(events, c), V.train_outcome_counts(events), words, scaler(spark, sf), target, c))
+        one = A.compare_metadata(merged, central).withColumn("central", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("A05_compare_metadata", _RECORDS + "SELECT central, family, matches, n_different, n_entries FROM ck")
+def compare_metadata(spark, sf):
+    """The record rebuilt from the clients' sums against centrally fitted ones."""
+    return _metadata_checks(spark, sf)
+
+
+@query("A05_metadata_verdict", _RECORDS + """
+SELECT central, bool_and(matches) AS matches, coalesce(string_agg(family, ',' ORDER BY family) FILTER (WHERE NOT matches), '') AS differences FROM ck GROUP BY central""")
+def metadata_verdict(spark, sf):
+    return A.metadata_verdict(_metadata_checks(spark, sf), ["central"]).withColumn("differences", F.array_join("differences", ","))
+
+
 _CHECKS = """, j AS (SELECT coalesce(a.client_id, b.client_id) AS run, coalesce(a.family, b.family) AS family,
   coalesce(abs(a.value - b.value) <= greatest(1e-9 * greatest(abs(a.value), abs(b.value)), 1e-9), false) AS near
   FROM ls a FULL JOIN l2 b ON a.client_id = b.client_id AND a.family = b.family AND a.field = b.field AND a.key = b.key),

@@ -178,6 +178,32 @@ def test_additive_equals_central(events, train):
         A.target_from_moments(merged, "log", "zscore").collect()
 
 
+def test_merged_record_equals_the_central_one(events, train):
+    stats = A.local_stats(events, 3, list(FIELDS), NUMERIC)
+    merged = A.merge_stats(stats, "client_id")
+    mine = {(r.client_id, r.field): r.value for r in merged.filter("family = 'counts'").collect()}
+    assert mine["A", "cases"] == 2 and mine["B", "events"] == 6 and mine[None, "cases"] == 4 and mine[None, "max_length"] == 4
+    assert merged.filter("client_id is not null and family <> 'counts'").count() == 0
+    target = V.fit_target(V.target_population(events, "event_index", "n_events", 3, "remaining_time"), "raw", "zscore")
+    fits = (V.train_outcome_counts(events), V.fit_vocab(train, FIELDS), V.fit_scaler(train, NUMERIC), target)
+    central = A.metadata_record(V.prefix_counts(events, 3), *fits, 3)
+    record = A.merged_metadata(merged, FIELDS, 3, "raw", "zscore")
+    checks = A.compare_metadata(record, central)
+    assert [r.family for r in checks.orderBy("family").collect()] == list(A.FAMILIES)
+    assert tuple(A.metadata_verdict(checks).first()) == (True, [])
+    capped = A.compare_metadata(record, A.metadata_record(V.prefix_counts(events, 2), *fits, 2))
+    assert tuple(A.metadata_verdict(capped).first()) == (False, ["counts", "per_bank_counts", "prefix"])
+    # Tolerance is for real numbers only; entries of one side and repeated ones differ.
+    big = central.withColumn("value", F.when(F.col("family") == "counts", 1e12).otherwise(F.col("value")))
+    off = big.withColumn("value", F.when(F.col("family").isin("counts", "scalers"), F.col("value") + 1e-10 * F.abs("value")).otherwise(F.col("value")))
+    off = off.withColumn("value", F.when(F.col("family") == "counts", F.col("value") + 1).otherwise(F.col("value")))
+    less = off.filter("family <> 'target' or key <> 'transform'").unionByName(off.filter("family = 'outcomes'"))
+    assert tuple(A.metadata_verdict(A.compare_metadata(big, less)).first()) == (False, ["counts", "outcomes", "target"])
+    assert A.compare_metadata(central.limit(0), central.limit(0)).filter("matches and n_entries = 0").count() == 7
+    with pytest.raises(Exception, match="no name"):
+        A.merge_stats(stats.withColumn("client_id", F.lit(None).cast("string")), "client_id").collect()
+
+
 def test_vector_means(spark):
     df = spark.createDataFrame([("g", [1.0, 10.0], 1, [1.0, 0.0]), ("g", [3.0, 20.0], 3, [1.0, 0.0])], "g string, v array<double>, w int, c array<double>")
     mean = lambda mode: A.group_weighted_vector_mean(df, ["g"], "v", "w", mode, "c").first()["mean"]

@@ -86,10 +86,22 @@ def local_stats(
     return counts.unionByName(outcomes).unionByName(tokens).unionByName(moments)
 
 
-def merge_stats(stats: DataFrame) -> DataFrame:
-    """Sum over clients; the maximum trace length merges by maximum."""
+def merge_stats(stats: DataFrame, client: str | None = None) -> DataFrame:
+    """Sum over clients; the maximum trace length merges by maximum.
+
+    With ``client`` named, the counts of each client stay beside the totals, whose client is null. Only
+    rows of the counts are doubled for that, tokens and moments are not. A client without a name then raises.
+    """
     merged = F.when(F.col("field") == MAX_KEY, F.max("value")).otherwise(F.sum("value"))
-    return stats.groupBy("family", "field", "key").agg(merged.alias("value"))
+    keys = ["family", "field", "key"]
+    if client is None:
+        return stats.groupBy(*keys).agg(merged.alias("value"))
+    named = F.when(F.col(client).isNull(), F.raise_error(F.lit("a client has no name")).cast("string")).otherwise(
+        F.col(client).cast("string")
+    )
+    total = F.lit(None).cast("string")
+    scope = F.when(F.col("family") == "counts", F.array(total, named)).otherwise(F.array(total))
+    return stats.select(F.explode(scope).alias(client), *keys, "value").groupBy(client, *keys).agg(merged.alias("value"))
 
 
 def vocab_from_counts(merged: DataFrame, fields: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -168,6 +180,113 @@ def differences(a: DataFrame, b: DataFrame, tol: float = 1e-9) -> DataFrame:
     return both.filter(~F.coalesce(near, F.lit(False)))
 
 
+#: Families of a metadata record; each is one check of a comparison.
+FAMILIES = ("counts", "outcomes", "per_bank_counts", "prefix", "scalers", "target", "vocabularies")
+#: Families of real numbers, which compare within a tolerance. All others must be equal.
+REAL = ("scalers", "target")
+
+
+def metadata_record(
+    counts: DataFrame, outcomes: DataFrame, vocab: DataFrame, scaler: DataFrame, target: DataFrame, cap: int | None,
+    client: str = "client_id", outcome: str = "outcome",
+) -> DataFrame:
+    """Everything an encoding was fitted to, as rows ``(family, bank, field, key, value, text)``.
+
+    ``counts`` is what ``encode.prefix_counts`` returns (null client: total), ``outcomes`` what ``train_outcome_counts``
+    returns; the fits are those of ``encode`` or the ones rebuilt from sums. ``bank`` is null but for counts per bank.
+    """
+    def entry(family: Column, field: str, key: Column, value: Column | None = None, text: Column | None = None,
+              bank: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            family.alias("family"), (none if bank is None else bank).cast("string").alias("bank"), F.lit(field).alias("field"),
+            key.alias("key"), (none if value is None else value).cast("double").alias("value"),
+            (none if text is None else text).cast("string").alias("text"),
+        )
+
+    def rows(df: DataFrame, entries: Column) -> DataFrame:
+        return df.select(F.explode(entries).alias("x")).select("x.*")
+
+    blank, bank = F.lit(""), F.col(client)
+    family = F.when(bank.isNull(), "counts").otherwise("per_bank_counts")
+    sums = [entry(family, c, blank, F.col(c), bank=bank) for c in ("cases", "events", "prefixes")]
+    length = F.lit(cap)
+    settings = [
+        entry(F.lit("prefix"), "cap", blank, length), entry(F.lit("prefix"), "padding", blank, length),
+        entry(F.lit("prefix"), MAX_KEY, blank, F.col(MAX_KEY)),
+    ]
+    ids = vocab.select(
+        F.lit("vocabularies").alias("family"), F.lit(None).cast("string").alias("bank"), "field", F.col("token").alias("key"),
+        F.col("id").cast("double").alias("value"), F.lit(None).cast("string").alias("text"),
+    )
+    scales = scaler.select("field", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in ("mean", "std")
+    ])).alias("x")).select(
+        F.lit("scalers").alias("family"), F.lit(None).cast("string").alias("bank"), "field", "x.key", "x.value",
+        F.lit(None).cast("string").alias("text"),
+    )
+    aim = [entry(F.lit("target"), "remaining_time", F.lit(k), F.col(k)) for k in ("center", "scale", "n_values")]
+    aim += [entry(F.lit("target"), "remaining_time", F.lit(k), text=F.col(k)) for k in ("transform", "scaling")]
+    return (
+        rows(counts, F.when(bank.isNull(), F.array(*sums, *settings)).otherwise(F.array(*sums)))
+        .unionByName(rows(outcomes, F.array(entry(F.lit("outcomes"), "outcome", F.col(outcome).cast("string"), F.col("cases")))))
+        .unionByName(ids).unionByName(scales).unionByName(rows(target, F.array(*aim)))
+    )
+
+
+def merged_metadata(
+    merged: DataFrame, fields: Mapping[str, Sequence[str]], cap: int | None, transform: str, scaling: str, client: str = "client_id",
+) -> DataFrame:
+    """The record rebuilt from sums alone; ``merged`` keeps clients, see :func:`merge_stats`, and is read five times (settle it)."""
+    at = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
+    counts = merged.filter("family = 'counts'").groupBy(client).agg(
+        *[at(c).alias(c) for c in ("cases", "events", "prefixes", MAX_KEY)]
+    )
+    outcomes = merged.filter("family = 'outcomes'").select(F.col("key").alias("outcome"), F.col("value").alias("cases"))
+    return metadata_record(
+        counts, outcomes, vocab_from_counts(merged, fields), scaler_from_moments(merged),
+        target_from_moments(merged, transform, scaling), cap, client,
+    )
+
+
+def compare_metadata(a: DataFrame, b: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """Two records as seven rows ``(family, matches, n_different, n_entries)``, one per family, also for one without entries.
+
+    Scalers and target parameters may differ by ``tol``, relative or absolute; everything else must be equal.
+    Both sides meet in one grouping by key, which is null-safe and adds up map-side; an entry on one side only, or more than
+    once on a side, differs.
+    """
+    key = ["family", "bank", "field", "key"]
+    sides = a.select(*key, "value", "text", F.lit(True).alias("__a")).unionByName(
+        b.select(*key, "value", "text", F.lit(False).alias("__a"))
+    )
+    of = lambda c, side: F.max(F.when(F.col("__a") == side, F.col(c)))
+    both = sides.groupBy(*key).agg(
+        of("value", True).alias("x"), of("value", False).alias("y"), of("text", True).eqNullSafe(of("text", False)).alias("text"),
+        ((F.count_if("__a") == 1) & (F.count_if(~F.col("__a")) == 1)).alias("once"),
+    )
+    x, y = F.col("x"), F.col("y")
+    near = F.abs(x - y) <= F.greatest(F.lit(tol) * F.greatest(F.abs(x), F.abs(y)), F.lit(tol))
+    equal = x.eqNullSafe(y) | (F.col("family").isin(*REAL) & F.coalesce(near, F.lit(False)))
+    per = both.groupBy("family").agg(
+        F.count_if(~(F.col("once") & F.col("text") & equal)).alias("n_different"), F.count(F.lit(1)).alias("n_entries")
+    )
+    names = a.sparkSession.createDataFrame([(f,) for f in FAMILIES], "family string")
+    zero = F.lit(0).cast("long")
+    out = names.join(per, "family", "left")
+    bad = F.coalesce("n_different", zero)
+    return out.select("family", (bad == 0).alias("matches"), bad.alias("n_different"), F.coalesce("n_entries", zero).alias("n_entries"))
+
+
+def metadata_verdict(checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Whether all checks hold, and the families that differ, in name order."""
+    grouped = checks.groupBy(*by) if by else checks.groupBy()
+    # At most as many entries as families.
+    return grouped.agg(
+        F.every("matches").alias("matches"), F.array_sort(F.collect_set(F.when(~F.col("matches"), F.col("family")))).alias("differences")
+    )
+
+
 def check_summary(checks: DataFrame) -> DataFrame:
     """Passed and failed runs per check; input ``(dataset, run, family, matches)``."""
     return checks.groupBy("family").agg(
