@@ -11,7 +11,7 @@ from queries.profile_queries import cases_l, rounded
 from queries.registry import query
 from tracemill.operators import partition as P
 from tracemill.operators import trace as T
-from tracemill.plans.partitioning import AMOUNT_ONLY, WITH_GOALS, amount_split, layouts, partition
+from tracemill.plans.partitioning import AMOUNT_ONLY, WITH_GOALS, amount_split, layouts, partition, run_records
 from tracemill.session import settle
 
 DESIGN = replace(
@@ -396,6 +396,51 @@ def compare_configs(spark, sf):
     return rounded(out.select("config", "bank", "n_cases", "case_share", "rate_spread"), 8)
 
 
+def _enforced(s: str, k: int) -> tuple:
+    e = DESIGN.enforcement.get(s)
+    return (f"{s}_{k}banks", s, k, *((None,) * 3 if e is None else (e.above, e.below, e.cap_five_banks if k == 5 else e.cap)))
+
+
+# One row per layout as its record has it; small splits are the warnings.
+RECORDS = (
+    "rl(config, strategy, n_banks, ta, tb, cap) AS (VALUES "
+    + ", ".join("(" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else repr(v) for v in _enforced(s, k)) + ")"
+                for s, k in CONFIGS)
+    + """), rr AS (SELECT config, avg(CASE WHEN outcome = 2 THEN 1 ELSE 0 END) FILTER (WHERE bank = 'A') AS a,
+  avg(CASE WHEN outcome = 2 THEN 1 ELSE 0 END) FILTER (WHERE bank = 'B') AS b, avg(CASE WHEN outcome = 2 THEN 1 ELSE 0 END) FILTER (WHERE bank = 'C') AS c,
+  count(*) AS assigned FROM lay GROUP BY config),
+wl AS (SELECT config, count(*) AS n_warnings, string_agg(bank || ':' || split || ':' || n, ',' ORDER BY bank, n, split) AS small FROM (
+  SELECT b.config, b.bank, s.split, count(sp.case_id) AS n FROM (SELECT DISTINCT config, bank FROM lay) b CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split)
+  LEFT JOIN sp ON sp.config = b.config AND sp.bank = b.bank AND sp.split = s.split GROUP BY ALL HAVING count(sp.case_id) < 500) GROUP BY config),
+rec AS (SELECT rl.*, (SELECT count(*) FROM decided) AS available, assigned, (SELECT count(*) FROM decided) - assigned AS left_out,
+  CASE WHEN cap IS NOT NULL THEN (SELECT count(*) FROM decided) - assigned END AS dropped, CASE WHEN cap IS NOT NULL THEN round(a - b, 8) END AS fa,
+  CASE WHEN cap IS NOT NULL THEN round(b - c, 8) END AS fb FROM rl JOIN rr USING (config))"""
+)
+
+
+def records(spark, sf):
+    """Records of all layouts."""
+    df, spec = log_l(spark, sf)
+    lay = all_layouts(spark, sf)
+    small = P.small_splits(P.temporal_split(lay, ["config", "bank"]), ["config", "bank"], 500)
+    warned = small.select("config", F.lit("small split").alias("kind"), "bank", "split", F.col("n_cases").alias("n"))
+    return run_records(decided(spark, sf), lay, CONFIGS, DESIGN, T.cut_report(df, spec, L_DECISIONS, "token"), warned)
+
+
+@query("P17_compare_configs_provenance", with_(CASES, ALL_LAYOUTS, SUMMARY, SPLIT.format(by="config, bank", src="lay"), RECORDS) + """
+SELECT s.config, bank, round(n_cases / CAST(sum(n_cases) OVER (PARTITION BY s.config) AS DOUBLE), 8) AS case_share,
+  round(max(approval_rate) OVER (PARTITION BY s.config) - min(approval_rate) OVER (PARTITION BY s.config), 8) AS rate_spread,
+  available AS n_cases_available_after_filters, assigned AS n_cases_assigned, left_out AS n_cases_unassigned_or_dropped, """ + ", ".join(
+    f"CASE WHEN strategy = '{s}' THEN {c} END AS {s}_{n}" for s in ("strong", "medium")
+    for c, n in (("ta", "target_ab_gap"), ("tb", "target_bc_gap"), ("fa", "final_ab_gap"), ("fb", "final_bc_gap"), ("dropped", "dropped_total")))
+    + " FROM summ s JOIN rec r ON r.config = s.config")
+def compare_configs_provenance(spark, sf):
+    """Layouts side by side with what their records say."""
+    summary = P.partition_summary(all_layouts(spark, sf), ["config", "bank"]).select("config", "bank", "n_cases", "approval_rate")
+    out = P.compare_configs(summary, records=records(spark, sf))
+    return rounded(out.drop("n_cases", "approval_rate"), 8)
+
+
 CASE_TABLE = """be AS (SELECT config, quantile_cont(amount, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) FILTER (WHERE amount > 0) AS edges FROM lay GROUP BY config),
 ct AS (SELECT sp.config, bank, split, case_id, amount, CASE goal WHEN '1-URGENT' THEN 'High rate' WHEN '5-LOW' THEN 'Low rate'
   WHEN '4-NOT SPECIFIED' THEN 'Low rate' WHEN '2-HIGH' THEN 'Bank D only' WHEN '3-MEDIUM' THEN 'Bank E only' ELSE 'Other' END AS goal_group,

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from queries.bindings import CASES, L, LP, O, log_l, micros, order_cases, table, with_
+from queries.bindings import CASES, L, LD, LP, O, log_l, micros, order_cases, table, with_
 from queries.encoding_queries import CANON, canonical
-from queries.partition_queries import DESIGN, decided, layout_sql
+from queries.partition_queries import ALL_LAYOUTS, DESIGN, RECORDS, SPLIT, decided, layout_sql, records
+from queries.profile_queries import rounded
 from queries.registry import query
 from tracemill.functions.quantiles import with_scalars
 from tracemill.log import LogSpec
@@ -128,6 +129,25 @@ def partition_stats(spark, sf):
     return spark.read.option("header", "true").schema("bank string, n_approved long, n_cases long, n_events long").csv(f"{path}/stats")
 
 
+@query("S04_metadata", with_(CASES, ALL_LAYOUTS, SPLIT.format(by="config, bank", src="lay"), RECORDS) + """
+, cc AS (SELECT count(*) AS n, count(*) FILTER (WHERE pos > dpos) AS removed, count(cls) AS d FROM ld GROUP BY case_id)
+SELECT rec.config, strategy, n_banks::BIGINT AS n_banks, 0 AS margin, 42 AS seed, available, assigned, left_out, cap, dropped, fa AS final_ab_gap, fb AS final_bc_gap,
+  ta AS target_ab_gap, tb AS target_bc_gap, (SELECT CAST(sum(removed) AS BIGINT) FROM cc) AS events_removed,
+  (SELECT round(CAST(sum(removed) AS DOUBLE) / sum(n) FILTER (WHERE d > 0), 8) FROM cc) AS share_removed,
+  coalesce(n_warnings, 0)::BIGINT AS n_warnings, coalesce(small, '') AS small FROM rec LEFT JOIN wl ON wl.config = rec.config""")
+def metadata(spark, sf):
+    """Records of all layouts, written and read back as a source."""
+    path = _fresh(spark, "records")
+    S.write_records(records(spark, sf), path)
+    back = S.read_records(spark, path)
+    small = F.array_join(F.transform("warnings", lambda w: F.concat_ws(":", w["bank"], w["split"], w["n"].cast("string"))), ",")
+    return rounded(back.select(
+        "config", "strategy", "n_banks", "settings.margin", "settings.seed", "cases.available", "cases.assigned", "cases.left_out",
+        *[f"enforcement.{c}" for c in ("cap", "dropped", "final_ab_gap", "final_bc_gap", "target_ab_gap", "target_bc_gap")],
+        "trace_cut.events_removed", "trace_cut.share_removed", F.size("warnings").cast("long").alias("n_warnings"), small.alias("small"),
+    ), 8)
+
+
 @query("S05_file_fingerprint")
 def file_fingerprint(spark, sf):
     return S.file_fingerprint(spark, sf, "*.parquet")

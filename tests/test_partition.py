@@ -1,6 +1,7 @@
 """Partitioning against plain loops and small hand-made cases."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import partition as P
-from tracemill.plans.partitioning import AMOUNT_ONLY, WITH_GOALS, partition
+from tracemill.plans.partitioning import AMOUNT_ONLY, WITH_GOALS, layouts, partition, run_records
+from tracemill.sources import tables as S
 
 SEED = 42
 
@@ -154,6 +156,41 @@ def test_layouts_assign_known_cases_once(cases, strategy, k):
         assert r.dropped == 0
 
 
+def test_records_survive_the_file_and_give_provenance(spark, cases, tmp_path):
+    configs = [("iid", 3), ("medium", 3), ("strong", 5)]
+    lay = layouts(cases, configs, WITH_GOALS)
+    counters = ("cases_with_outcome", "cases_with_multiple_outcome_events", "cases_with_multiple_distinct_outcomes",
+                "events_before_cut", "events_after_cut", "events_removed")
+    cut = spark.range(1).select(*[F.lit(7).cast("long").alias(c) for c in counters], F.lit(0.25).alias("share_removed"))
+    warned = spark.createDataFrame([("iid_3banks", "small split", "B", "val", 3), ("iid_3banks", "small split", "A", "val", 4)],
+                                   "config string, kind string, bank string, split string, n long")
+    path = str(tmp_path / "records")
+    S.write_records(run_records(cases, lay, configs, WITH_GOALS, cut, warned), path)
+    docs = [json.loads(r.value, object_pairs_hook=list) for r in spark.read.text(path).collect()]
+
+    def in_order(x):
+        if x and isinstance(x, list) and isinstance(x[0], tuple):
+            return [k for k, _ in x] == sorted(k for k, _ in x) and all(in_order(v) for _, v in x)
+        return all(in_order(v) for v in x) if isinstance(x, list) else True
+
+    assert len(docs) == 3 and all(in_order(d) for d in docs)
+    back = S.read_records(spark, path)
+    by = {r.config: r for r in back.collect()}
+    assert by["iid_3banks"].enforcement is None and [w.bank for w in by["iid_3banks"].warnings] == ["A", "B"]
+    assert by["medium_3banks"].warnings == [] and by["medium_3banks"].trace_cut.share_removed == 0.25
+    for name, rows in {r.config: r for r in lay.groupBy("config").agg(F.collect_list(F.struct("bank", "outcome")).alias("x")).collect()}.items():
+        rate = {b: sum(o == 2 for c, o in rows.x if c == b) / sum(c == b for c, _ in rows.x) for b in "ABC"}
+        assert by[name].cases.assigned == len(rows.x) and by[name].cases.left_out == 400 - len(rows.x)
+        if name != "iid_3banks":
+            e = by[name].enforcement
+            assert (e.final_ab_gap, e.final_bc_gap, e.dropped) == pytest.approx((rate["A"] - rate["B"], rate["B"] - rate["C"], 400 - len(rows.x)))
+    out = {(r.config, r.bank): r for r in P.compare_configs(P.partition_summary(
+        lay.withColumn("n_events", F.lit(1)), ["config", "bank"]), records=back.filter("config <> 'iid_3banks'")).collect()}
+    strong, medium = out["strong_5banks", "D"], out["medium_3banks", "A"]
+    assert strong.strong_target_ab_gap == 0.10 and strong.medium_target_ab_gap is None and medium.medium_target_bc_gap == 0.07
+    assert out["iid_3banks", "A"].n_cases_assigned is None and len(P.provenance_columns(back).columns) == 14
+
+
 def test_layout_errors(cases):
     with pytest.raises(ValueError, match="unknown strategy"):
         partition(cases, "strong", 3, AMOUNT_ONLY)

@@ -371,8 +371,13 @@ def central_union(events: DataFrame) -> DataFrame:
     return events.drop("bank")
 
 
-def compare_configs(summary: DataFrame, config: str = "config") -> DataFrame:
-    """Case share of each bank in its layout and the layout's rate spread."""
+def compare_configs(summary: DataFrame, config: str = "config", records: DataFrame | None = None) -> DataFrame:
+    """Case share of each bank in its layout and the layout's rate spread.
+
+    With ``records`` of the runs, the 13 columns of :func:`provenance_columns` follow; layouts without a record have nulls.
+    """
+    if records is not None:
+        summary = summary.join(provenance_columns(records).withColumnRenamed("config", config), config, "left")
     w = Window.partitionBy(config)  # one row per bank of a layout
     return summary.withColumns(
         {
@@ -382,6 +387,25 @@ def compare_configs(summary: DataFrame, config: str = "config") -> DataFrame:
     )
 
 
+def provenance_columns(records: DataFrame) -> DataFrame:
+    """``config`` and the 13 provenance columns of a layout comparison, from the records of ``sources.tables.read_records``.
+
+    Gaps and drops stand in the columns of the layout's own strategy, null in the others.
+    """
+    e = {
+        "target_ab_gap": "target_ab_gap", "target_bc_gap": "target_bc_gap", "final_ab_gap": "final_ab_gap",
+        "final_bc_gap": "final_bc_gap", "dropped_total": "dropped",
+    }
+    return records.select(
+        "config", F.col("cases.available").alias("n_cases_available_after_filters"),
+        F.col("cases.assigned").alias("n_cases_assigned"), F.col("cases.left_out").alias("n_cases_unassigned_or_dropped"),
+        *[
+            F.when(F.col("strategy") == s, F.col(f"enforcement.{c}")).alias(f"{s}_{name}")
+            for s in ("strong", "medium") for name, c in e.items()
+        ],
+    )
+
+
 def goal_group(goal: str, groups: Mapping[str, Sequence[str]], other: str = "Other") -> Column:
     """Named group of a goal, ``other`` for unlisted or missing goals."""
     out = F.lit(other)

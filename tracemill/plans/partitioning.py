@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from tracemill.functions.quantiles import with_scalars
 from tracemill.operators import partition as P
 from tracemill.session import settle
 
@@ -131,3 +132,49 @@ def layouts(
     for p in parts[1:]:
         out = out.unionByName(p)
     return cases.join(out, case)
+
+
+def run_records(
+    cases: DataFrame, layouts: DataFrame, configs: Sequence[tuple[str, int]], design: Design, cut: DataFrame,
+    warnings: DataFrame | None = None,
+) -> DataFrame:
+    """What each layout was made from and how it ended, one row per layout in the form ``sources.tables.RECORD``.
+
+    ``layouts`` are assigned cases with ``config``, ``bank`` and ``outcome``; ``cut`` is the one row of
+    ``trace.cut_report``; ``warnings`` are rows ``(config, kind, bank, split, n)``, a handful per layout. Gaps are
+    between the final approval rates of A and B and of B and C, null where a bank is empty; ``dropped`` counts the cases
+    the enforcement left out, those without a usable amount not among them. One pass over ``layouts`` and one over ``cases``.
+    """
+    spark = cases.sparkSession
+    rows = []
+    for strategy, k in configs:
+        e = design.enforcement.get(strategy)
+        cap = None if e is None else (e.cap_five_banks if k == 5 else e.cap)
+        rows.append((f"{strategy}_{k}banks", strategy, k, None if e is None else e.above, None if e is None else e.below, cap))
+    names = spark.createDataFrame(
+        rows, "config string, strategy string, n_banks long, target_ab_gap double, target_bc_gap double, cap double"
+    )
+    ok = (F.col("outcome") == P.APPROVED).cast("int")
+    ends = layouts.groupBy("config").agg(
+        F.count(F.lit(1)).alias("assigned"), F.count_if(F.col("amount") >= 0).alias("__kept"),
+        *[F.avg(F.when(F.col("bank") == b, ok)).alias(f"__{b}") for b in "ABC"]
+    )
+    known = cases.agg(F.count(F.lit(1)).alias("available"), F.count_if(F.col("amount") >= 0).alias("__routable"))
+    out = with_scalars(with_scalars(names.join(ends, "config", "left"), known), cut.select(F.struct("*").alias("trace_cut")))
+    assigned = F.coalesce("assigned", F.lit(0).cast("long"))
+    enforcement = F.when(F.col("cap").isNotNull(), F.struct(
+        "cap", (F.col("__routable") - F.coalesce("__kept", F.lit(0).cast("long"))).alias("dropped"),
+        (F.col("__A") - F.col("__B")).alias("final_ab_gap"), (F.col("__B") - F.col("__C")).alias("final_bc_gap"),
+        "target_ab_gap", "target_bc_gap",
+    ))
+    settings = {"margin": design.margin, "mode": design.mode, "seed": design.seed}
+    entry = "array<struct<bank:string,kind:string,n:bigint,split:string>>"
+    out = out.select(
+        "config", "strategy", "n_banks", F.struct(*[F.lit(v).alias(n) for n, v in settings.items()]).alias("settings"),
+        F.struct("available", assigned.alias("assigned"), (F.col("available") - assigned).alias("left_out")).alias("cases"),
+        enforcement.alias("enforcement"), "trace_cut",
+    )
+    if warnings is None:
+        return out.withColumn("warnings", F.array().cast(entry))
+    listed = warnings.groupBy("config").agg(F.array_sort(F.collect_list(F.struct("bank", "kind", "n", "split"))).alias("warnings"))
+    return out.join(listed, "config", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast(entry)))

@@ -9,6 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 import tracemill
 from tracemill.log import LogSpec
@@ -62,14 +63,38 @@ def write_splits(df: DataFrame, root: str, bank: str = "bank", split: str = "spl
     df.hint("rebalance", F.col(bank), F.col(split)).write.mode("errorifexists").option("maxRecordsPerFile", max_records).partitionBy(bank, split).parquet(root)
 
 
-def write_layout(df: DataFrame, stats: DataFrame, settings: Mapping[str, object], root: str) -> None:
+#: Record of a run: configuration, cases, enforcement (null without), trace cut and warnings.
+RECORD = (
+    "config string, strategy string, n_banks long, settings struct<margin:int,mode:string,seed:int>, "
+    "cases struct<available:long,assigned:long,left_out:long>, "
+    "enforcement struct<cap:double,dropped:long,final_ab_gap:double,final_bc_gap:double,target_ab_gap:double,target_bc_gap:double>, "
+    "trace_cut struct<cases_with_multiple_distinct_outcomes:long,cases_with_multiple_outcome_events:long,cases_with_outcome:long,"
+    "events_after_cut:long,events_before_cut:long,events_removed:long,share_removed:double>, "
+    "warnings array<struct<bank:string,kind:string,n:long,split:string>>"
+)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Records of runs as one JSON document a line, in the order of their layouts, keys sorted at every depth."""
+    write_summary(records, ["config", *[c for c in records.columns if c != "config"]], path, "json", ["config"])
+
+
+def read_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Records of any number of runs in one scan. Unknown keys are left out, absent ones are null; a torn line raises."""
+    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(paths if isinstance(paths, str) else list(paths))
+
+
+def write_layout(df: DataFrame, stats: DataFrame, settings: Mapping[str, object] | DataFrame, root: str) -> None:
     """A layout with its record: ``events`` by bank and split, ``stats`` as CSV, ``metadata`` as one JSON line.
 
-    ``stats`` holds a row per bank; its columns are written in name order. ``settings`` are the
-    caller's configuration, provenance and warnings, with sorted keys.
+    ``stats`` holds a row per bank; its columns are written in name order. ``settings`` are the layout's record, as
+    ``plans.partitioning.run_records`` makes it, or the caller's own configuration with sorted keys.
     """
     write_splits(df, f"{root}/events")
     write_summary(stats, sorted(stats.columns), f"{root}/stats")
+    if isinstance(settings, DataFrame):
+        write_records(settings, f"{root}/metadata")
+        return
     line = json.dumps(settings, sort_keys=True, default=str)
     df.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{root}/metadata")
 
@@ -218,11 +243,23 @@ def table_fingerprint(df: DataFrame, cols: Sequence[str | Column], by: Sequence[
     )
 
 
-def write_summary(df: DataFrame, cols: Sequence[str], path: str, fmt: str = "csv") -> None:
+def _key_order(value: Column, of: DataType) -> Column:
+    """The value with the fields of its structs in name order, at every depth."""
+    if isinstance(of, StructType):
+        fields = [_key_order(value[f.name], f.dataType).alias(f.name) for f in sorted(of.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(of, ArrayType):
+        return F.transform(value, lambda x: _key_order(x, of.elementType))
+    return value
+
+
+def write_summary(
+    df: DataFrame, cols: Sequence[str], path: str, fmt: str = "csv", order: Sequence[str] | None = None
+) -> None:
     """Write a summary in a fixed column order (CSV with header), or as JSON with sorted keys and rows.
 
-    A summary is small: JSON is one file with one object a line, keys in name order, nulls kept, rows in the order of ``cols``,
-    so equal summaries give equal files.
+    A summary is small: JSON is one file with one object a line, keys in name order at every depth, nulls kept, rows in the order
+    of ``order`` (``cols`` if none is given), so equal summaries give equal files.
     """
     if fmt not in ("csv", "json"):
         raise ValueError(f"unknown format: {fmt!r}")
@@ -230,6 +267,9 @@ def write_summary(df: DataFrame, cols: Sequence[str], path: str, fmt: str = "csv
     if fmt == "csv":
         rows.write.mode("overwrite").option("header", "true").csv(path)
         return
-    line = F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})
+    by = list(order or cols)
+    line = F.to_json(
+        F.struct(*[_key_order(F.col(c), rows.schema[c].dataType).alias(c) for c in sorted(cols)]), {"ignoreNullFields": "false"}
+    )
     # A range of one partition, which orders the rows without a sampling job for more.
-    rows.repartitionByRange(1, *cols).sortWithinPartitions(*cols).select(line.alias("value")).write.mode("overwrite").text(path)
+    rows.repartitionByRange(1, *by).sortWithinPartitions(*by).select(line.alias("value")).write.mode("overwrite").text(path)
