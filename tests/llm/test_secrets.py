@@ -1,7 +1,9 @@
 """Spans against Python's regular expressions; ownership against plain counts."""
 
 import hashlib
+import random
 import re
+import time
 
 import __spark_entry__ as entry
 from tests.oracle import compare, duck
@@ -20,7 +22,7 @@ def base_spans(text):
     return sorted(out)
 
 
-def plain(rows, shared=3):
+def plain(rows, shared=3, repositories=20):
     """{doc_id: (counts, digest, spans)} of (doc_id, text, source) rows."""
     values, tokens = {}, {}
     for i, text, source in rows:
@@ -28,11 +30,12 @@ def plain(rows, shared=3):
         tokens[i] = [(m.start(), m.end(), m.group()) for m in re.finditer(TOKEN, text)
                      if all(re.search(c, m.group()) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
         for v in {b[3] for b in base_spans(text)} | {t[2] for t in tokens[i]}:
-            values.setdefault(v, set()).add(source)
+            values.setdefault(v, {}).setdefault(source, set()).add((i, text))
+    wide = {v for v, by in values.items() if sum(map(len, by.values())) > repositories * len(by)}
     out = {}
     for i, text, _ in rows:
         base = base_spans(text or "")
-        added = [(s, 3, e) for s, e, v in tokens[i] if len(values[v]) < shared and not any(b[0] < e and s < b[2] for b in base)]
+        added = [(s, 3, e) for s, e, v in tokens[i] if len(values[v]) < shared and v not in wide and not any(b[0] < e and s < b[2] for b in base)]
         names = ["assign", "access", "hex", "token"]
         join = lambda spans: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans))
         digest = hashlib.sha256(join([b[:3] for b in base]).encode()).hexdigest()
@@ -78,6 +81,39 @@ def test_redaction(docs_of):
     assert len(got) == len(TEXTS)
 
 
+def test_copied_widely_inside_one_source(docs_of):
+    """One owner, many repositories: an example. Repeated rows are one repository."""
+    rows = [(f"{i} key {COPIED}", "s1") for i in range(21)] + [(f"{i} key {LIVE}", "s1") for i in range(20)]
+    docs = docs_of(rows)
+    got = digests(docs)
+    assert got == plain([(i, t, s) for i, (t, s) in enumerate(rows)])
+    assert got[0][4] == "" and got[30][4] != ""
+    many = docs.filter("doc_id = 30")
+    for _ in range(5):
+        many = many.unionByName(many)
+    assert all(r["spans"] != "" for r in secret_digest(many).collect())
+
+
+def test_texts_of_many_matches(docs_of):
+    """Twenty thousand matches in one text, spans that touch or overlap, slices that end inside a long span."""
+    rng = random.Random(3)
+    hexes = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(16, 24))) for _ in range(20_000))
+    mixed = "é".join(rng.choice([f"token={'k' * 14}", "ab" * 9, f"password:{'0a' * 9}", LIVE, "x y", "secret="]) for _ in range(3000))
+    docs = docs_of([hexes, mixed])
+    began = time.time()
+    got = digests(docs)
+    masked = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert time.time() - began < 60
+    assert got == plain([(0, hexes, "s"), (1, mixed, "s")])
+    for i, text in enumerate((hexes, mixed)):
+        out, at = [], 0
+        for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in got[i][4].split(",")):
+            if s >= at:
+                out += [text[at:s], MASK]
+            at = max(at, e)
+        assert masked[i] == "".join(out) + text[at:]
+
+
 def test_odd_rows_and_empty(odd):
     assert secret_digest(odd).count() == odd.count() and redact(odd).columns == odd.columns
     assert sorted(map(str, redact(odd).collect())) == sorted(map(str, odd.collect()))
