@@ -68,6 +68,18 @@ def test_case_and_punctuation_do_not_hide(spark, docs_of):
     assert found(d.find_leaks(docs_of([text, item.replace(" ", "")]), bench)) == {(0, 1): 14}
 
 
+def test_few_words_and_scripts_without_spaces(spark, docs_of):
+    four, chinese = "Photosynthesis converts light energy", "春天的花园里有许多红色和黄色的花"
+    bench = spark.createDataFrame([(1, four), (2, chinese), (3, "is it so?"), (4, "春天的花园")], "item_id long, text string")
+    texts = [
+        f"so {four.lower()}, he said", "photosynthesis converts some light energy", f"他说{chinese}还有很多树",
+        "is it so?", "花园里没有春天的花", chinese.replace("红", "蓝"), f"{chinese[:9]} or {chinese[9:]}",
+    ]
+    assert found(d.find_leaks(docs_of(texts), bench)) == {(0, 1): 4, (2, 2): 16, (2, 4): 5, (5, 2): 15, (5, 4): 5, (6, 4): 5}
+    left = {r["doc_id"] for r in d.drop_leaks(docs_of(texts), bench).collect()}
+    assert left == {1, 3, 4}
+
+
 def test_odd_rows_and_empty(spark, odd):
     bench = spark.createDataFrame([(1, "same row twice over and on")], "item_id long, text string")
     assert d.find_leaks(odd, bench).count() == 0

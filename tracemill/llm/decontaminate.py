@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 OVERLAP_WORDS = 13
 SIMILAR = 0.8
 MIN_ITEM_WORDS = 5
+#: Shorter items are looked up word for word if they hold this many letters and digits; fewer say too little.
+MIN_ITEM_CHARS = 13
 #: 1 is a compared word, 0 an ignored one. Any 13 words with two substitutions hold a hit of one of these.
 MASKS = ("11010111", "1110011001")
 #: For items of 5 to 12 words: any 5 words with one substitution hold a hit.
@@ -22,11 +24,15 @@ SHORT_MASKS = ("1111", "10111", "11011", "11101")
 #: Benchmark characters in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_CHARS = 4_000_000
 CHUNK_CHARS = 2_000_000
-WORD = re.compile(r"[^\W_]+")
+#: Words 0 after each document of a chunk, so that no mask spans two documents.
+PAD = 10
+#: Scripts written without spaces: each letter is a word. Thai to Khmer, kana, ideographs.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case runs of letters and digits."""
+    """Lower-case runs of letters and digits; single letters of scripts without spaces."""
     return WORD.findall((text or "").lower())
 
 
@@ -45,6 +51,7 @@ class Index:
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    masks: tuple[str, ...]
 
 
 def _mix(mask: str) -> list[tuple[int, np.uint64]]:
@@ -68,16 +75,23 @@ def seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+def masks_of(words: list[str]) -> tuple[str, ...]:
+    """Masks that find an item of these words; none if it says too little."""
+    if len(words) >= MIN_ITEM_WORDS:
+        return MASKS if len(words) >= OVERLAP_WORDS else SHORT_MASKS
+    return ("1" * len(words),) if sum(map(len, words)) >= MIN_ITEM_CHARS else ()
+
+
 def build(texts: list[str | None]) -> Index:
     """Index of a bounded list of benchmark texts."""
     vocabulary: dict[str, int] = {}
-    items, h, item, place = [], [], [], []
+    items, h, item, place, used = [], [], [], [], set()
     for b, t in enumerate(texts):
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens(t)], np.int64)
+        words = tokens(t)
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64)
         items.append(ids)
-        if len(ids) < MIN_ITEM_WORDS:
-            continue
-        for mask in MASKS if len(ids) >= OVERLAP_WORDS else SHORT_MASKS:
+        for mask in masks_of(words):
+            used.add(mask)
             at, hs = seeds(ids, mask)
             h.append(hs)
             place.append(at)
@@ -86,15 +100,16 @@ def build(texts: list[str | None]) -> Index:
     hashes = np.concatenate([*h, empty.astype(np.uint64)])
     order = np.argsort(hashes, kind="stable")
     return Index(
-        vocabulary, items, hashes[order], np.concatenate([*item, empty])[order], np.concatenate([*place, empty])[order]
+        vocabulary, items, hashes[order], np.concatenate([*item, empty])[order], np.concatenate([*place, empty])[order],
+        tuple(sorted(used)),
     )
 
 
-def overlaps(ids: np.ndarray, offsets: np.ndarray, index: Index, short: bool) -> Iterator[tuple[int, int, int]]:
+def overlaps(ids: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
     """(document, item, most equal words) for each verified pair of a chunk.
 
     ``ids`` holds the documents one after another, document d at ``offsets[d]:offsets[d + 1]``
-    with padding of word 0 after each. A hit fixes how item and document align; all
+    with ``PAD`` words 0 after each. A hit fixes how item and document align; all
     of the item is compared along it and each stretch of the asked length counted.
     """
     if not len(index.hashes):
@@ -102,7 +117,7 @@ def overlaps(ids: np.ndarray, offsets: np.ndarray, index: Index, short: bool) ->
     gate = np.zeros(1 << 20, bool)
     gate[(index.hashes >> np.uint64(44)).astype(np.int64)] = True
     found = []
-    for mask in MASKS + (SHORT_MASKS if short else ()):
+    for mask in index.masks:
         at, h = seeds(ids, mask)
         some = gate[(h >> np.uint64(44)).astype(np.int64)]
         at, h = at[some], h[some]
@@ -119,7 +134,7 @@ def overlaps(ids: np.ndarray, offsets: np.ndarray, index: Index, short: bool) ->
     for d, b, start in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
         words = index.items[b]
         span, least = needed(len(words))
-        lo, hi = max(start, int(offsets[d])), min(start + len(words), int(offsets[d + 1]))
+        lo, hi = max(start, int(offsets[d])), min(start + len(words), int(offsets[d + 1]) - PAD)
         if hi - lo < span:
             continue
         equal = np.concatenate([[0], np.cumsum(ids[lo:hi] == words[lo - start:hi - start])])
@@ -129,8 +144,8 @@ def overlaps(ids: np.ndarray, offsets: np.ndarray, index: Index, short: bool) ->
         yield d, b, equal
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, short: bool, handle) -> Iterator[pa.RecordBatch]:
-    pad = np.zeros(max(map(len, MASKS + SHORT_MASKS)), np.int64)
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, handle) -> Iterator[pa.RecordBatch]:
+    pad = np.zeros(PAD, np.int64)
     get = index.vocabulary.get
     for batch in batches:
         texts, s = batch.column("text").to_pylist(), 0
@@ -144,7 +159,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, short: bool, handle)
                 ws = tokens(t)
                 parts += [np.fromiter((get(w, 0) for w in ws), np.int64, len(ws)), pad]
                 offsets.append(offsets[-1] + len(ws) + len(pad))
-            hits = list(overlaps(np.concatenate(parts), np.array(offsets), index, short))
+            hits = list(overlaps(np.concatenate(parts), np.array(offsets), index))
             if (out := handle(batch.slice(s, e - s), hits)) is not None and out.num_rows:
                 yield out
             s = e
@@ -167,9 +182,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
 
     An overlap is ``OVERLAP_WORDS`` aligned words (a shorter item: all its words) of
     which ``SIMILAR`` are equal, so some words may be replaced; ``equal_words`` counts the
-    equal words along the best alignment. Items under ``MIN_ITEM_WORDS`` words and null or empty
-    texts overlap with nothing. Whole texts are read, nothing is shuffled. Repeated
-    rows each give their rows.
+    equal words along the best alignment. Items under ``MIN_ITEM_WORDS`` words are found word for word;
+    those of fewer than ``MIN_ITEM_CHARS`` letters and digits besides, and null or empty texts, overlap
+    with nothing. In scripts without spaces each letter is a word. Whole texts are read, nothing is
+    shuffled. Repeated rows each give their rows; columns but ids and texts aren't read.
     """
     schema = (
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
@@ -180,9 +196,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     for rows in blocks(benchmark, block_chars):
         index = build([r["text"] for r in rows])
         ids = [r["item_id"] for r in rows]
-        short = any(MIN_ITEM_WORDS <= len(x) < OVERLAP_WORDS for x in index.items)
 
-        def leaks(batches, index=index, ids=ids, short=short):
+        def leaks(batches, index=index, ids=ids):
             def handle(batch, hits):
                 if not hits:
                     return None
@@ -192,7 +207,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
                     pa.array([len(index.items[h[1]]) for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64()),
                 ], names=["doc_id", "item_id", "item_words", "equal_words"])
 
-            return _scan(batches, index, short, handle)
+            return _scan(batches, index, handle)
 
         part = docs.select("doc_id", "text").mapInArrow(leaks, schema)
         out = part if out is None else out.unionByName(part)
@@ -203,14 +218,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     """The rows of ``docs`` that overlap with no benchmark item, unchanged. Row by row, without a shuffle."""
     for rows in blocks(benchmark, block_chars):
         index = build([r["text"] for r in rows])
-        short = any(MIN_ITEM_WORDS <= len(x) < OVERLAP_WORDS for x in index.items)
 
-        def clean(batches, index=index, short=short):
+        def clean(batches, index=index):
             def handle(batch, hits):
                 bad = {h[0] for h in hits}
                 return batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64()))
 
-            return _scan(batches, index, short, handle)
+            return _scan(batches, index, handle)
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
