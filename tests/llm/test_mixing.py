@@ -2,7 +2,7 @@
 
 import pytest
 
-from tracemill.llm.mixing import mix, source_targets
+from tracemill.llm.mixing import mix, source_targets, variety
 import __spark_entry__ as entry
 from tests.oracle import compare, duck
 
@@ -61,6 +61,23 @@ def test_preference_makes_unequal_chances(spark, docs_of):
     assert even / sum(r["taken"] for r in rows) == pytest.approx(0.8, abs=0.05)
 
 
+def test_varied_texts_come_first_and_targets_hold(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    varied, dull = " ".join(f"w{i}" for i in range(50)), "w " * 50
+    docs = docs_of([((varied, dull)[i % 2], "ab"[i >= 600]) for i in range(3600)])
+    rows = mix(docs, preference=variety(F.col("text"))).collect()
+    for source in "ab":
+        here = [r for r in rows if r["source"] == source]
+        assert sum(r["taken"] for r in here) == pytest.approx(here[0]["target"], abs=50)
+        if source == "b":
+            liked = sum(r["copies"] for r in here if r["doc_id"] % 2 == 0)
+            # Inclusion probabilities 0.9 and 0.31.
+            assert liked / sum(r["copies"] for r in here) == pytest.approx(0.74, abs=0.05)
+    # A source that is taken three times is so whatever the preference.
+    assert {r["copies"] for r in rows if r["source"] == "a"} == {3}
+
+
 def test_odd_rows_and_empty(odd):
     rows = mix(odd).collect()
     assert len(rows) == odd.count() and all(r["size"] >= r["taken"] / 3 for r in rows)

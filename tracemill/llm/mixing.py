@@ -13,6 +13,8 @@ ROUNDS = 3
 #: Slots per source in which sampled sizes are summed; only one slot of a source is ever ordered row by row.
 SLOTS = 4096
 STEPS = float(2**52)
+#: However liked, a document's inclusion probability leaves this share of what its source's rate leaves open.
+OPEN = 0.125
 
 
 def size_of(text: Column) -> Column:
@@ -20,6 +22,12 @@ def size_of(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def variety(text: Column) -> Column:
+    """Preference by how varied a text is: a half and the share of its words that are distinct; 1 without words."""
+    found = words(text)
+    return F.when(F.size(found) > 0, F.lit(0.5) + F.size(F.array_distinct(found)) / F.size(found)).otherwise(F.lit(1.0))
+
+
 def chance(doc_id: Column, seed: str) -> Column:
     """A repeatable uniform number in (0, 1) from the id: 52 bits of an MD5."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
@@ -58,10 +66,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
 def plan_mix(sized: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, slots: int = SLOTS, rounds: int = ROUNDS) -> DataFrame:
     """One row per source: target, whole copies, and up to which Pareto rank a further copy is taken.
 
-    ``sized`` has ``source, size, chance, preference``. A document is expected
-    ``target / source_size * preference`` times (``max_repeat`` at most). The whole
-    part is certain; the fraction is its inclusion probability, and documents are
-    ranked by ``odds(chance) / odds(fraction)``. The sample's size is fixed in words:
+    ``sized`` has ``source, size, chance, preference``. All documents of a source have
+    the whole part of ``target / source_size`` as certain copies. A document's inclusion
+    probability for one more is the fraction that is left times its preference, and
+    documents are ranked by ``odds(chance) / odds(probability)``. The sample's size is fixed in words:
     ranks are taken until the target is reached. What a last long document leaves
     open is filled in ``rounds - 1`` further passes by later documents that fit it.
     Ties in rank stay together.
@@ -85,19 +93,18 @@ def ranked(sized: DataFrame, plan: DataFrame, max_repeat: float = MAX_REPEAT) ->
     plan = plan.withColumnRenamed("source", "_source")
     rows = sized.join(plan, sized["source"].eqNullSafe(plan["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    expected = F.least(F.lit(float(max_repeat)), rate * F.col("preference"))
-    rows = rows.withColumn("_rate", rate).withColumn("_expected", expected)
-    rows = rows.withColumn("whole", F.floor("_expected").cast("long"))
-    rows = rows.withColumn("_part", F.col("_expected") - F.col("whole"))
-    # Relative to the source's own rate the rank is spread over (0, 1), so slots are even.
-    base = F.col("_rate") - F.floor("_rate")
+    rate = F.least(F.lit(float(max_repeat)), rate)
+    rows = rows.withColumn("_rate", rate).withColumn("whole", F.floor("_rate").cast("long"))
+    base = F.col("_rate") - F.col("whole")
+    rows = rows.withColumn("_part", F.least(base * F.col("preference"), 1 - (1 - base) * OPEN))
+    # Relative to the source's own fraction the rank is spread over (0, 1), so slots are even.
 
     def odds(p: Column) -> Column:
         return p / (1 - p)
 
     place = odds(F.col("chance")) / odds(F.col("_part")) * odds(base)
-    rank = F.when((F.col("_part") > 0) & (base > 0), place / (1 + place)).when(F.col("_part") > 0, F.col("chance"))
-    return rows.withColumn("rank", rank).drop("_rate", "_expected", "_part")
+    rank = F.when(F.col("_part") > 0, place / (1 + place))
+    return rows.withColumn("rank", rank).drop("_rate", "_part")
 
 
 def _cut(rows: DataFrame, cuts: DataFrame, r: int, slots: int, last: bool) -> DataFrame:
@@ -143,7 +150,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, max_repeat=MAX_REPE
     Columns of ``docs`` with one of these names are replaced. A null or empty text
     has size 0 and is taken with 0 words; a null source is a source of its own, last
     in order; repeated rows with one id share a rank and stay together; an empty
-    table gives an empty table. ``preference`` (positive, mean about 1) makes
+    table gives an empty table. ``preference`` (positive, mean about 1, such as :func:`variety`) makes
     inclusion probabilities unequal within a source. No source is handled in one
     task: sizes are summed per slot of ranks first. ``keep_text=False`` reads texts once
     and returns id, source and the sizes only.
@@ -170,7 +177,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, max_repeat=MAX_REPE
 
 
 def mix_sql(seed: str = "mix") -> str:
-    """The same mix for DuckDB, with plain running sums in place of slots."""
+    """The mix by :func:`variety` for DuckDB, with plain running sums in place of slots."""
     rounds = []
     prior = "budget"
     for r in range(1, ROUNDS + 1):
@@ -188,9 +195,10 @@ def mix_sql(seed: str = "mix") -> str:
     more = " OR ".join(
         ["rank <= cut1"] + [f"(size <= gap{r - 1} AND rank <= cut{r})" for r in range(2, ROUNDS + 1)]
     )
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(ws) AS size,
+    CASE WHEN len(ws) > 0 THEN CAST(0.5 AS DOUBLE) + len(list_distinct(ws)) / CAST(len(ws) AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS preference,
     (CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5)::DOUBLE
-      / {STEPS!r} AS chance FROM documents),
+      / {STEPS!r} AS chance FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents)),
   per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
   wt AS (SELECT *, [{', '.join(f'{float(w)}::DOUBLE' for w in WEIGHTS)}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT] AS weight,
     source_size * {float(MAX_REPEAT)}::DOUBLE AS cap FROM per),
@@ -202,9 +210,12 @@ def mix_sql(seed: str = "mix") -> str:
     FROM (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) FILTER (WHERE done) OVER (), 0))::DOUBLE
         / sum(weight) FILTER (WHERE NOT done) OVER () AS lvl FROM fill WHERE step < 64) x),
   plan AS (SELECT source, source_size, target FROM fill WHERE step = 64),
-  e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least({float(MAX_REPEAT)}, target / source_size) ELSE 0.0 END AS expected
+  e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least({float(MAX_REPEAT)}::DOUBLE, target / source_size) ELSE CAST(0 AS DOUBLE) END AS rate
     FROM d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source),
-  f AS (SELECT *, floor(expected)::BIGINT AS whole, CASE WHEN expected > floor(expected) THEN chance END AS rank FROM e),
+  o AS (SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS base,
+    least((rate - floor(rate)) * preference, 1 - (1 - (rate - floor(rate))) * {OPEN}::DOUBLE) AS part FROM e),
+  q AS (SELECT *, CASE WHEN part > 0 THEN (chance / (1 - chance)) / (part / (1 - part)) * (base / (1 - base)) END AS place FROM o),
+  f AS (SELECT *, place / (1 + place) AS rank FROM q),
   budget AS (SELECT *, greatest(target - sum(whole * size) OVER (PARTITION BY source), 0.0) AS gap0, -1.0 AS cut0 FROM f),
   {','.join(rounds).strip()},
   c AS (SELECT *, whole + (CASE WHEN size > 0 AND ({more}) THEN 1 ELSE 0 END) AS copies FROM {prior})

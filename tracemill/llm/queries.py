@@ -9,7 +9,7 @@ from queries.registry import query
 from tracemill.llm.common import fold, table
 from tracemill.llm.decontaminate import find_leaks
 from tracemill.llm.language import identify
-from tracemill.llm.mixing import mix, mix_sql
+from tracemill.llm.mixing import mix, mix_sql, variety
 from tracemill.llm.periods import periodic_runs, run_digest, with_tail_period
 from tracemill.llm.phrases import collocation_sql, collocations
 from tracemill.llm.pieces import encode_pieces, piece_digest
@@ -53,8 +53,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_mix_sources", mix_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to source targets."""
-    out = mix(table(spark, sf_dir, "documents"), keep_text=False)
+    """All documents mixed to source targets, varied texts first."""
+    out = mix(table(spark, sf_dir, "documents"), preference=variety(F.col("text")), keep_text=False)
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
