@@ -268,22 +268,22 @@ _DICE = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 2.0 * " + _SHARED + " / CA
 _SIM = "CASE WHEN greatest(length({a}), length({b})) = 0 THEN CAST(1 AS DOUBLE) ELSE 1.0 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
 
 
-def _columns_sql(similarity):
+def _columns_sql(similarity, score="CASE WHEN score >= 0.72 THEN round(score, 6) END"):
     pairs = ", ".join(f"('{f}', '{x}')" for f, many in ALIASES.items() for x in many)
     return (f"WITH a(field, alias) AS (VALUES {pairs}), n AS (SELECT p_name, min(p_partkey) AS pos FROM part GROUP BY p_name), "
             + "w AS (SELECT *, " + _WORDS.format(x="p_name", drop="'case', 'event', 'value'") + " AS t FROM n), "
             + "s AS (SELECT field, p_name, pos, max(" + similarity.format(a="t", b="alias") + ") AS score FROM w, a GROUP BY field, p_name, pos), "
             + "r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, pos) AS rn FROM s) "
-            + "SELECT field, CASE WHEN score >= 0.72 THEN p_name END AS column_name, CASE WHEN score >= 0.72 THEN round(score, 6) END AS score FROM r WHERE rn = 1")
+            + "SELECT field, CASE WHEN score >= 0.72 THEN p_name END AS column_name, " + score + " AS score FROM r WHERE rn = 1")
 
 
 def _column_names(spark, sf):
     return table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("position"))
 
 
-@query("C07_match_columns", _columns_sql(_SIM))
+@query("C07_match_columns", _columns_sql(_SIM, "round(score, 6)"))
 def match_columns(spark, sf):
-    return rounded(H.match_columns(_column_names(spark, sf), ALIASES))
+    return rounded(H.match_columns(_column_names(spark, sf), ALIASES, every=True))
 
 
 @query("C07_match_columns_words", _columns_sql(_DICE))
@@ -299,7 +299,7 @@ _DROP8 = "'case', 'event', 'value', 'a', 'o', 'w'"
 _DROP5 = "'case', 'event', 'value'"
 
 
-def _labels_sql(similarity):
+def _labels_sql(similarity, score="CASE WHEN score >= 0.55 THEN round(score, 6) END"):
     return ("WITH c(i, label, text) AS (VALUES " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(CANONICAL_LABELS.items())) + "), "
             + "r AS (SELECT DISTINCT p_brand AS dataset_id, p_type || '_' || p_name AS label FROM part), "
             + "p AS (SELECT r.dataset_id, r.label, c.i, c.label AS canon, " + _WORDS.format(x="r.label", drop=_DROP8) + " AS t, "
@@ -307,16 +307,16 @@ def _labels_sql(similarity):
             + "FROM r LEFT JOIN c ON split_part(c.label, '_', 1) = split_part(r.label, '_', 1)), "
             + "s AS (SELECT *, CASE WHEN canon IS NOT NULL THEN greatest(" + similarity.format(a="t", b="t1") + ", " + similarity.format(a="t", b="t2") + ") END AS score FROM p), "
             + "k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, label ORDER BY score DESC, i) AS rn FROM s) "
-            + "SELECT dataset_id, label, CASE WHEN score >= 0.55 THEN canon END AS canonical, CASE WHEN score >= 0.55 THEN round(score, 6) END AS score FROM k WHERE rn = 1")
+            + "SELECT dataset_id, label, CASE WHEN score >= 0.55 THEN canon END AS canonical, " + score + " AS score FROM k WHERE rn = 1")
 
 
 def _raw_labels(spark, sf):
     return table(spark, sf, "part").select(F.col("p_brand").alias("dataset_id"), F.concat_ws("_", "p_type", "p_name").alias("label"))
 
 
-@query("C08_match_labels", _labels_sql(_SIM))
+@query("C08_match_labels", _labels_sql(_SIM, "round(score, 6)"))
 def match_labels(spark, sf):
-    return rounded(H.match_labels(_raw_labels(spark, sf), CANONICAL_LABELS))
+    return rounded(H.match_labels(_raw_labels(spark, sf), CANONICAL_LABELS, every=True))
 
 
 @query("C08_match_labels_words", _labels_sql(_DICE))

@@ -150,6 +150,18 @@ def test_match_labels_stays_in_prefix(spark, mode):
         H.match_labels(raw, canonical, "sound")
 
 
+def test_every_pair_keeps_the_best_score_below_the_threshold(spark):
+    names = spark.createDataFrame([("abcd", 1), ("wxyz", 2), ("", 3)], "name string, position int")
+    got = {r.field: (r.column_name, r.score) for r in H.match_columns(names, {"f": ["abzz", "qqqq"], "g": ["abcd"], "h": ["1"]}, every=True).collect()}
+    # Nothing shared is a score of zero, and the first name keeps it.
+    assert got == {"f": (None, 0.5), "g": ("abcd", 1.0), "h": (None, 0.0)}
+    raw = spark.createDataFrame([("d", "A_abcd"), ("d", "A_qqqq"), ("d", "B_none")], "dataset_id string, label string")
+    got = {r.label: (r.canonical, r.score) for r in H.match_labels(raw, {"A_abzz": "abxx", "O_abcd": "abcd"}, every=True).collect()}
+    assert got == {"A_abcd": (None, 0.5), "A_qqqq": (None, 0.0), "B_none": (None, None)}
+    with pytest.raises(ValueError, match="characters"):
+        H.match_labels(raw, {"A_b": "b"}, "word", every=True)
+
+
 def test_joint_sources(spark):
     a = spark.createDataFrame([("A",), ("B",)], "client_id string")
     joint = H.union_sources({"x": a, "y": a.filter("client_id = 'A'")})

@@ -278,38 +278,56 @@ def _similar_names(left: DataFrame, right: DataFrame, mode: str, threshold: floa
     return scored.withColumn("score", score).filter(F.col("score") >= threshold).select("__l", "__r", "score")
 
 
+def _scored_names(left: DataFrame, right: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """``(__l, __r, score)`` by edit distance of every pair of the same ``scope``, however little the names share.
+
+    ``right`` is a list from the caller's memory, so pairs are scored where the names of ``left`` are.
+    """
+    text = lambda df, id_, name: df.select(id_, *scope, F.array_join("words", " ").alias(name))
+    listed = F.broadcast(text(right, "__r", "__tb"))
+    named = text(left, "__l", "__ta")
+    pairs = named.join(listed, list(scope)) if scope else named.crossJoin(listed)
+    return pairs.select("__l", "__r", edit_similarity(F.col("__ta"), F.col("__tb")).alias("score"))
+
+
 def match_columns(
     names: DataFrame, aliases: Mapping[str, Sequence[str]], threshold: float = 0.72, mode: str = "character",
-    name: str = "name", position: str = "position",
+    name: str = "name", position: str = "position", every: bool = False,
 ) -> DataFrame:
     """Best source column per canonical field.
 
     ``names`` holds the distinct column names with their position; ties keep the first. Names and aliases meet through
     :func:`_similar_names`, so the pairs scored grow with what they share. Fields without a name at the threshold come back
-    with a null column and score.
+    with a null column and score. With ``every`` (characters only) each name is scored with each alias, and a field below the
+    threshold keeps the score of its best name.
     """
+    if every and mode != "character":
+        raise ValueError("every pair is scored by characters")
     spark = names.sparkSession
     pairs = [(i, f, a.split()) for i, (f, a) in enumerate((f, a) for f, many in aliases.items() for a in many)]
     listed = spark.createDataFrame(pairs, "__r int, field string, words array<string>")
     cleaned = names.select(F.struct(F.col(position).alias("p"), F.col(name).alias("n")).alias("__l"), name_words(F.col(name)).alias("words"))
-    found = _similar_names(cleaned, listed.drop("field"), mode, threshold)
+    found = _scored_names(cleaned, listed.drop("field")) if every else _similar_names(cleaned, listed.drop("field"), mode, threshold)
     best = found.join(listed.select("__r", "field"), "__r").groupBy("field").agg(
         F.max(F.struct("score", (-F.col("__l.p")).alias("p"), F.col("__l.n").alias("n"))).alias("b"))
     fields = spark.createDataFrame([(f,) for f in aliases], "field string")
     return fields.join(best, "field", "left").select(
-        "field", F.col("b.n").alias("column_name"), F.col("b.score").alias("score"))
+        "field", F.when(F.col("b.score") >= threshold, F.col("b.n")).alias("column_name"), F.col("b.score").alias("score"))
 
 
 def match_labels(
-    raw: DataFrame, canonical: Mapping[str, str], mode: str = "character", threshold: float = 0.55,
+    raw: DataFrame, canonical: Mapping[str, str], mode: str = "character", threshold: float = 0.55, every: bool = False,
 ) -> DataFrame:
     """Best canonical label per distinct raw label of the same prefix.
 
     ``raw`` holds ``(dataset_id, label)`` of all splits, ``canonical`` maps the
     contract's labels to their descriptions. Labels meet those of their prefix through :func:`_similar_names`. The
     score is the better of label and description; ties keep the first label listed. Labels that reach the threshold
-    with none come back with a null label and score.
+    with none come back with a null label and score. With ``every`` (characters only) each label is scored with each of its
+    prefix, and one below the threshold keeps its best score; the score is null only without a label of the prefix.
     """
+    if every and mode != "character":
+        raise ValueError("every pair is scored by characters")
     drop = (*_IGNORED, *_ORIGINS)
     spark = raw.sparkSession
     listed = spark.createDataFrame(
@@ -321,11 +339,11 @@ def match_labels(
     distinct = raw.select("dataset_id", "label").distinct()
     left = distinct.select("label").distinct().select(
         F.col("label").alias("__l"), origin(F.col("label")).alias("prefix"), name_words(F.col("label"), drop).alias("words"))
-    found = _similar_names(left, right, mode, threshold, ["prefix"])
+    found = _scored_names(left, right, ["prefix"]) if every else _similar_names(left, right, mode, threshold, ["prefix"])
     best = found.join(listed.select("__r", "i", "canonical"), "__r").groupBy(F.col("__l").alias("label")).agg(
         F.max(F.struct("score", (-F.col("i")).alias("i"), F.col("canonical").alias("c"))).alias("b"))
     return distinct.join(best, "label", "left").select(
-        "dataset_id", "label", F.col("b.c").alias("canonical"), F.col("b.score").alias("score"))
+        "dataset_id", "label", F.when(F.col("b.score") >= threshold, F.col("b.c")).alias("canonical"), F.col("b.score").alias("score"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
