@@ -162,6 +162,18 @@ def test_every_pair_keeps_the_best_score_below_the_threshold(spark):
         H.match_labels(raw, {"A_b": "b"}, "word", every=True)
 
 
+def test_labels_meet_their_map_where_the_events_are(spark):
+    # Three labels over many partitions: a shuffle by label would leave three tasks.
+    events = spark.range(30).select(
+        F.lit("d").alias("dataset_id"), F.concat(F.lit("A_"), (F.col("id") % 3).cast("string")).alias("raw_activity"), F.lit("x").alias("lifecycle"),
+        F.concat(F.lit("A_"), (F.col("id") % 3).cast("string"), F.lit("+x")).alias("raw_activity_token"),
+        F.concat(F.lit("A_"), (F.col("id") % 2).cast("string"), F.lit("+x")).alias("next_activity_raw"))
+    out = H.apply_label_map(events, {"A_1": "A_one"}, {"A_2+x": "A_two+x"})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 4 and "hashpartitioning" not in plan
+    assert out.filter("canonical_activity_token = 'A_one+x'").count() == 10 and out.filter("canonical_activity_token = 'A_two+x'").count() == 10
+
+
 def test_joint_sources(spark):
     a = spark.createDataFrame([("A",), ("B",)], "client_id string")
     joint = H.union_sources({"x": a, "y": a.filter("client_id = 'A'")})

@@ -120,8 +120,9 @@ def apply_label_map(
     ovr = _literal_frame(spark, overrides, "__k", "__v")
 
     def attach(frame: DataFrame, table: DataFrame, on: str, name: str) -> DataFrame:
+        # The map comes from the caller's memory, and a log has few labels: joined by shuffle, each would be one task.
         side = table.select(F.col("__k").alias(on), F.col("__v").alias(name))
-        return frame.join(side, on, "left")
+        return frame.join(F.broadcast(side), on, "left")
 
     out = attach(out, lab, "__key", "__canon")
     out = attach(out, lab, "__next_key", "__next_canon")
