@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.ordered import (
     Following, Latest, Position, Preceding, Running, Whole, over_trace, ranged, ranked,
 )
-from tracemill.functions.quantiles import describe, order_image, quantiles
+from tracemill.functions.quantiles import banded, describe, order_image, quantiles
 from tracemill.log import LogSpec, measure_hot
 
 def features():
@@ -175,3 +175,19 @@ def test_null_case_can_be_hot(spark):
     assert edges == {None: 5, "a": 2}
     got = {(r.case_id, r.seq): r.pos for r in over_trace(df, spec, [Position("pos")]).collect()}
     assert got == {(c, i): i for c, i in rows}
+
+
+def test_few_groups_are_not_few_tasks(spark):
+    """Quantiles, bands and ranks of few groups are broadcast to the rows, which no key shuffles."""
+    df = spark.range(4000).select((F.col("id") % 2).cast("string").alias("g"), (F.col("id") / 7).alias("x"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    banded_ = banded(df, "x", 4, ["g"])
+    assert "BroadcastHashJoin" in plan(banded_) and "hashpartitioning(g" not in plan(banded_)
+    assert sorted((r["g"], r["band"], r["n"]) for r in banded_.groupBy("g", "band").agg(F.count("x").alias("n")).collect()) == [
+        (g, b, 500) for g in "01" for b in range(4)]
+    # The values are counted once and the wanted digits sent to them.
+    last = plan(quantiles(df, F.col("x"), {"m": 0.5}, ["g"]))
+    assert "Range" not in last and "BroadcastHashJoin" in last and "SortMergeJoin" not in last
+    placed = ranked(df, ["g"], ["x"], "r", "n")
+    assert "BroadcastHashJoin" in plan(placed) and "hashpartitioning" not in plan(placed)
+    assert sorted(r["r"] for r in placed.filter("g = '1'").collect()) == list(range(2000))

@@ -221,3 +221,14 @@ def test_missing_outcome_raises(spark):
     df = spark.createDataFrame([("A", 2), ("A", None)], "bank string, outcome int")
     with pytest.raises(Exception, match="has no outcome"):
         P.approval_rates(df).collect()
+
+
+def test_gap_rules_do_not_shuffle_by_bank(spark):
+    cases = spark.range(400).select(
+        F.col("id").cast("string").alias("case_id"), F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "B").otherwise("C").alias("bank"),
+        (F.col("id") % 5 % 3).cast("int").alias("outcome"))
+    rules = [P.GapRule("A", 1, 0.05, "up", 0.20), P.GapRule("C", 2, 0.05, "down", 0.02)]
+    out = P.rate_gap_drops(cases, rules, SEED)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    pool = P._gap_pool(cases, rules, SEED, "B", "outcome", "case_id")[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [bank" in pool and {r["bank"] for r in out.collect()} <= {"A", "C"}
