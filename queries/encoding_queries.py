@@ -18,7 +18,7 @@ from tracemill.operators import profile as Q
 from tracemill.log import LogSpec
 from tracemill.plans.partitioning import partition
 from tracemill.plans.preparation import canonical_events, labelled_events
-from tracemill.session import settle
+from tracemill.session import fine_shuffles, settle
 
 # The cap of prefixes is the data's own: the 98th percentile of trace length (operator Q13).
 CAP = "(SELECT cap FROM pcap)"
@@ -54,7 +54,8 @@ def prefix_cap(spark, sf) -> int:
     key = (data_key(spark, sf), "prefix_cap")
     if key not in _CACHE:
         df, spec = log_l(spark, sf)
-        _CACHE[key] = Q.prefix_cap(df, spec, L_DECISIONS, "token").first()["cap"]
+        with fine_shuffles(spark):
+            _CACHE[key] = Q.prefix_cap(df, spec, L_DECISIONS, "token").first()["cap"]
     return _CACHE[key]
 
 _CACHE: dict[tuple, object] = {}
@@ -64,7 +65,8 @@ def _once(spark, sf, name, build):
     """Settled once per session: fits and encodings read these tables many times."""
     key = (data_key(spark, sf), name)
     if key not in _CACHE:
-        _CACHE[key] = settle(build())
+        with fine_shuffles(spark):
+            _CACHE[key] = settle(build())
     return _CACHE[key]
 
 

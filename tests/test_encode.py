@@ -220,3 +220,32 @@ def test_identity_depends_on_content_not_order(events):
     assert a == V.encoding_identity({"e": events.orderBy(F.desc("event_index"))}, {"cap": 3}).first()[0]
     assert a != V.encoding_identity({"e": events}, {"cap": 4}).first()[0]
     assert a != V.encoding_identity({"e": events.filter("case_id <> 'c2'")}, {"cap": 3}).first()[0]
+
+
+def test_tables_kept_for_a_session_are_cut_finer_than_its_shuffles(spark, tmp_path):
+    from queries import encoding_queries as E
+
+    own = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before = [spark.conf.get(k, None) for k in own]
+    # About 40 MB that do not pack, through a session of 4 shuffle partitions.
+    wide = spark.range(1_000_000).select("id", F.md5(F.col("id").cast("string")).alias("a"))
+    kept = E._once(spark, str(tmp_path), "wide", lambda: wide.repartition("id"))
+    rows = [r.n for r in kept.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(rows) > 4 and max(rows) < 250_000 and sum(rows) == 1_000_000
+    assert [spark.conf.get(k, None) for k in own] == before
+
+
+def test_fine_shuffles_keep_what_the_session_names(spark):
+    from tracemill.session import fine_shuffles
+
+    size, pieces = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(size, "1m")
+    try:
+        with fine_shuffles(spark):
+            assert spark.conf.get(size) == "1m" and int(spark.conf.get(pieces)) >= 400
+            with fine_shuffles(spark):
+                pass
+            assert spark.conf.get(pieces, None) is not None
+        assert spark.conf.get(size) == "1m" and spark.conf.get(pieces, None) is None
+    finally:
+        spark.conf.unset(size)
