@@ -8,6 +8,7 @@ from tracemill.functions.ordered import Whole, over_trace
 from tracemill.log import LogSpec
 from tracemill.operators import additive as A
 from tracemill.operators import encode as V
+from tracemill.session import settle
 
 KEYS = ["dataset_id", "client_id", "split", "case_id"]
 FIELDS = {"token": V.reserved_tokens(activity=True), "target": V.reserved_tokens(target=True), "resource": V.reserved_tokens()}
@@ -59,6 +60,34 @@ def test_encode_unseen_is_unknown(events, train):
     assert [r.token_id for r in out] == [4, 1, 6] and [r.resource_id for r in out] == [2, 3, 4]
 
 
+def test_few_tokens_of_a_large_vocabulary_are_not_few_tasks(spark, events, train, monkeypatch):
+    v, kept = settle(V.fit_vocab(train, FIELDS)), settle(events)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    read = lambda df, *cols: sorted(df.select("case_id", *cols).collect())
+
+    def both():
+        enc = V.encode(kept, v, ["token", "resource"])
+        return enc, V.prefix_labels(kept, KEYS, "event_index", "n_events", None, "target", "remaining_time", "outcome", v, "target")
+
+    try:
+        # A vocabulary above the limit of broadcasts, as many resources make it.
+        spark.conf.set(key, "-1")
+        enc, labels = both()
+        assert joins(enc).count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in joins(enc)
+        assert "BroadcastHashJoin" in joins(labels) and "SortMergeJoin" not in joins(labels)
+        # More resources than the limit: that field alone is dealt by its tokens.
+        monkeypatch.setattr(V, "SMALL_FIELD", 7)
+        wider = v.unionByName(spark.range(100, 103).select(F.lit("resource").alias("field"), F.col("id").cast("string").alias("token"), "id"))
+        dealt = V.encode(kept, wider, ["token", "resource"])
+        assert joins(dealt).count("BroadcastHashJoin") == 1 and joins(dealt).count("SortMergeJoin") == 1
+        cols = ("event_index", "token_id", "resource_id")
+        assert read(dealt, *cols) == read(enc, *cols) and dealt.count() == events.count()
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_scaler_masks_and_identity(train):
     s = {r.field: (r["mean"], r["std"]) for r in V.fit_scaler(train, NUMERIC).collect()}
     deltas = [0, 60, 120, 180, 0, 60, 0, 60, 120]

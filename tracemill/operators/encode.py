@@ -18,6 +18,9 @@ from tracemill.functions.quantiles import quantiles, with_scalars
 TRANSFORMS = ("raw", "log")
 SCALINGS = ("raw", "median", "zscore")
 
+#: A field of at most this many tokens is sent to every task; one of more has keys enough to be dealt over tasks.
+SMALL_FIELD = 10_000
+
 
 def reserved_tokens(activity: bool = False, target: bool = False) -> list[str]:
     """Reserved tokens in id order."""
@@ -57,17 +60,31 @@ def fit_vocab(train: DataFrame, fields: Mapping[str, Sequence[str]]) -> DataFram
     return _vocabulary(_long_tokens(train, list(fields)).distinct(), fields)
 
 
+def _field_ids(vocab: DataFrame, fields: Mapping[str, str], token: str) -> dict[str, DataFrame]:
+    """Tokens and ids of each field, as ``token`` and the column ``fields`` names.
+
+    The size of the whole vocabulary says nothing about one field: beside many resources there may be five activities,
+    and joined by shuffle each of them would be one task at any size. So the tokens of each field are counted first.
+    """
+    counted = vocab.filter(F.col("field").isin(*fields)).groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()
+    large = {r["field"] for r in counted if r["n"] > SMALL_FIELD}
+    sides = {
+        c: vocab.filter(F.col("field") == c).select(F.col("token").alias(token), F.col("id").alias(name))
+        for c, name in fields.items()
+    }
+    return {c: side if c in large else F.broadcast(side) for c, side in sides.items()}
+
+
 def encode(df: DataFrame, vocab: DataFrame, fields: Sequence[str], suffix: str = "_id") -> DataFrame:
     """Token ids per field; unseen tokens become the unknown id.
 
-    Pass a settled vocabulary: its file size then decides between broadcast and
-    shuffle join.
+    Pass a settled vocabulary: it is read once to count the tokens of each field, and for a field
+    of many its file size decides between broadcast and shuffle join.
     """
     out = df
+    sides = _field_ids(vocab, {c: f"{c}{suffix}" for c in fields}, "__token")
     for c in fields:
-        side = vocab.filter(F.col("field") == c).select(
-            F.col("token").alias("__token"), F.col("id").alias(f"{c}{suffix}")
-        )
+        side = sides[c]
         out = out.withColumn("__token", clean_token(F.col(c))).join(side, "__token", "left").drop("__token")
         out = out.withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(1).cast("long")))
     return out
@@ -227,9 +244,7 @@ def prefix_labels(
     mask 0, as has the remaining time on the last event of the case.
     """
     at = df.filter(_within(index, cap))
-    side = vocab.filter(F.col("field") == target_field).select(
-        F.col("token").alias("__t"), F.col("id").alias("next_label")
-    )
+    side = _field_ids(vocab, {target_field: "next_label"}, "__t")[target_field]
     out = at.withColumn("__t", clean_token(F.col(next_token))).join(side, "__t", "left").drop("__t")
     last = F.col(index) == F.col(n_events) - 1
     seconds = F.col(remaining).cast("double")
