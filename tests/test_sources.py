@@ -112,6 +112,64 @@ def test_file_fingerprint_in_many_chunks(spark, tmp_path):
     assert got == {n: (len(d), hashlib.md5(d).hexdigest(), hashlib.sha256(d).hexdigest()) for n, d in files.items() if d}
 
 
+@pytest.mark.parametrize("laid_open", [True, False])
+def test_file_fingerprint_reads_a_chunk_a_task(spark, tmp_path, monkeypatch, laid_open):
+    rng = random.Random(4)
+    bom, noise = b"\xef\xbb\xbf", rng.randbytes(900_000)
+    files = {
+        "noise.bin": noise, "ends.bin": noise[:500_000] + b"\n", "marked.bin": bom + noise[:450_000], "marked_ends.bin": bom + noise[:450_000] + b"\n",
+        # Splits without the start of a line, in the middle and at the end.
+        "long lines.bin": b"x" * 350_000 + b"\n" + b"y" * 350_000, "one.bin": b"x" * 400_000, "newlines.bin": b"\n" * 300_000,
+        "two.bin": noise[:250_000], "exact.bin": noise[:100_000], "short.bin": b"a", "mark.bin": bom,
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(S, "CHUNK_BYTES", 100_000, raising=False)
+    if laid_open:
+        # No file's bytes in one task exceed a chunk, the split that starts in it and the line that ends beyond it.
+        for name in ("_digests", "_states"):
+            monkeypatch.setattr(S, name, _bounded(getattr(S, name, None), 600_000), raising=False)
+    else:
+        monkeypatch.setattr(S, "_hands_over", lambda: False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        got = {r.file_name: (r.length, r.md5, r.sha256) for r in S.file_fingerprint(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: (len(d), hashlib.md5(d).hexdigest(), hashlib.sha256(d).hexdigest()) for n, d in files.items()}
+
+
+def _bounded(step, limit):
+    """The step, which fails if a file sends it more bytes than the limit."""
+
+    def checked(batches):
+        seen = {}
+
+        def watched():
+            for batch in batches:
+                for path, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()):
+                    seen[path] = seen.get(path, 0) + len(line)
+                    if seen[path] > limit:
+                        raise ValueError(f"{path}: over {limit} bytes in one task")
+                yield batch
+
+        yield from step(watched())
+
+    return checked
+
+
+def test_digest_states_are_handed_over():
+    data = random.Random(5).randbytes(1000)
+    for name, want in (("MD5", hashlib.md5), ("SHA256", hashlib.sha256)):
+        for cut in (0, 1, 63, 64, 65, 127, 128, 999, 1000):
+            one = S._Digest(name)
+            one.update(data[:cut])
+            rest = S._Digest(name, one.state())
+            rest.update(data[cut:])
+            assert rest.hexdigest() == want(data).hexdigest()
+
+
 def test_case_rows_keep_nulls(spark):
     df = spark.createDataFrame([("a", 2, 1, "x"), ("a", 1, 2, None), ("b", 1, 1, "y")], "case_id string, ts int, seq int, v string")
     assert {(r.case_id, r.v) for r in S.case_rows(df, LogSpec(), ["v"]).collect()} == {("a", None), ("b", "y")}
